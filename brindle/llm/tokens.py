@@ -18,8 +18,10 @@ import unicodedata
 import regex
 
 #: Distinct chunks a worker remembers; beyond it the memory is emptied (speed only).
-CACHE_CHUNKS = 1_000_000
-_RUN = re.compile(r"\s\s|\x01")
+CACHE_CHUNKS = 800_000
+#: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\x01")
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Chunks that are split here: European letters whose lower case does not depend on their neighbours. Others are encoded by the library alone.
 _FITS = re.compile(r" ?[\x21-\x7e\xa1-\u03a2\u03a4-\u058f]+").fullmatch
 _LOADED: dict[tuple[str, bool], "Encoder"] = {}
@@ -72,7 +74,7 @@ class Encoder:
     def _chunks(self, text: str) -> list[str] | None:
         if self.rule == "space_ends":  # white space only separates
             return text.replace("\n", " ").split(" ")
-        if self.rule == "space_leads" and not _RUN.search(text):  # a lone space opens the piece that follows it
+        if self.rule == "space_leads" and not any(x in text for x in _RUNS) and not any(c in text for c in _OTHER_SPACE):  # a lone space opens the piece that follows it
             return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
         return None
 
@@ -95,6 +97,8 @@ class Encoder:
         for parts, missing in holes:
             for i, c in missing:
                 parts[i] = known[c]
+        if len(self.pieces) > CACHE_CHUNKS // 2:
+            self.pieces = {}
         return [b"".join(parts) for parts in out]
 
 
