@@ -118,3 +118,11 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
 def whole(words: np.ndarray) -> np.uint64:
     """The digest that runs() gives to all of these words."""
     return runs(words, len(words))[0]
+
+
+def stretches(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each stretch words[first[i]:end[i]], of any length."""
+    up, down = _power_tables(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
