@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from brindle.llm import sql
 from brindle.llm.decontam import op1_decontamination
+from brindle.llm.language import op4_language_id
+from brindle.llm.ngram_join import op6_ngram_jaccard
 from brindle.llm.output import op10_token_output
 from brindle.llm.packing import op2_packing
+from brindle.llm.substring import op8_substring_dedup
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op4_language_id": op4_language_id,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_token_output": op10_token_output,
 }
 ORACLES = {"op1_decontamination": sql.DECONTAMINATION}

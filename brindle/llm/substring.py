@@ -81,7 +81,7 @@ def find_units(docs: DataFrame, run: int, min_line: int) -> DataFrame:
     return docs.select("doc_id", "text", "tk").mapInArrow(find, UNIT_SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (what stays), n_words, n_removed, removed (spans of code points of the original text).
 
     Null text stays null and has no units; texts without words stay as they are.  Rows that agree in
