@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.words import NONSPACE, blocks, runs, spans, whole, word_digests
@@ -33,9 +33,11 @@ from brindle.sources.scratch import stored
 FRAGMENTS = 8
 #: A digest is frequent if so many documents of one block of text have it; the largest such list that is shared with the tasks.
 #: Both bear on speed only: any global order gives the same pairs.
-FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 8, 1 << 18, 16 << 20
+FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
 #: Rounds in which members meet a leader before all remaining pairs are counted.
 LEADER_ROUNDS = 3
+#: They end early when a round merges less than this share of the documents still in question.
+FEW = 0.02
 #: Bits of the map that tells which documents a second reading needs.
 MAP_BITS = 1 << 23
 
@@ -151,6 +153,20 @@ def segments(texts: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
     return rows.groupBy("cls").agg(F.first("segs").alias("segs")).join(wanted.select("id", "n", "cls"), "cls").select("id", "n", "segs")
 
 
+def lengths_fit(num: int, den: int) -> Column:
+    return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
+
+
+def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """id, id2 of the pairs that may reach the threshold, from all prefix digests they share.
+
+    All common digests up to the last shared place are counted; beyond it there are at most as many as the shorter rest.
+    """
+    seen = met.groupBy("id", "id2").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    most = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2"))
+    return seen.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
+
+
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """a, b, na, nb, shared: each fragment's overlap by itself, summed per pair."""
     left = segs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segs").alias("sa"))
@@ -189,57 +205,67 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     classes = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
 
-    # Digests with at least two classes.  Frequent ones are few: counted with map-side combining and shared; a third of all rows may have one.
-    often = spark.createDataFrame(pa.table({"h": pa.array(frequent.value.view(np.int64))}))
-    is_often = F.broadcast(often)
-    at_h = Window.partitionBy("h").orderBy("id")
+    # Digests with at least two classes, each row beside its digest's first leader.  Frequent ones are few: their leaders are found
+    # with map-side combining and shared; a third of all rows may have one such digest.
+    is_often = F.broadcast(spark.createDataFrame(pa.table({"h": pa.array(frequent.value.view(np.int64))})))
+    key = lambda turn: F.xxhash64("id", F.lit(turn))
+    at_h = Window.partitionBy("h").orderBy(key(0), "id")
+    lead = {"id2": "id", "n2": "n", "i2": "i"}
     alone = (F.row_number().over(at_h) == 1) & F.lead("id").over(at_h).isNull()
-    cold = postings.join(is_often, "h", "left_anti").withColumn("__alone", alone).filter("not __alone").drop("__alone")
+    cold = postings.join(is_often, "h", "left_anti").withColumns({"__alone": alone} | {new: F.first(old).over(at_h) for new, old in lead.items()}).filter("not __alone").drop("__alone")
     hot = postings.join(is_often, "h", "left_semi")
-    live = stored(cold.select("h", "id", "n", "i").unionByName(hot.select("h", "id", "n", "i")), "postings", codec="snappy").withColumn("comp", F.col("id"))
-
-    wanted = live.select("id").distinct().join(sets.select(F.col("row").alias("id"), "doc_id", "cls", "n"), "id")
-    segs = stored(segments(texts, stored(wanted, "wanted"), k, frequent), "segments", codec="snappy")
-    comp: DataFrame | None = None
-    tried: DataFrame | None = None
-    before = None
-    need = F.ceil(F.lit(num) * (F.col("n") + F.col("n2")) / (num + den))
-    possible = (den * F.least("n", "n2") >= num * F.greatest("n", "n2")) & (F.least("i", "i2") + 1 + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2")) >= need)
+    heads = hot.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(key(0).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()])).alias("leader")).filter("c > 1")
+    hot = hot.join(F.broadcast(heads), "h")  # at most FREQUENT_MOST rows
+    columns = ["h", "id", "n", "i"]
+    live = stored(cold.select(*columns, *lead).unionByName(hot.select(*columns, "leader.id2", "leader.n2", "leader.i2")), "postings", codec="snappy").withColumns({"comp": F.col("id"), "comp2": F.col("id2")})
 
+    comp = tried = segs = None
+    few = False
     for turn in range(LEADER_ROUNDS + 1):
-        if comp is not None:
-            live = live.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("key"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
-        live = stored(live.join(mixed.select("h", "leader"), "h"), "live", codec="snappy")
-        size = live.count()
-        if not size:
+        if turn:
+            live = live.select(*columns).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(key(turn).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()], F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
+            live = stored(live.join(mixed.select("h", "leader"), "h").select(*columns, "comp", "leader.id2", "leader.n2", "leader.i2", "leader.comp2"), "live", codec="snappy")
+        last = turn == LEADER_ROUNDS or few
+        if live.isEmpty():
             break
-        last = turn == LEADER_ROUNDS or (before is not None and size > 0.7 * before)
-        before = size
         if last:
-            other = live.select("h", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("comp2"))
-            found = live.drop("leader").join(other, "h").filter("id < id2 and comp != comp2").filter(possible)
-            pairs = found.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+            other = live.select("h", *[F.col(old).alias(new) for new, old in (lead | {"comp2": "comp"}).items()])
+            met = live.select(*columns, "comp").join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den))
         else:
-            found = live.select("id", "n", "i", "comp", "leader.*").filter("comp != comp2").filter(possible)
-            best = found.groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
-            pairs = best.select(F.least("id", "best.id2").alias("a"), F.greatest("id", "best.id2").alias("b")).distinct()
+            chosen = live.filter("comp != comp2").filter(lengths_fit(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
+            pairs = chosen.select("id", F.col("best.id2").alias("id2"))
+            met = live.select(*columns).join(pairs, "id").join(live.select("h", *[F.col(old).alias(new) for new, old in lead.items()]), ["id2", "h"])
+        pairs = possible_pairs(met, num, den).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        if segs is not None:
+            ids = ids.join(segs.select("id"), "id", "left_anti")
+        wanted = stored(sets.select(F.col("row").alias("id"), "doc_id", "cls", "n").join(ids, "id"), "wanted")
+        if not wanted.isEmpty():
+            more = stored(segments(texts, wanted, k, frequent), "segments", codec="snappy")
+            segs = more if segs is None else segs.unionByName(more)
+        if pairs.isEmpty():
+            few, comp = True, comp if comp is not None else spark.createDataFrame([], "id long, comp long")
+            if last:
+                break
+            continue
         counted = stored(count_overlaps(pairs, segs), "overlaps")
-        tried = counted.select("a", "b") if tried is None else tried.unionByName(counted.select("a", "b"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = counted.filter((num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
         if comp is not None:  # links between components
             to = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"{c}c"))
             links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")).filter("a != b")
         merged = components(links)
+        few = merged.count() < FEW * live.select("id").distinct().count()
         if comp is None:
             comp = merged
         else:
             moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
             known = comp.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
             comp = stored(known.unionByName(merged.join(comp, "id", "left_anti")), "components")
-        live = live.drop("leader")
         if last:
             break
 
