@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from brindle.llm import sql
+from brindle.llm.chat import op5_chat_formatting
 from brindle.llm.decontam import op1_decontamination
+from brindle.llm.html_text import op7_html_extraction
 from brindle.llm.language import op4_language_id
+from brindle.llm.licences import op3_licence_scan
 from brindle.llm.ngram_join import op6_ngram_jaccard
 from brindle.llm.output import op10_token_output
 from brindle.llm.packing import op2_packing
@@ -13,9 +16,12 @@ from brindle.llm.substring import op8_substring_dedup
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_licence_scan": op3_licence_scan,
     "op4_language_id": op4_language_id,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_token_output": op10_token_output,
 }
-ORACLES = {"op1_decontamination": sql.DECONTAMINATION}
+ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT}

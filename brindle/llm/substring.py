@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.words import NONSPACE, blocks, runs, spans, stretches, utf8, word_digests
+from brindle.sources.scratch import stored
 
 UNIT_SCHEMA = "h long, doc_id long, tk long, at int, n int"
 
@@ -91,6 +92,7 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", text_key("text"))
     found = find_units(rows, run, min_line)
     firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "tk", "at")).alias("f"), F.max(F.struct("doc_id", "tk", "at")).alias("l")).filter("f != l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.tk").alias("f_tk"), F.col("f.at").alias("f_at"))
+    firsts = stored(firsts, "repeated-units")  # so that a very common unit can be split in the join below
     same = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("tk") == F.col("f_tk"))
     later = found.join(firsts, "h").filter(~same | (F.col("at") >= F.col("f_at") + F.col("n")))
     gone = later.groupBy(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
