@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.words import blocks
 
@@ -135,22 +136,31 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Null texts and texts without a letter are `und` with score 0 and not ambiguous; so is everything if
     no language was learned.  Rows with equal doc_id each get a row; an empty table gives none.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    return label(rows, model, text_col=text_col, names=("lang_pred", "score", "ambiguous")).drop(text_col)
+
+
+def label(docs: DataFrame, model: Model, *, text_col: str = "text", names: tuple[str, str, str] = ("__lang_pred", "__score", "__ambiguous")) -> DataFrame:
+    """All rows and columns of docs and three more: the language, its score and whether it is ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for lo, hi, raw, offs in blocks(batch.column(1), 1 << 20):
-                letters = np.array([t is not None and _LETTER.search(t) is not None for t in batch.column(1)[lo:hi].to_pylist()], bool) & bool(m.languages)
+            texts = batch.column(at).cast(pa.string())
+            for lo, hi, raw, offs in blocks(texts, 1 << 20):
+                letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts[lo:hi].to_pylist()], bool) & bool(m.languages)
                 if m.languages:
                     best, score, close = m.decode(m.margins(raw, offs))
                 else:
                     best, score, close = np.zeros(hi - lo, int), np.zeros(hi - lo), np.zeros(hi - lo, bool)
-                names = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist())]
-                yield pa.record_batch([batch.column(0)[lo:hi], pa.array(names), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+                found = [m.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist())]
+                new = [pa.array(found, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(close & letters)]
+                yield pa.record_batch([*batch.slice(lo, hi - lo).columns, *new], names=[*batch.schema.names, *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(answer, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(answer, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds))]))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

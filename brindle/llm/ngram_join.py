@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.words import NONSPACE, blocks, runs, spans, whole, word_digests
-from brindle.sources.scratch import stored
+from brindle.sources.scratch import shared_if_small, stored
 
 #: Fragments of the part of the order that is not frequent (a power of two); the frequent digests are one more.
 FRAGMENTS = 8
@@ -37,7 +37,7 @@ FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
 #: Rounds in which members meet a leader before all remaining pairs are counted.
 LEADER_ROUNDS = 3
 #: They end early when a round merges less than this share of the documents still in question.
-FEW = 0.02
+FEW = 0.25
 #: Bits of the map that tells which documents a second reading needs.
 MAP_BITS = 1 << 23
 
@@ -139,18 +139,23 @@ def segments(texts: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
             at = np.asarray(batch.column(2), np.int64)
             hit = (bit[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
-            for _, _, raw, offs in blocks(batch.column(1)):
+            for lo, hi, raw, offs in blocks(batch.column(1)):
                 sets = shingle_sets(raw, offs, k)
                 segs = []
                 for g in sets:
                     late = is_in(often, g)
                     cold, edges = g[~late], np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(65 - FRAGMENTS.bit_length())
                     segs.append([x.view(np.int64) for x in (*np.split(cold, np.searchsorted(cold, edges)), g[late])])
-                yield pa.record_batch([pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), pa.array(segs, pa.list_(pa.list_(pa.int64())))], names=["cls", "segs"])
+                yield pa.record_batch([batch.column(0)[lo:hi], pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), pa.array(segs, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "cls", "segs"])
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    rows = texts.select("doc_id", "text", at.alias("at")).mapInArrow(cut, "cls binary, segs array<array<bigint>>")
-    return rows.groupBy("cls").agg(F.first("segs").alias("segs")).join(wanted.select("id", "n", "cls"), "cls").select("id", "n", "segs")
+    rows = texts.select("doc_id", "text", at.alias("at")).mapInArrow(cut, "doc_id long, cls binary, segs array<array<bigint>>")
+    keys = wanted.select("id", "n", F.col("cls").alias("__cls"), F.col("doc_id").alias("__doc_id"))
+    found = rows.join(shared_if_small(keys, 64), (F.col("cls") == F.col("__cls")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select("id", "n", "segs")
+    made = stored(found, "segments", codec="snappy")
+    if made.count() > wanted.count():  # documents that are there more than once
+        made = stored(made.groupBy("id").agg(F.first("n").alias("n"), F.first("segs").alias("segs")), "segments", codec="snappy")
+    return made
 
 
 def lengths_fit(num: int, den: int) -> Column:
@@ -161,9 +166,12 @@ def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """id, id2 of the pairs that may reach the threshold, from all prefix digests they share.
 
     All common digests up to the last shared place are counted; beyond it there are at most as many as the shorter rest.
+    All common digests inside the prefix that ends first in the order are counted too; the others lie in that document's rest.
     """
     seen = met.groupBy("id", "id2").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.first("n").alias("n"), F.first("n2").alias("n2"))
     most = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2"))
+    rest = lambda n: F.ceil(F.lit(num) * n / den) - 1
+    most = F.least(most, F.col("c") + F.greatest(rest(F.col("n")), rest(F.col("n2"))))
     return seen.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
 
 
@@ -171,8 +179,9 @@ def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """a, b, na, nb, shared: each fragment's overlap by itself, summed per pair."""
     left = segs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segs").alias("sa"))
     right = segs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("segs").alias("sb"))
+    right = right.join(shared_if_small(stored(pairs.select("b").distinct(), "targets"), 16), "b", "left_semi")
     partial = F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y)))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    joined = left.join(shared_if_small(pairs.select("a", "b"), 24), "a").join(right, "b")
     return joined.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("shared"))
 
 
@@ -202,8 +211,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     texts = _texts(docs, id_col, text_col)
     frequent = spark.sparkContext.broadcast(frequent_digests(texts, k))
     sets = stored(prefixes(texts, k, num, den, frequent), "prefixes", codec="snappy")
-    classes = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
+    classes = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.count("*").alias("c"))
+    copies = sets.select("row", "cls").join(classes.filter("c > 1"), "cls").filter("row != id").select("row")
+    classes = sets.filter("n > 0").join(shared_if_small(stored(copies, "copies"), 16), "row", "left_anti")
+    postings = classes.select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
 
     # Digests with at least two classes, each row beside its digest's first leader.  Frequent ones are few: their leaders are found
     # with map-side combining and shared; a third of all rows may have one such digest.
@@ -235,17 +246,20 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
         else:
             chosen = live.filter("comp != comp2").filter(lengths_fit(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
             pairs = chosen.select("id", F.col("best.id2").alias("id2"))
-            met = live.select(*columns).join(pairs, "id").join(live.select("h", *[F.col(old).alias(new) for new, old in lead.items()]), ["id2", "h"])
-        pairs = possible_pairs(met, num, den).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+            pairs = stored(pairs, "leaders")
+            leaders = shared_if_small(stored(pairs.select("id2").distinct(), "leader-ids"), 16)
+            of_leader = live.select("h", *[F.col(old).alias(new) for new, old in lead.items()]).join(leaders, "id2", "left_semi")
+            met = live.select(*columns).join(shared_if_small(pairs, 24), "id").join(of_leader, ["id2", "h"])
+        pairs = possible_pairs(met, num, den).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).dropDuplicates(["lo", "hi"])
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
         pairs = stored(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         if segs is not None:
             ids = ids.join(segs.select("id"), "id", "left_anti")
         wanted = stored(sets.select(F.col("row").alias("id"), "doc_id", "cls", "n").join(ids, "id"), "wanted")
         if not wanted.isEmpty():
-            more = stored(segments(texts, wanted, k, frequent), "segments", codec="snappy")
+            more = segments(texts, wanted, k, frequent)
             segs = more if segs is None else segs.unionByName(more)
         if pairs.isEmpty():
             few, comp = True, comp if comp is not None else spark.createDataFrame([], "id long, comp long")
@@ -253,7 +267,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 break
             continue
         counted = stored(count_overlaps(pairs, segs), "overlaps")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
         links = counted.filter((num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
         if comp is not None:  # links between components
             to = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"{c}c"))

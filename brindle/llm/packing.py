@@ -48,12 +48,12 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, float]]:
+def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2000, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often the linear program uses each; item i weighs i + 1 of capacity.
 
     Revised simplex: the basis starts with one single-class pattern for each class in demand, and
-    the knapsack prices the next column.  It ends at the optimum or after `rounds` columns (any
-    basis is a feasible plan).
+    the knapsack prices the next column.  The plan is at most `value` times as long as the best one;
+    it ends when that is below 1 + gap, or after `rounds` columns (any basis is a feasible plan).
     """
     used = np.flatnonzero(demand)
     if not len(used):
@@ -66,7 +66,7 @@ def column_generation(demand: np.ndarray, capacity: int, rounds: int = 2000) ->
         values = np.zeros(len(demand))
         values[used] = np.maximum(price, 0)
         value, counts = knapsack(values, capacity)
-        if value <= 1 + 1e-9:
+        if value <= 1 + gap:
             break
         column = inverse @ counts[used]
         ratio = np.where(column > 1e-9, x / np.where(column > 1e-9, column, 1), np.inf)

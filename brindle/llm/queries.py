@@ -8,6 +8,7 @@ from brindle.llm.decontam import op1_decontamination
 from brindle.llm.html_text import op7_html_extraction
 from brindle.llm.language import op4_language_id
 from brindle.llm.licences import op3_licence_scan
+from brindle.llm.media import op9_media_columns
 from brindle.llm.ngram_join import op6_ngram_jaccard
 from brindle.llm.output import op10_token_output
 from brindle.llm.packing import op2_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
 }
 ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT}

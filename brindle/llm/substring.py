@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.words import NONSPACE, blocks, runs, spans, stretches, utf8, word_digests
 from brindle.sources.scratch import stored
@@ -82,21 +83,22 @@ def find_units(docs: DataFrame, run: int, min_line: int) -> DataFrame:
     return docs.select("doc_id", "text", "tk").mapInArrow(find, UNIT_SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (what stays), n_words, n_removed, removed (spans of code points of the original text).
+def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what stays), n_words, n_removed, removed (spans of code points of the original text), and the columns to carry.
 
     Null text stays null and has no units; texts without words stay as they are.  Rows that agree in
     doc_id and text are one document and get the same result; a null doc_id ranks first.  Repeats inside
     one document count like repeats between documents.  An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", text_key("text"))
+    carried = F.struct(*map(F.col, carry)) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried")).withColumn("tk", text_key("text"))
     found = find_units(rows, run, min_line)
     firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "tk", "at")).alias("f"), F.max(F.struct("doc_id", "tk", "at")).alias("l")).filter("f != l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.tk").alias("f_tk"), F.col("f.at").alias("f_at"))
     firsts = stored(firsts, "repeated-units")  # so that a very common unit can be split in the join below
     same = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("tk") == F.col("f_tk"))
     later = found.join(firsts, "h").filter(~same | (F.col("at") >= F.col("f_at") + F.col("n")))
     gone = later.groupBy(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
-    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["g_doc"]) & (rows["tk"] == gone["g_tk"]), "left").select("doc_id", "text", "gone")
+    joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["g_doc"]) & (rows["tk"] == gone["g_tk"]), "left").select("doc_id", "text", "gone", "carried")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +130,11 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_c
                 texts.append(text.rstrip(" \t\n\r\x0b\x0c") if at == len(own) else text)
                 n_gone.append(int(off.sum()))
                 removed.append([{"start": int(chars[starts[x]]), "end": int(chars[ends[y - 1]])} for x, y in zip(a.tolist(), b.tolist())])
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(removed, kind)], names=["doc_id", "text", "n_words", "n_removed", "removed"])
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(removed, kind), batch.column(3)], names=["doc_id", "text", "n_words", "n_removed", "removed", "carried"])
 
-    return joined.mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long, removed array<struct<start: long, end: long>>")
+    schema = T.StructType.fromDDL("doc_id long, text string, n_words long, n_removed long, removed array<struct<start: long, end: long>>").add(joined.schema["carried"])
+    done = joined.mapInArrow(cut, schema)
+    return done.select("doc_id", "text", "n_words", "n_removed", "removed", *([F.col("carried")[c].alias(c) for c in carry]))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
