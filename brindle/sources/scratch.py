@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder (tests, one machine).
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
@@ -36,6 +37,11 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows, counted now, take at most `limit` bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch tables that df reads, once nothing needs them."""
     spark = df.sparkSession
