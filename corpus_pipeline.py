@@ -1,7 +1,71 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, n-gram Jaccard join, substring dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next stage's docs; all but the last return
+the columns of `documents`.  Extra columns with other names pass through; the operators read only
+doc_id, text and lang.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm.decontam import decontaminate
+from brindle.llm.language import UNDETERMINED, fit, label
+from brindle.llm.ngram_join import jaccard_components
+from brindle.llm.packing import pack
+from brindle.llm.substring import dedup_substrings
+from brindle.sources.scratch import stored
+
+
+def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids (a null doc_id matches a null one)."""
+    wanted = ids.select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__kept"]), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null text or no letter) go; `lang` becomes the predicted language."""
+    found = label(docs, fit(docs)).filter(F.col("__lang_pred") != UNDETERMINED)
+    return found.withColumn("lang", F.col("__lang_pred")).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates stays: the one of the smallest doc_id."""
+    return keep(docs, jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines and passages go, all but their first occurrence; documents of which nothing is left go."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = dedup_substrings(docs, carry=others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark phrase go."""
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit") > 0).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: Trained bits, chosen passages and token ids have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}-{name}")
+    return docs
