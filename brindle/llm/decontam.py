@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.tokens import forget
 from brindle.llm.words import ALNUM, blocks, spans, utf8, word_digests
 from brindle.sources.scratch import stored
 
@@ -37,6 +38,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = docs.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, hi, raw, offs in blocks(batch.column(1), SHARD):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.tokens import forget
 from brindle.llm.words import blocks
 
 UNDETERMINED = "und"
@@ -146,6 +147,7 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", names: tuple
     at = docs.columns.index(text_col)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         for batch in batches:
             texts = batch.column(at).cast(pa.string())

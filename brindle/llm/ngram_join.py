@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.tokens import forget
 from brindle.llm.words import NONSPACE, blocks, runs, spans, whole, word_digests
 from brindle.sources.scratch import shared_if_small, stored
 
@@ -74,6 +75,7 @@ def frequent_digests(texts: DataFrame, k: int) -> np.ndarray:
             keep = n >= FREQUENT_IN_BLOCK
             return pa.record_batch([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
+        forget()
         sets, held = [], 0
         for batch in batches:
             for _, _, raw, offs in blocks(batch.column(1)):
@@ -99,6 +101,7 @@ def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFram
     """doc_id, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order)."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         row, often = TaskContext.get().partitionId() << 40, frequent.value
         for batch in batches:
             for lo, hi, raw, offs in blocks(batch.column(1)):

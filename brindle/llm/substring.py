@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.tokens import forget
 from brindle.llm.words import NONSPACE, blocks, runs, spans, stretches, utf8, word_digests
 from brindle.sources.scratch import stored
 
@@ -74,6 +75,7 @@ def text_key(text: Column | str) -> Column:
 
 def find_units(docs: DataFrame, run: int, min_line: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for lo, _, raw, offs in blocks(batch.column(1)):
                 doc, h, at, n = units(raw, offs, run, min_line)

@@ -139,3 +139,18 @@ def encoder(path: str, split_special: bool = True) -> Encoder:
     if (key := (path, split_special)) not in _LOADED:
         _LOADED[key] = Encoder(path, split_special)
     return _LOADED[key]
+
+
+def forget() -> None:
+    """Free the remembered chunks: other operators' tasks run in the same worker processes."""
+    if any(len(e.cache) > 1 for e in _LOADED.values()):
+        import ctypes
+        import gc
+
+        for e in _LOADED.values():
+            e.cache, e.pieces = {"": b""}, {}
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
