@@ -36,9 +36,11 @@ FRAGMENTS = 8
 #: Both bear on speed only: any global order gives the same pairs.
 FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
 #: Rounds in which members meet a leader before all remaining pairs are counted.
-LEADER_ROUNDS = 3
-#: They end early when a round merges less than this share of the documents still in question.
-FEW = 0.25
+LEADER_ROUNDS = 12
+#: They end early when meeting all makes at most so many rows for each posting, or when a round merges less than this share of the documents in question.
+MEET_ALL, FEW = 16, 0.002
+#: Documents of a digest from which on pairs are made at the first common digest only.
+MANY = 32
 #: Bits of the map that tells which documents a second reading needs.
 MAP_BITS = 1 << 23
 
@@ -165,6 +167,10 @@ def lengths_fit(num: int, den: int) -> Column:
     return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
 
 
+def reach_fits(num: int, den: int) -> Column:
+    return (num + den) * F.least("r", "r2") >= num * (F.col("n") + F.col("n2"))
+
+
 def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """id, id2 of the pairs that may reach the threshold, from all prefix digests they share.
 
@@ -178,6 +184,32 @@ def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     return seen.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
 
 
+def settle_all(live: DataFrame, num: int, den: int) -> DataFrame:
+    """id, id2 of all pairs of different components that share a prefix digest and may reach the threshold, each once.
+
+    live(h, id, n, comp, r, c).  Where a digest has many documents, a row also carries the document's earlier
+    digests of that kind, and a pair is made at its first common one only.
+    """
+    sides = {"id": "id2", "n": "n2", "comp": "comp2", "r": "r2", "before": "before2"}
+
+    def meet(rows: DataFrame) -> DataFrame:
+        other = rows.select("h", *[F.col(old).alias(new) for old, new in sides.items()])
+        fits = lengths_fit(num, den) & reach_fits(num, den) & ~F.arrays_overlap("before", "before2")
+        return rows.join(other, "h").filter("id < id2 and comp != comp2").filter(fits).select("id", "id2", "n", "n2")
+
+    few = live.filter(F.col("c") <= MANY).withColumn("before", F.array().cast("array<bigint>"))
+    own = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"), *[F.first(x).alias(x) for x in ("n", "comp", "r")])
+    own = own.select("id", "n", "comp", "r", F.transform("s", lambda x: x["h"]).alias("s"))  # a document's own prefix digests
+    many = own.select("id", "n", "comp", "r", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at")))
+    columns = ["h", "id", "n", "comp", "r", "before"]
+    pairs = meet(few.select(columns)).unionByName(meet(many.select(columns))).distinct()
+    lists = stored(live.groupBy("id").agg(F.collect_list("h").alias("s")), "prefix-lists", codec="snappy")
+    both = stored(pairs, "met").join(lists, "id").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
+    rest = lambda n: F.ceil(F.lit(num) * n / den) - 1
+    most = F.size(F.array_intersect("s", "s2")) + F.greatest(rest(F.col("n")), rest(F.col("n2")))
+    return both.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
+
+
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     """a, b, na, nb, shared: each fragment's overlap by itself, summed per pair."""
     left = segs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segs").alias("sa"))
@@ -238,22 +270,29 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     for turn in range(LEADER_ROUNDS + 1):
         if turn:
             live = live.select(*columns).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = live.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(key(turn).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()], F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
-            live = stored(live.join(mixed.select("h", "leader"), "h").select(*columns, "comp", "leader.id2", "leader.n2", "leader.i2", "leader.comp2"), "live", codec="snappy")
-        last = turn == LEADER_ROUNDS or few
+            mixed = live.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(key(turn).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()], F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
+            live = stored(live.join(mixed.select("h", "leader", "c"), "h").select(*columns, "comp", "c", "leader.id2", "leader.n2", "leader.i2", "leader.comp2"), "live", codec="snappy")
+            size, met_all = live.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)) / 2).first()
+        # All pairs of a digest's documents are met once that is no more than some times the postings, or leaders merge nothing any more.
+        last = bool(turn) and (turn == LEADER_ROUNDS or few or met_all <= MEET_ALL * size)
         if live.isEmpty():
             break
+        # What a document can share at most with one of another component: its prefix digests that still have one, and all of its rest.
+        counts = stored(live.groupBy("id").agg(F.count("*").alias("k"), F.first("n").alias("m")), "counts")
+        reach = shared_if_small(counts.select("id", (F.ceil(F.lit(num) * F.col("m") / den) - 1 + F.col("k")).alias("r")), 24)
+        live = live.join(reach, "id")
         if last:
-            other = live.select("h", *[F.col(old).alias(new) for new, old in (lead | {"comp2": "comp"}).items()])
-            met = live.select(*columns, "comp").join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den))
+            pairs = settle_all(live, num, den)
         else:
-            chosen = live.filter("comp != comp2").filter(lengths_fit(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
+            facing = live.filter("comp != comp2").filter(lengths_fit(num, den)).join(reach.select(F.col("id").alias("id2"), F.col("r").alias("r2")), "id2")
+            chosen = facing.filter(reach_fits(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
             pairs = chosen.select("id", F.col("best.id2").alias("id2"))
             pairs = stored(pairs, "leaders")
             leaders = shared_if_small(stored(pairs.select("id2").distinct(), "leader-ids"), 16)
             of_leader = live.select("h", *[F.col(old).alias(new) for new, old in lead.items()]).join(leaders, "id2", "left_semi")
             met = live.select(*columns).join(shared_if_small(pairs, 24), "id").join(of_leader, ["id2", "h"])
-        pairs = possible_pairs(met, num, den).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).dropDuplicates(["lo", "hi"])
+            pairs = possible_pairs(met, num, den)
+        pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).dropDuplicates(["lo", "hi"])
         if tried is not None:
             pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
         pairs = stored(pairs, "pairs")
