@@ -1 +1 @@
-"""functions"""
+"""Column functions: text, parsing, metrics, keyed randomness, distributions."""

@@ -1,14 +1,8 @@
-"""The catalogue of reference-operator queries: name -> Spark query, name -> DuckDB SQL."""
+"""All queries of the reference's operators: name -> Spark query, name -> DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from brindle.plans import corpus_queries
 
-
-def harvest_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("docs"))
-
-
-QUERIES = {"harvest_funnel": harvest_funnel}
-ORACLES = {"harvest_funnel": "SELECT lang, count(*) AS docs FROM documents GROUP BY lang"}
+QUERIES = {**corpus_queries.QUERIES}
+ORACLES = {**corpus_queries.ORACLES}
