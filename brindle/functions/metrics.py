@@ -8,6 +8,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brindle.functions.text import bind, col, normalize_answer
 
@@ -30,9 +31,8 @@ def exact_match(pred: Column | str, gold: Column | str) -> Column:
     return (normalize_answer(pred) == normalize_answer(gold)).cast("int")
 
 
-def token_f1(pred: Column | str, gold: Column | str) -> Column:
-    """Multiset overlap of normalised tokens; both empty 1, one empty 0."""
-    tokens = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda w: w != "")
+def multiset_f1(pred: Column, gold: Column) -> Column:
+    """F1 of the overlap of two token arrays as multisets; both empty 1, one empty 0."""
     count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
 
     def score(both: Column) -> Column:
@@ -40,7 +40,13 @@ def token_f1(pred: Column | str, gold: Column | str) -> Column:
         same = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w)))
         return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).when((F.size(p) == 0) | (F.size(g) == 0), 0.0).otherwise(2.0 * same / (F.size(p) + F.size(g)))
 
-    return bind(F.struct(tokens(pred).alias("p"), tokens(gold).alias("g")), score)
+    return bind(F.struct(pred.alias("p"), gold.alias("g")), score)
+
+
+def token_f1(pred: Column | str, gold: Column | str) -> Column:
+    """Multiset overlap of normalised tokens."""
+    tokens = lambda c: F.filter(F.split(normalize_answer(c), " "), lambda w: w != "")
+    return multiset_f1(tokens(pred), tokens(gold))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -79,11 +85,11 @@ def bleu4_score(pred: str, gold: str) -> float:
     return math.exp(logs + (0 if len(p) > len(g) else 1 - len(g) / len(p)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_score(a, b) for a, b in zip(pred, gold)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def bleu4(pred: pd.Series, gold: pd.Series) -> pd.Series:
     return pd.Series([bleu4_score(a, b) for a, b in zip(pred, gold)])

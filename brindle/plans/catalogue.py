@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.plans import corpus_queries
+from brindle.plans import corpus_queries, eval_queries
+from brindle.streaming import curation
 
-QUERIES = {**corpus_queries.QUERIES}
-ORACLES = {**corpus_queries.ORACLES}
+QUERIES = {**corpus_queries.QUERIES, **eval_queries.QUERIES, **curation.QUERIES}
+ORACLES = {**corpus_queries.ORACLES, **eval_queries.ORACLES, **curation.ORACLES}
