@@ -57,9 +57,9 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
             if tag in _ENDS_P:
-                self.close("p", {"article", "aside", "section", "div", "td", "th", "li", "blockquote", "main", "footer", "header", "nav", "form", "figure"})
+                self.end("p", {"article", "aside", "section", "div", "td", "th", "li", "blockquote", "main", "footer", "header", "nav", "form", "figure"})
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                self.close(tag, {"ul", "ol", "dl", "table", "select", *({"tr"} if tag in ("td", "th") else ())})
+                self.end(tag, {"ul", "ol", "dl", "table", "select", *({"tr"} if tag in ("td", "th") else ())})
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
@@ -73,7 +73,7 @@ class Lines(HTMLParser):
         self.holders[self.made] = (tag, self.stack[-1][1] if self.stack else 0)
         self.stack.append((tag, self.made, wanted))
 
-    def close(self, tag: str, fence: set[str]) -> None:
+    def end(self, tag: str, fence: set[str]) -> None:
         """End the innermost open `tag`, unless a fence stands before it."""
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -104,18 +104,17 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
-        self.close_input()
+        if re.match("<[!/?a-zA-Z]", self.rawdata):  # markup that the page's end cuts off
+            self.rawdata = ""
+        super().close()
         self.flush()
         return self.lines
 
-    def close_input(self) -> None:
-        try:
-            self.close_all()
-        except AssertionError:  # the parser's own check on some broken declarations
-            pass
-
-    def close_all(self) -> None:
-        HTMLParser.close(self)
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """<![ ... ]> of any kind is a comment."""
+        mark = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return end + len(mark) if end >= 0 else -1
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
