@@ -36,9 +36,9 @@ FRAGMENTS = 8
 #: Both bear on speed only: any global order gives the same pairs.
 FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
 #: Rounds in which members meet a leader before all remaining pairs are counted.
-LEADER_ROUNDS = 12
+LEADER_ROUNDS = 6
 #: They end early when meeting all makes at most so many rows for each posting, or when a round merges less than this share of the documents in question.
-MEET_ALL, FEW = 16, 0.002
+MEET_ALL, FEW = 16, 0.05
 #: Documents of a digest from which on pairs are made at the first common digest only.
 MANY = 32
 #: Bits of the map that tells which documents a second reading needs.
