@@ -18,7 +18,7 @@ import unicodedata
 import regex
 
 #: Distinct chunks a worker remembers; beyond it the memory is emptied (speed only).
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 1_200_000
 #: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\x01")
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
