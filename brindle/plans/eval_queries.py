@@ -364,7 +364,7 @@ def judge_kappa(spark, sf_dir):
 _VERDICT = "SELECT event_type AS source, (event_id % 11 - 5) / 100.0 AS delta, (event_id * 7 % 97) / 97.0 AS p, (event_id % 9 - 4) / 10.0 AS dz FROM events"
 
 
-@query("verdict_counts", f"SELECT source, count(*) AS n, count(*) FILTER (WHERE delta > 0) AS wins, count(*) FILTER (WHERE p < 0.05 AND delta > 0) AS sig_wins, count(*) FILTER (WHERE p < 0.05 AND delta < 0) AS sig_losses, count(*) FILTER (WHERE abs(delta) < 0.005) AS ties, round(avg(delta), 6) AS mean_delta, round(avg(dz), 6) AS mean_effect, round(quantile_cont(p, 0.5), 6) AS median_p, CASE WHEN count(*) FILTER (WHERE p < 0.05 AND delta > 0) > count(*) FILTER (WHERE p < 0.05 AND delta < 0) THEN 'mixed_better' WHEN count(*) FILTER (WHERE p < 0.05 AND delta > 0) < count(*) FILTER (WHERE p < 0.05 AND delta < 0) THEN 'worse' ELSE 'mixed' END AS verdict FROM ({_VERDICT}) GROUP BY 1")
+@query("verdict_counts", f"WITH v AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE delta > 0) AS wins, count(*) FILTER (WHERE p < 0.05 AND delta > 0) AS sig_wins, count(*) FILTER (WHERE p < 0.05 AND delta < 0) AS sig_losses, count(*) FILTER (WHERE abs(delta) < 0.005) AS ties, round(avg(delta), 6) AS mean_delta, round(avg(dz), 6) AS mean_effect, round(quantile_cont(p, 0.5), 6) AS median_p FROM ({_VERDICT}) GROUP BY 1) SELECT *, CASE WHEN sig_wins >= 3 AND sig_losses = 0 THEN 'sig_better' WHEN sig_wins > sig_losses THEN 'mixed_better' WHEN sig_wins = 0 AND sig_losses = 0 THEN 'tied' WHEN sig_losses > sig_wins THEN 'worse' ELSE 'mixed' END AS verdict FROM v")
 def verdict_counts(spark, sf_dir):
     """A30, A31, A33, H24."""
     e = table(spark, sf_dir, "events")
