@@ -206,8 +206,9 @@ def settle_all(live: DataFrame, num: int, den: int) -> DataFrame:
     lists = stored(live.groupBy("id").agg(F.collect_list("h").alias("s")), "prefix-lists", codec="snappy")
     both = stored(pairs, "met").join(lists, "id").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
     rest = lambda n: F.ceil(F.lit(num) * n / den) - 1
-    most = F.size(F.array_intersect("s", "s2")) + F.greatest(rest(F.col("n")), rest(F.col("n2")))
-    return both.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
+    counted = both.select("id", "id2", "n", "n2", F.size(F.array_intersect("s", "s2")).alias("c"))
+    most = F.col("c") + F.greatest(rest(F.col("n")), rest(F.col("n2")))
+    return counted.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2", "c")
 
 
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
@@ -267,22 +268,27 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
 
     comp = tried = segs = None
     few = False
-    for turn in range(LEADER_ROUNDS + 1):
+    meeting = 0  # 1: each document with the partner it shares most with; 2: all pairs that still lie in different components
+    for turn in range(LEADER_ROUNDS + 2):
         if turn:
             live = live.select(*columns).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             mixed = live.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(key(turn).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()], F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
             live = stored(live.join(mixed.select("h", "leader", "c"), "h").select(*columns, "comp", "c", "leader.id2", "leader.n2", "leader.i2", "leader.comp2"), "live", codec="snappy")
             size, met_all = live.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)) / 2).first()
-        # All pairs of a digest's documents are met once that is no more than some times the postings, or leaders merge nothing any more.
-        last = bool(turn) and (turn == LEADER_ROUNDS or few or met_all <= MEET_ALL * size)
+            # All pairs of a digest's documents are met once that is no more than some times the postings, or leaders merge little.
+            meeting = meeting + 1 if meeting or turn == LEADER_ROUNDS or few or met_all <= MEET_ALL * size else 0
         if live.isEmpty():
             break
         # What a document can share at most with one of another component: its prefix digests that still have one, and all of its rest.
         counts = stored(live.groupBy("id").agg(F.count("*").alias("k"), F.first("n").alias("m")), "counts")
         reach = shared_if_small(counts.select("id", (F.ceil(F.lit(num) * F.col("m") / den) - 1 + F.col("k")).alias("r")), 24)
         live = live.join(reach, "id")
-        if last:
+        if meeting:
             pairs = settle_all(live, num, den)
+            if meeting == 1:
+                pairs = stored(pairs, "partners")
+                ways = pairs.unionByName(pairs.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "c"))
+                pairs = ways.groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best")).select("id", "best.id2")
         else:
             facing = live.filter("comp != comp2").filter(lengths_fit(num, den)).join(reach.select(F.col("id").alias("id2"), F.col("r").alias("r2")), "id2")
             chosen = facing.filter(reach_fits(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
@@ -305,7 +311,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             segs = more if segs is None else segs.unionByName(more)
         if pairs.isEmpty():
             few, comp = True, comp if comp is not None else spark.createDataFrame([], "id long, comp long")
-            if last:
+            if meeting == 2:
                 break
             continue
         counted = stored(count_overlaps(pairs, segs), "overlaps")
@@ -322,7 +328,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
             known = comp.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
             comp = stored(known.unionByName(merged.join(comp, "id", "left_anti")), "components")
-        if last:
+        if meeting == 2:
             break
 
     of_class = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"))
