@@ -167,8 +167,15 @@ def lengths_fit(num: int, den: int) -> Column:
     return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
 
 
+def rest(n: Column, num: int, den: int) -> Column:
+    """Digests of a set of n beyond its prefix."""
+    return F.ceil(F.lit(num) * n / den) - 1
+
+
 def reach_fits(num: int, den: int) -> Column:
-    return (num + den) * F.least("r", "r2") >= num * (F.col("n") + F.col("n2"))
+    """Common digests up to the end of the prefix that ends first are live in both sets (k, k2); the others lie in that set's rest."""
+    most = F.least("k", "k2") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den))
+    return (num + den) * most >= num * (F.col("n") + F.col("n2"))
 
 
 def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
@@ -179,18 +186,17 @@ def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """
     seen = met.groupBy("id", "id2").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.first("n").alias("n"), F.first("n2").alias("n2"))
     most = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2"))
-    rest = lambda n: F.ceil(F.lit(num) * n / den) - 1
-    most = F.least(most, F.col("c") + F.greatest(rest(F.col("n")), rest(F.col("n2"))))
+    most = F.least(most, F.col("c") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den)))
     return seen.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
 
 
 def settle_all(live: DataFrame, num: int, den: int) -> DataFrame:
     """id, id2 of all pairs of different components that share a prefix digest and may reach the threshold, each once.
 
-    live(h, id, n, comp, r, c).  Where a digest has many documents, a row also carries the document's earlier
+    live(h, id, n, comp, k, c).  Where a digest has many documents, a row also carries the document's earlier
     digests of that kind, and a pair is made at its first common one only.
     """
-    sides = {"id": "id2", "n": "n2", "comp": "comp2", "r": "r2", "before": "before2"}
+    sides = {"id": "id2", "n": "n2", "comp": "comp2", "k": "k2", "before": "before2"}
 
     def meet(rows: DataFrame) -> DataFrame:
         other = rows.select("h", *[F.col(old).alias(new) for old, new in sides.items()])
@@ -198,16 +204,15 @@ def settle_all(live: DataFrame, num: int, den: int) -> DataFrame:
         return rows.join(other, "h").filter("id < id2 and comp != comp2").filter(fits).select("id", "id2", "n", "n2")
 
     few = live.filter(F.col("c") <= MANY).withColumn("before", F.array().cast("array<bigint>"))
-    own = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"), *[F.first(x).alias(x) for x in ("n", "comp", "r")])
-    own = own.select("id", "n", "comp", "r", F.transform("s", lambda x: x["h"]).alias("s"))  # a document's own prefix digests
-    many = own.select("id", "n", "comp", "r", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at")))
-    columns = ["h", "id", "n", "comp", "r", "before"]
+    own = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"), *[F.first(x).alias(x) for x in ("n", "comp", "k")])
+    own = own.select("id", "n", "comp", "k", F.transform("s", lambda x: x["h"]).alias("s"))  # a document's own prefix digests
+    many = own.select("id", "n", "comp", "k", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at")))
+    columns = ["h", "id", "n", "comp", "k", "before"]
     pairs = meet(few.select(columns)).unionByName(meet(many.select(columns))).distinct()
     lists = stored(live.groupBy("id").agg(F.collect_list("h").alias("s")), "prefix-lists", codec="snappy")
     both = stored(pairs, "met").join(lists, "id").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-    rest = lambda n: F.ceil(F.lit(num) * n / den) - 1
     counted = both.select("id", "id2", "n", "n2", F.size(F.array_intersect("s", "s2")).alias("c"))
-    most = F.col("c") + F.greatest(rest(F.col("n")), rest(F.col("n2")))
+    most = F.col("c") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den))
     return counted.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2", "c")
 
 
@@ -279,9 +284,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             meeting = meeting + 1 if meeting or turn == LEADER_ROUNDS or few or met_all <= MEET_ALL * size else 0
         if live.isEmpty():
             break
-        # What a document can share at most with one of another component: its prefix digests that still have one, and all of its rest.
-        counts = stored(live.groupBy("id").agg(F.count("*").alias("k"), F.first("n").alias("m")), "counts")
-        reach = shared_if_small(counts.select("id", (F.ceil(F.lit(num) * F.col("m") / den) - 1 + F.col("k")).alias("r")), 24)
+        # What a document can share in its prefix with one of another component: the digests there that still have one.
+        counts = stored(live.groupBy("id").agg(F.count("*").alias("k")), "counts")
+        reach = shared_if_small(counts, 24)
         live = live.join(reach, "id")
         if meeting:
             pairs = settle_all(live, num, den)
@@ -290,7 +295,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
                 ways = pairs.unionByName(pairs.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "c"))
                 pairs = ways.groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best")).select("id", "best.id2")
         else:
-            facing = live.filter("comp != comp2").filter(lengths_fit(num, den)).join(reach.select(F.col("id").alias("id2"), F.col("r").alias("r2")), "id2")
+            facing = live.filter("comp != comp2").filter(lengths_fit(num, den)).join(reach.select(F.col("id").alias("id2"), F.col("k").alias("k2")), "id2")
             chosen = facing.filter(reach_fits(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
             pairs = chosen.select("id", F.col("best.id2").alias("id2"))
             pairs = stored(pairs, "leaders")
