@@ -8,6 +8,11 @@ Units of a document, over its normalised words (white space apart, A-Z as a-z):
   has a run that both pick, wherever it stands in its line.
 Digests are grouped globally and the occurrence of the lowest rank (doc_id, digest of the text,
 place) stays; the words of all others go.  An occurrence that overlaps the kept one stays.
+
+The picked runs alone leave holes and ends of a passage.  With `whole_passages` they are anchors only:
+the texts are read again, and around each pick whose digest repeats, `run` words to both sides, all
+runs are units.  Picks inside a shared passage of 2 * run words or more are the same in both texts, at
+most run + 1 apart and at most `run` from its ends, so all its runs are units in both, and it goes whole.
 """
 
 from __future__ import annotations
@@ -22,9 +27,40 @@ from pyspark.sql import types as T
 
 from brindle.llm.tokens import forget
 from brindle.llm.words import NONSPACE, blocks, runs, spans, stretches, utf8, word_digests
-from brindle.sources.scratch import stored
+from brindle.sources.scratch import shared_if_small, stored
 
 UNIT_SCHEMA = "h long, doc_id long, tk long, at int, n int"
+#: Bits for each repeated digest in the filter of the second reading, and its most bits.  Both bear on speed only: the digests it lets through are counted.
+FILTER_BITS, FILTER_MOST = 16, 1 << 29
+_PROBES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def filter_places(h: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each digest in a filter of `bits` bits (a power of two), one column for each probe."""
+    return (h[:, None] * _PROBES) >> np.uint64(65 - bits.bit_length())
+
+
+def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether all places of each digest are set: true for every digest that the filter was made of."""
+    at = filter_places(h, 64 * len(words))
+    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
+def digest_filter(digests: DataFrame) -> np.ndarray:
+    """A Bloom filter of digests(h), made on the executors: at most FILTER_MOST / 64 rows reach the driver."""
+    bits = 1 << min(FILTER_MOST.bit_length() - 1, max(10, (FILTER_BITS * digests.count()).bit_length()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(filter_places(np.asarray(batch.column(0), np.int64).view(np.uint64), bits))
+            w, first = np.unique((at >> np.uint64(6)).astype(np.int32), return_index=True)
+            if len(w):
+                yield pa.record_batch([pa.array(w), pa.array(np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64))], names=["w", "bits"])
+
+    got = digests.select("h").mapInArrow(place, "w int, bits long").groupBy("w").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return words.view(np.uint64)
 
 
 def winnow(digests: np.ndarray, width: int) -> np.ndarray:
@@ -44,8 +80,19 @@ def winnow(digests: np.ndarray, width: int) -> np.ndarray:
     return np.unique(at)
 
 
-def units(raw: np.ndarray, offs: np.ndarray, run: int, min_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, digest, first word, words) of all units."""
+def around(picked: np.ndarray, reach: int, n: int) -> np.ndarray:
+    """The places below n that are at most `reach` from a picked one."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(picked - reach, 0), 1)
+    np.add.at(edge, np.minimum(picked + reach + 1, n), -1)
+    return np.flatnonzero(np.cumsum(edge[:n]) > 0)
+
+
+def units(raw: np.ndarray, offs: np.ndarray, run: int, min_line: int, copy: np.ndarray | None = None, repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, digest, first word, words) of all units; of texts marked in `copy` the whole text only.
+
+    With the filter `repeated`: the units that pass it, and all runs around the picked ones that do.
+    """
     starts, ends, first = spans(raw, offs, NONSPACE)
     words = word_digests(raw, starts, ends)
     # lines: a word opens one if a line feed stands between it and the word before
@@ -56,14 +103,20 @@ def units(raw: np.ndarray, offs: np.ndarray, run: int, min_line: int) -> tuple[n
     sizes = np.diff(np.append(heads, len(words)))
     doc_of = np.searchsorted(first, heads, "right") - 1
     full = np.flatnonzero(np.diff(first) > 0)
-    long = sizes >= min_line
+    copy = np.zeros(len(offs) - 1, bool) if copy is None else copy
+    long = (sizes >= min_line) & ~copy[doc_of]
     parts = [  # whole texts, lines, passages
         (full, stretches(words, first[full], first[full + 1]) ^ np.uint64(1), np.zeros(len(full), np.int64), np.diff(first)[full]),
         (doc_of[long], stretches(words, heads[long], heads[long] + sizes[long]) ^ np.uint64(2), heads[long] - first[doc_of[long]], sizes[long]),
     ]
     grams = runs(words, run)
-    for d in np.flatnonzero(np.diff(first) >= run).tolist():
-        picked = winnow(grams[first[d] : first[d + 1] - run + 1], run + 1)
+    if repeated is not None:
+        parts = [tuple(x[kept] for x in part) for part in parts for kept in [passes(repeated, part[1])]]
+    for d in np.flatnonzero((np.diff(first) >= run) & ~copy).tolist():
+        own = grams[first[d] : first[d + 1] - run + 1]
+        picked = winnow(own, run + 1)
+        if repeated is not None:
+            picked = around(picked[passes(repeated, own[picked] ^ np.uint64(3))], run, len(own))
         parts.append((np.full(len(picked), d), grams[first[d] + picked] ^ np.uint64(3), picked, np.full(len(picked), run)))
     doc, h, at, n = (np.concatenate(x) for x in zip(*parts))
     return doc, h, at.astype(np.int32), n.astype(np.int32)
@@ -73,30 +126,51 @@ def text_key(text: Column | str) -> Column:
     return F.xxhash64(text)
 
 
-def find_units(docs: DataFrame, run: int, min_line: int) -> DataFrame:
+def find_units(docs: DataFrame, run: int, min_line: int, repeated=None) -> DataFrame:
+    """The units of docs(doc_id, text, tk, copy); `repeated` is a broadcast filter."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for lo, _, raw, offs in blocks(batch.column(1)):
-                doc, h, at, n = units(raw, offs, run, min_line)
+            copy = np.asarray(batch.column(3)).astype(bool)
+            for lo, hi, raw, offs in blocks(batch.column(1)):
+                doc, h, at, n = units(raw, offs, run, min_line, copy[lo:hi], None if repeated is None else repeated.value)
                 where = pa.array(doc + lo)
                 yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(0).take(where), batch.column(2).take(where), pa.array(at), pa.array(n)], names=["h", "doc_id", "tk", "at", "n"])
 
-    return docs.select("doc_id", "text", "tk").mapInArrow(find, UNIT_SCHEMA)
+    return docs.select("doc_id", "text", "tk", "copy").mapInArrow(find, UNIT_SCHEMA)
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """h and the kept occurrence of the units that occur more than once."""
+    place = F.struct("doc_id", "tk", "at")
+    return found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f != l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.tk").alias("f_tk"), F.col("f.at").alias("f_at"))
+
+
+def mark_copies(rows: DataFrame) -> DataFrame:
+    """Adds copy: a document of lower doc_id has the same text."""
+    kept = rows.groupBy("tk").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).filter("f != l").select(F.col("tk").alias("k_tk"), F.col("f.doc_id").alias("k_doc"))
+    marked = rows.join(shared_if_small(stored(kept, "copied-texts"), 16), F.col("tk") == F.col("k_tk"), "left")
+    return marked.withColumn("copy", F.col("k_tk").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("k_doc"))).drop("k_tk", "k_doc")
 
 
-def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, whole_passages: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (what stays), n_words, n_removed, removed (spans of code points of the original text), and the columns to carry.
 
     Null text stays null and has no units; texts without words stay as they are.  Rows that agree in
     doc_id and text are one document and get the same result; a null doc_id ranks first.  Repeats inside
     one document count like repeats between documents.  An empty table gives no rows.
     """
+    spark = docs.sparkSession
     carried = F.struct(*map(F.col, carry)) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried")).withColumn("tk", text_key("text"))
-    found = find_units(rows, run, min_line)
-    firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "tk", "at")).alias("f"), F.max(F.struct("doc_id", "tk", "at")).alias("l")).filter("f != l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.tk").alias("f_tk"), F.col("f.at").alias("f_at"))
-    firsts = stored(firsts, "repeated-units")  # so that a very common unit can be split in the join below
+    if whole_passages:
+        marked = mark_copies(rows.select("doc_id", "text", "tk"))
+        sampled = stored(repeats(find_units(marked, run, min_line)).select("h"), "repeated-samples")
+        found = find_units(marked, run, min_line, spark.sparkContext.broadcast(digest_filter(sampled)))
+    else:
+        found = find_units(rows.withColumn("copy", F.lit(False)), run, min_line)
+    firsts = stored(repeats(found), "repeated-units")  # so that a very common unit can be split in the join below
     same = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("tk") == F.col("f_tk"))
     later = found.join(firsts, "h").filter(~same | (F.col("at") >= F.col("f_at") + F.col("n")))
     gone = later.groupBy(F.col("doc_id").alias("g_doc"), F.col("tk").alias("g_tk")).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
@@ -106,20 +180,21 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch.column(1))
+            spot_offs = batch.column(2).offsets.to_numpy()
+            spot_at, spot_n = (x.to_numpy() for x in batch.column(2).values.flatten())
             texts, n_words, n_gone, removed = [], [], [], []
-            for i, spots in enumerate(batch.column(2).to_pylist()):
+            for i, spots in enumerate(slice(a, b) for a, b in zip(spot_offs[:-1].tolist(), spot_offs[1:].tolist())):
                 own = raw[offs[i] : offs[i + 1]]
                 starts, ends, _ = spans(own, np.array([0, len(own)]), NONSPACE)
                 n_words.append(len(starts))
-                if not spots or not batch.column(1)[i].is_valid:
+                if spots.start == spots.stop or not batch.column(1)[i].is_valid:
                     texts.append(batch.column(1)[i].as_py())
                     n_gone.append(0)
                     removed.append([])
                     continue
                 cover = np.zeros(len(starts) + 1, np.int64)
-                for s in spots:
-                    cover[s["at"]] += 1
-                    cover[s["at"] + s["n"]] -= 1
+                np.add.at(cover, spot_at[spots], 1)
+                np.add.at(cover, spot_at[spots] + spot_n[spots], -1)
                 off = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
                 a, b = np.flatnonzero(off[1:] & ~off[:-1]), np.flatnonzero(off[:-1] & ~off[1:])
                 chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
@@ -141,4 +216,4 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, id_c
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every document's remaining text and the removed spans of the original."""
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole_passages=True)

@@ -4,7 +4,7 @@ import random
 
 from test_llm_operators import components
 
-from brindle.llm import ngram_join
+from brindle.llm import ngram_join, substring
 
 
 def test_ngram_join_of_unequal_sizes(spark):
@@ -19,3 +19,21 @@ def test_ngram_join_of_unequal_sizes(spark):
     rows += [(len(rows) + i, " ".join(t.split()[-rng.randrange(8, 14) :]) + " " + " ".join(f"z{i}y{j}" for j in range(30))) for i, (_, t) in enumerate(list(rows))]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == components(rows)
+
+
+def test_substring_dedup_removes_whole_passages(spark):
+    rng, rows, want = random.Random(4), [], {}
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for g in range(60):
+        passage, cut = own(rng.choice([50, 51, 60, 77, 120, 300])), rng.randrange(30)
+        for i, p in enumerate([passage, passage, passage[cut:] if len(passage) - cut >= 50 else passage]):  # a third text that has a part only
+            a, b = own(rng.randrange(1, 60)), own(rng.randrange(1, 60))
+            want[len(rows)] = a + b if i else a + p + b
+            rows.append((len(rows), " ".join(a + p + b)))
+    copied = " ".join(own(80))
+    rows += [(1000, copied), (1001, copied), (1002, " ".join(own(9)) + " " + copied), (None, copied), (1003, None), (1004, "")]
+    want |= {1000: [], 1001: [], 1002: rows[-4][1].split()[:9], None: copied.split(), 1003: None, 1004: []}
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), whole_passages=True).collect()
+    assert {r.doc_id: None if r.text is None else r.text.split() for r in got} == want and len(got) == len(rows)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert substring.dedup_substrings(empty, whole_passages=True).count() == 0
