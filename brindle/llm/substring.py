@@ -216,4 +216,4 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, whol
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every document's remaining text and the removed spans of the original."""
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole_passages=True)
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_line=1, whole_passages=True)

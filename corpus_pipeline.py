@@ -39,7 +39,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines and passages go, all but their first occurrence; documents of which nothing is left go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = dedup_substrings(docs, whole_passages=True, carry=others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    left = dedup_substrings(docs, min_line=1, whole_passages=True, carry=others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from test_llm_operators import components
 
 from brindle.llm import ngram_join, substring
@@ -37,3 +38,16 @@ def test_substring_dedup_removes_whole_passages(spark):
     assert {r.doc_id: None if r.text is None else r.text.split() for r in got} == want and len(got) == len(rows)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup_substrings(empty, whole_passages=True).count() == 0
+
+
+def test_short_lines_that_repeat_go(spark, tmp_path):
+    rng = random.Random(6)
+    own = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(30))
+    lines = ["All rights reserved.", "one", "a line of seven words in all", "\tTwo  words"]
+    rows = [(i, "\n".join(x for line in rng.sample(lines, len(lines)) for x in (own(), line)), "en", "s", 1) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [x for x in t.split("\n") if x not in lines] if i else t.split("\n") for i, t, *_ in rows}
+    got = substring.op8_substring_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text.split() for r in got} == {i: " ".join(x).split() for i, x in want.items()}
+    got = corpus_pipeline.substring_dedup(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert {r.doc_id: r.text.split() for r in got} == {i: " ".join(x).split() for i, x in want.items()}
