@@ -37,51 +37,45 @@ def label_of(identifier: str) -> str:
     return next((label for start, label in FAMILIES.items() if low.startswith(start)), low)
 
 
-def to_postfix(tokens: list[str]) -> list[str] | None:
-    """Shunting yard; None if the expression is malformed."""
-    out, stack, operand = [], [], False
-    for t in tokens:
+def to_postfix(expression: str) -> list[str]:
+    """Shunting yard over the tokens up to the first that cannot follow; the postfix form of their longest well-formed head, empty if there is none."""
+    out, stack, operand, depth = [], [], False, 0
+    best = 0, []  # tokens put out and operators pending where the head was last well formed
+    for t in (m.group() for m in _TOKEN.finditer(expression)):
         low = t.lower()
         if low in _PRIORITY:
             if not operand:
-                return None
+                break
             while stack and stack[-1] != "(" and _PRIORITY[stack[-1]] >= _PRIORITY[low]:
                 out.append(stack.pop())
             stack.append(low)
             operand = False
         elif t == "(":
             if operand:
-                return None
+                break
             stack.append(t)
+            depth += 1
         elif t == ")":
-            if not operand:
-                return None
-            while stack and stack[-1] != "(":
+            if not operand or not depth:
+                break
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                return None
             stack.pop()
+            depth -= 1
         else:
             if operand:
-                return None
+                break
             out.append(t)
             operand = True
-    if not operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if operand and not depth:  # then at most one operator of each priority is pending
+            best = len(out), stack[::-1]
+    return out[: best[0]] + best[1]
 
 
 def evaluate(expression: str) -> tuple[float, list[str]] | None:
     """(permissiveness, labels) of a licence expression; the longest well-formed head of the tokens counts, None if there is none."""
-    tokens = _TOKEN.findall(expression)[:200]
-    # juxtaposed names end an expression: keep the head before the first
-    for i in range(1, len(tokens)):
-        if not ({tokens[i].lower(), tokens[i - 1].lower()} & {*_PRIORITY, "(", ")"}):
-            tokens = tokens[:i]
-            break
-    while tokens and (postfix := to_postfix(tokens)) is None:
-        tokens = tokens[:-1]
-    if not tokens:
+    postfix = to_postfix(expression)
+    if not postfix:
         return None
     stack: list[tuple[float, bool]] = []
     labels = []

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_llm_operators import components
 
-from brindle.llm import ngram_join, substring
+from brindle.llm import licences, ngram_join, substring
 
 
 def test_ngram_join_of_unequal_sizes(spark):
@@ -51,3 +51,13 @@ def test_short_lines_that_repeat_go(spark, tmp_path):
     assert {r.doc_id: r.text.split() for r in got} == {i: " ".join(x).split() for i, x in want.items()}
     got = corpus_pipeline.substring_dedup(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
     assert {r.doc_id: r.text.split() for r in got} == {i: " ".join(x).split() for i, x in want.items()}
+
+
+def test_long_licence_expressions_count_whole():
+    names = ["MIT", "Apache-2.0", "BSD-3-Clause"] * 200
+    assert licences.evaluate(" AND ".join([*names, "GPL-3.0"])) == (0.3, ["mit", "apache", "bsd"] * 200 + ["gpl"])
+    assert licences.evaluate("(" + " OR ".join(["GPL-3.0"] * 400) + ") AND (MIT OR GPL-2.0) AND (MIT") == (0.3, ["gpl"] * 400 + ["mit", "gpl"])
+    assert licences.evaluate("(" * 300 + "MIT" + ")" * 300 + " words") == (1.0, ["mit"])
+    assert licences.evaluate("(" + " OR ".join(["MIT"] * 400)) is None
+    labels, score = licences.Scanner(licences.BASE).scan("SPDX-License-Identifier: " + " AND ".join([*names, "AGPL-3.0"]) + "\nx")[3:]
+    assert len(labels) == 601 and labels[-1] == "agpl" and score == 0.2
