@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from brindle.llm.tokens import forget
 from brindle.llm.words import blocks
 
 UNDETERMINED = "und"
-#: Texts that the model is fitted on at most, and bytes of each that it sees; predictions always read whole texts.
+#: Texts that the model is fitted on at most (one of each language at least), and bytes of each that it sees; predictions always read whole texts.
 FIT_TEXTS, FIT_BYTES = 2000, 20_000
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 12
@@ -90,7 +90,7 @@ class Model:
         return best, share[np.arange(len(best)), best], close
 
 
-def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Model:
+def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5, fit_bytes: int = FIT_BYTES) -> Model:
     """Logistic bits on standardised hashed frequencies, full-batch gradient steps with momentum; no randomness."""
     languages = sorted(set(langs))
     code = codewords(len(languages))
@@ -98,7 +98,7 @@ def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200,
         return Model([], code, np.zeros((max_n, BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape[1]))
     x = np.zeros((len(texts), max_n * BUCKETS), np.float32)
     for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode()[:FIT_BYTES], np.uint8)
+        raw = np.frombuffer(t.encode()[:fit_bytes], np.uint8)
         for n in range(1, max_n + 1):
             x[i, (n - 1) * BUCKETS : n * BUCKETS] = np.bincount(ngram_buckets(raw, n)[n - 1 :], minlength=BUCKETS) / max(len(raw), 1)
     y = code[[languages.index(v) for v in langs]]
@@ -117,13 +117,27 @@ def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200,
     return Model(languages, code, w.reshape(max_n, BUCKETS, -1), bias, trust)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS) -> Model:
-    """Fit on the `fit_texts` labelled, not held-out documents of least hash; the sample is chosen without its texts and then read."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Fit on labelled, not held-out documents; the sample is chosen without its texts and then read, of each the first `fit_bytes` bytes.
+
+    Every language gets an equal part of `fit_texts`, its documents of least hash, one at least; one that has fewer gives all.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
     known = rows.filter(F.col("__lang").isNotNull() & F.col("__text").isNotNull() & ~held_out("__id") & F.col("__id").isNotNull())
-    chosen = known.select("__id").orderBy(F.xxhash64("__id"), "__id").limit(fit_texts).distinct()
-    sample = known.join(F.broadcast(chosen), "__id").select("__lang", F.substring("__text", 1, FIT_BYTES).alias("__text")).orderBy(F.xxhash64("__text"), "__lang").limit(2 * fit_texts).toArrow()
-    return train(sample.column("__text").to_pylist(), sample.column("__lang").to_pylist())
+    ids = known.select("__id", "__lang", F.pmod(F.xxhash64("__id"), F.lit(1 << 40)).alias("__key"))
+    sizes = ids.groupBy("__lang").agg(F.count("*").alias("__n"), F.min("__key").alias("__least")).toArrow()
+    if not sizes.num_rows:
+        return train([], [])
+    each = max(1, fit_texts // sizes.num_rows)
+    # The documents below a language's bound are about twice what it needs and 50; its least is always among them.
+    bound = F.greatest("__least", (F.lit(float(1 << 40)) * (2 * each + 50) / F.col("__n")).cast("long"))
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(sizes).select(F.col("__lang"), bound.alias("__bound")))
+    turn = F.row_number().over(Window.partitionBy("__lang").orderBy("__key", "__id"))
+    near = ids.join(bounds, "__lang").filter("__key <= __bound").select("__id", "__lang", "__key").distinct()
+    chosen = near.withColumn("__turn", turn).filter(F.col("__turn") <= each).select("__id", "__lang", "__turn")
+    drawn = known.join(F.broadcast(chosen), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min(F.substring("__text", 1, fit_bytes)).alias("__text"))
+    sample = drawn.orderBy(F.xxhash64("__text"), "__lang").toArrow()
+    return train(sample.column("__text").to_pylist(), sample.column("__lang").to_pylist(), fit_bytes=fit_bytes)
 
 
 def held_out(id_string: str):

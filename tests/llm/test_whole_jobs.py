@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_llm_operators import components
 
-from brindle.llm import licences, ngram_join, substring
+from brindle.llm import language, licences, ngram_join, substring
 
 
 def test_ngram_join_of_unequal_sizes(spark):
@@ -61,3 +61,11 @@ def test_long_licence_expressions_count_whole():
     assert licences.evaluate("(" + " OR ".join(["MIT"] * 400)) is None
     labels, score = licences.Scanner(licences.BASE).scan("SPDX-License-Identifier: " + " AND ".join([*names, "AGPL-3.0"]) + "\nx")[3:]
     assert len(labels) == 601 and labels[-1] == "agpl" and score == 0.2
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(rng.choice(["the", "thing", "other"]) + rng.choice("aeiou") for _ in range(20)), "aa") for i in range(3000)]
+    data += [(3000 + i, "żółw źdźbło ćma ŝĝ " * 9, "zz") for i in range(4)] + [(7, "ñañu ñoño " * 9, "yy")] * 5  # repeated rows with one id
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), fit_texts=30)
+    assert model.languages == ["aa", "yy", "zz"]
