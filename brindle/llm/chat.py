@@ -87,17 +87,36 @@ def turns_of_records(records: DataFrame, record_col: str, layouts: tuple[Layout,
     return found.withColumns({"layout": layout, "turns": turns})
 
 
+def schema_paths(kind: T.DataType, above: str = "") -> list[str]:
+    """All field paths of a schema, through structs and lists of structs."""
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind, above)
+    fields = kind.fields if isinstance(kind, T.StructType) else []
+    return [p for f in fields for p in (above + f.name, *schema_paths(f.dataType, f"{above}{f.name}."))]
+
+
+def row_mapping(table: DataFrame) -> tuple[str, str, str, str] | None:
+    """The row layout whose fingerprint is that of the table's field paths, of those that the layout knows; None: no layout's."""
+    own = set(schema_paths(table.schema))
+    prints = [fingerprint_of(tuple(own & set(paths))) for paths in ROW_LAYOUTS]
+    found = table.sparkSession.range(1).select(*[p.alias(f"own{i}") for i, p in enumerate(prints)], *[fingerprint_of(p).alias(f"known{i}") for i, p in enumerate(ROW_LAYOUTS)]).first()
+    by_print = {found[f"known{i}"]: mapping for i, mapping in enumerate(ROW_LAYOUTS.values())}
+    return next((by_print[found[f"own{i}"]] for i in range(len(prints)) if found[f"own{i}"] in by_print), None)
+
+
 def turns_of_rows(table: DataFrame) -> DataFrame:
-    """conv_id, turns of a table with one row for each turn; its own field paths select the mapping.
+    """conv_id, turns of a table with one row for each turn; the fingerprint of its own field paths selects the mapping.
 
     Rows of a conversation are ordered by turn, then role and text; null roles and texts are empty.
     """
-    for paths, (conv, order, role, text) in ROW_LAYOUTS.items():
-        if set(paths) <= set(table.columns):
-            rows = table.select(F.col(conv).alias("conv_id"), F.col(order).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-            return grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    raise ValueError(f"no layout of turn rows has the fields {table.columns}")
+    mapping = row_mapping(table)
+    if mapping is None:
+        raise ValueError(f"no layout of turn rows has the fields {table.columns}")
+    conv, order, role, text = mapping
+    rows = table.select(F.col(conv).alias("conv_id"), F.col(order).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return grouped.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def escape(text: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from test_llm_operators import components
 
-from brindle.llm import language, licences, ngram_join, substring
+from brindle.llm import chat, language, licences, ngram_join, substring
 
 
 def test_ngram_join_of_unequal_sizes(spark):
@@ -69,3 +69,14 @@ def test_rare_languages_are_learned(spark):
     data += [(3000 + i, "żółw źdźbło ćma ŝĝ " * 9, "zz") for i in range(4)] + [(7, "ñañu ñoño " * 9, "yy")] * 5  # repeated rows with one id
     model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), fit_texts=30)
     assert model.languages == ["aa", "yy", "zz"]
+
+
+def test_fingerprints_choose_the_row_mapping(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(chat, "fingerprint_of", lambda paths, real=chat.fingerprint_of: seen.append(tuple(sorted(paths))) or real(paths))
+    one = spark.createDataFrame([(1, 0, "user", "a", "x")], "conv_id long, turn long, role string, text string, more string")
+    two = spark.createDataFrame([("b", 1, "user", 0)], "content string, conversation_id long, role string, position long")
+    assert [tuple(t) for t in chat.turns_of_rows(one).first().turns] == [("user", "a")] and ("conv_id", "role", "text", "turn") in seen
+    assert [tuple(t) for t in chat.turns_of_rows(two).first().turns] == [("user", "b")]
+    nested = spark.createDataFrame([], "a struct<b: array<struct<c: int>>, d: int>, e string")
+    assert chat.schema_paths(nested.schema) == ["a", "a.b", "a.b.c", "a.d", "e"] and chat.row_mapping(nested) is None
