@@ -2,17 +2,21 @@
 
 A document's set is its distinct word shingles, as 64-bit digests.  All digests have one global
 order: those that repeat in many documents of a block of text come last, each part by digest.
-The order is cut into fragments; a document's set becomes one segment for each fragment.
+The order is cut into fragments; a set's part in each fragment is a row of its own.
 
 1. Equal sets form one class (exact copies cost one row from here on).
 2. Two sets that reach the threshold share a digest among the first n - ceil(t n) + 1 of the
-   order, so only these prefixes are inverted.
-3. For a candidate pair, overlaps are counted in each fragment by itself and summed per pair.
-4. Linked pairs are merged into components.  Within a prefix digest's documents, candidates are
-   taken in rounds: first each against one leader, so that a large group of near copies falls into
-   one component by as many pairs as it has members; then every pair that is still in different
-   components is counted.  A pair is left out only if it is already in one component, so no link
-   is lost to the components.
+   order, so only these prefixes are inverted.  Digests that one class alone has are dropped.
+3. Candidates are bounded from above before whole sets move: by lengths, by common prefix digests,
+   and by a map of each set's digests (a bit is the parity of the digests that fall on it; bits that
+   differ are digests that only one of the two sets has).
+4. For the candidates left, overlaps are counted in each fragment by itself, by (fragment, set), and
+   summed per pair.
+5. Linked pairs are merged into components.  Candidates are taken in rounds: first each document
+   against one leader for each prefix digest, so that a large group of near copies falls into one
+   component by as many pairs as it has members; then all that still lie in different components and
+   pass the bounds, inside the join that makes them.  A pair is left out only if it is in one
+   component already or a bound rules it out, so no link is lost to the components.
 """
 
 from __future__ import annotations
@@ -23,24 +27,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.substring import digest_filter, passes
 from brindle.llm.tokens import forget
 from brindle.llm.words import NONSPACE, blocks, runs, spans, whole, word_digests
-from brindle.sources.scratch import shared_if_small, stored
+from brindle.sources.scratch import release, shared_if_small, stored
 
 #: Fragments of the part of the order that is not frequent (a power of two); the frequent digests are one more.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: A digest is frequent if so many documents of one block of text have it; the largest such list that is shared with the tasks.
 #: Both bear on speed only: any global order gives the same pairs.
 FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
-#: Rounds in which members meet a leader before all remaining pairs are counted.
-LEADER_ROUNDS = 6
-#: They end early when meeting all makes at most so many rows for each posting, or when a round merges less than this share of the documents in question.
-MEET_ALL, FEW = 16, 0.05
-#: Documents of a digest from which on pairs are made at the first common digest only.
-MANY = 32
+#: Rounds in which members meet a leader before all remaining pairs are bounded.  Fewer if meeting all makes at most so many
+#: comparisons for each posting, or if a round merges less than this share of the documents in question.  All bear on speed only.
+LEADER_ROUNDS, MEET_ALL, FEW = 4, 16, 0.02
+#: 64-bit words of a set's map.  More make the bound sharper for large sets.
+MAP_WORDS = 16
 #: Bits of the map that tells which documents a second reading needs.
 MAP_BITS = 1 << 23
 
@@ -99,8 +103,14 @@ def is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
+def parity_map(g: np.ndarray) -> np.ndarray:
+    """MAP_WORDS words of bits; each is the parity of the digests that fall on it."""
+    odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (64 * MAP_WORDS - 1), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order)."""
+    """doc_id, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order), map."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -114,14 +124,32 @@ def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFram
                     heads.append(np.concatenate([g[~late], g[late]])[: len(g) - -(-num * len(g) // den) + 1])
                 sizes = np.array([len(h) for h in heads])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64)))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP_WORDS * (hi - lo) + 1, MAP_WORDS, dtype=np.int32)), pa.array(np.concatenate([parity_map(g) for g in sets])))
                 n = [len(g) for g in sets]
                 yield pa.record_batch(
-                    [batch.column(0)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists],
-                    names=["doc_id", "row", "n", "cls", "prefix"],
+                    [batch.column(0)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists, maps],
+                    names=["doc_id", "row", "n", "cls", "prefix", "map"],
                 )
                 row += hi - lo
 
-    return texts.mapInArrow(prefix, "doc_id long, row long, n long, cls binary, prefix array<bigint>")
+    return texts.mapInArrow(prefix, "doc_id long, row long, n long, cls binary, prefix array<bigint>, map array<bigint>")
+
+
+def postings(classes: DataFrame, repeated) -> DataFrame:
+    """h, id of the prefix digests that pass the filter `repeated` (a broadcast; None: all)."""
+    if repeated is None:
+        return classes.select(F.explode("prefix").alias("h"), "id")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            h = np.asarray(lists.flatten(), np.int64)
+            own = np.repeat(np.asarray(batch.column(0), np.int64), np.diff(np.asarray(lists.offsets, np.int64)))
+            for lo in range(0, len(h), 1 << 18):
+                kept = passes(repeated.value, h[lo : lo + (1 << 18)].view(np.uint64))
+                yield pa.record_batch([pa.array(h[lo : lo + (1 << 18)][kept]), pa.array(own[lo : lo + (1 << 18)][kept])], names=["h", "id"])
+
+    return classes.select("id", "prefix").mapInArrow(post, "h long, id long")
 
 
 def bit_map(ids: DataFrame, column: str) -> np.ndarray:
@@ -135,8 +163,9 @@ def bit_map(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def segments(texts: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
-    """id, n, segs (a sorted array for each fragment) of the wanted (id, doc_id, cls); the texts are read again."""
+    """id, f, seg: a row for each fragment of the wanted (id, doc_id, cls); the texts are read again."""
     bits = texts.sparkSession.sparkContext.broadcast(bit_map(wanted, "doc_id"))
+    edges = np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(65 - FRAGMENTS.bit_length())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, bit = frequent.value, bits.value
@@ -145,21 +174,24 @@ def segments(texts: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
             hit = (bit[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
             batch = batch.filter(pa.array(hit.astype(bool)))
             for lo, hi, raw, offs in blocks(batch.column(1)):
-                sets = shingle_sets(raw, offs, k)
-                segs = []
-                for g in sets:
+                segs, names = [], []
+                for g in shingle_sets(raw, offs, k):
                     late = is_in(often, g)
-                    cold, edges = g[~late], np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(65 - FRAGMENTS.bit_length())
-                    segs.append([x.view(np.int64) for x in (*np.split(cold, np.searchsorted(cold, edges)), g[late])])
-                yield pa.record_batch([batch.column(0)[lo:hi], pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), pa.array(segs, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "cls", "segs"])
+                    segs += [x.view(np.int64) for x in (*np.split(g[~late], np.searchsorted(g[~late], edges)), g[late])]
+                    names.append(class_digest(g) if len(g) else None)
+                each = FRAGMENTS + 1
+                where = pa.array(np.repeat(np.arange(lo, hi), each))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in segs])]).astype(np.int32)), pa.array(np.concatenate(segs)))
+                yield pa.record_batch([batch.column(0).take(where), pa.array(names, pa.binary()).take(pa.array(np.repeat(np.arange(hi - lo), each))), pa.array(np.tile(np.arange(each, dtype=np.int32), hi - lo)), lists], names=["doc_id", "cls", "f", "seg"])
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    rows = texts.select("doc_id", "text", at.alias("at")).mapInArrow(cut, "doc_id long, cls binary, segs array<array<bigint>>")
-    keys = wanted.select("id", "n", F.col("cls").alias("__cls"), F.col("doc_id").alias("__doc_id"))
-    found = rows.join(shared_if_small(keys, 64), (F.col("cls") == F.col("__cls")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select("id", "n", "segs")
+    rows = texts.select("doc_id", "text", at.alias("at")).mapInArrow(cut, "doc_id long, cls binary, f int, seg array<bigint>")
+    keys = wanted.select("id", F.col("cls").alias("__cls"), F.col("doc_id").alias("__doc_id"))
+    found = rows.join(shared_if_small(keys, 64), (F.col("cls") == F.col("__cls")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select("id", "f", "seg")
     made = stored(found, "segments", codec="snappy")
-    if made.count() > wanted.count():  # documents that are there more than once
-        made = stored(made.groupBy("id").agg(F.first("n").alias("n"), F.first("segs").alias("segs")), "segments", codec="snappy")
+    if made.count() > wanted.count() * (FRAGMENTS + 1):  # documents that are there more than once
+        made = stored(made.groupBy("id", "f").agg(F.first("seg").alias("seg")), "segments", codec="snappy")
+    bits.destroy()
     return made
 
 
@@ -167,63 +199,50 @@ def lengths_fit(num: int, den: int) -> Column:
     return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
 
 
-def rest(n: Column, num: int, den: int) -> Column:
-    """Digests of a set of n beyond its prefix."""
-    return F.ceil(F.lit(num) * n / den) - 1
+def maps_fit(num: int, den: int) -> Column:
+    """Two sets have at least as many digests apart as their maps have bits apart; the rest of both bounds twice the overlap."""
+    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map2")[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col("map")[0].bitwiseXOR(F.col("map2")[0])))
+    return (num + den) * (F.col("n") + F.col("n2") - apart) >= 2 * num * (F.col("n") + F.col("n2"))
 
 
-def reach_fits(num: int, den: int) -> Column:
-    """Common digests up to the end of the prefix that ends first are live in both sets (k, k2); the others lie in that set's rest."""
-    most = F.least("k", "k2") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den))
+def prefixes_fit(num: int, den: int) -> Column:
+    """Common digests up to the end of the prefix that ends first are in both; the others lie in that set's rest."""
+    rest = lambda n: F.ceil(F.lit(num) * F.col(n) / den) - 1
+    most = F.size(F.array_intersect("prefix", "prefix2")) + F.greatest(rest("n"), rest("n2"))
     return (num + den) * most >= num * (F.col("n") + F.col("n2"))
 
 
-def possible_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
-    """id, id2 of the pairs that may reach the threshold, from all prefix digests they share.
-
-    All common digests up to the last shared place are counted; beyond it there are at most as many as the shorter rest.
-    All common digests inside the prefix that ends first in the order are counted too; the others lie in that document's rest.
-    """
-    seen = met.groupBy("id", "id2").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("i2").alias("i2"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    most = F.col("c") + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2"))
-    most = F.least(most, F.col("c") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den)))
-    return seen.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2")
+def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, na, nb of the stored pairs(a, b) that no bound rules out."""
+    own = sets.select("row", "n", "map", "prefix")
+    left = own.join(shared_if_small(pairs, 24), F.col("row") == F.col("a")).drop("row")
+    targets = stored(pairs.select("b").distinct(), "targets")
+    right = own.join(shared_if_small(targets, 16), F.col("row") == F.col("b"), "left_semi").select(F.col("row").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "map", "prefix")])
+    return left.join(right, "b").filter(lengths_fit(num, den)).filter(maps_fit(num, den)).filter(prefixes_fit(num, den)).select("a", "b", F.col("n").alias("na"), F.col("n2").alias("nb"))
 
 
-def settle_all(live: DataFrame, num: int, den: int) -> DataFrame:
-    """id, id2 of all pairs of different components that share a prefix digest and may reach the threshold, each once.
+def meet_all(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b of the pairs of live(h, id, comp) that share a digest, lie in different components and pass the bounds of lengths and maps.
 
-    live(h, id, n, comp, k, c).  Where a digest has many documents, a row also carries the document's earlier
-    digests of that kind, and a pair is made at its first common one only.
+    The bounds are conditions of the join, so no other pair becomes a row.  A row carries the document's
+    earlier digests; a pair is made at its first common one only, once.
     """
-    sides = {"id": "id2", "n": "n2", "comp": "comp2", "k": "k2", "before": "before2"}
-
-    def meet(rows: DataFrame) -> DataFrame:
-        other = rows.select("h", *[F.col(old).alias(new) for old, new in sides.items()])
-        fits = lengths_fit(num, den) & reach_fits(num, den) & ~F.arrays_overlap("before", "before2")
-        return rows.join(other, "h").filter("id < id2 and comp != comp2").filter(fits).select("id", "id2", "n", "n2")
-
-    few = live.filter(F.col("c") <= MANY).withColumn("before", F.array().cast("array<bigint>"))
-    own = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"), *[F.first(x).alias(x) for x in ("n", "comp", "k")])
-    own = own.select("id", "n", "comp", "k", F.transform("s", lambda x: x["h"]).alias("s"))  # a document's own prefix digests
-    many = own.select("id", "n", "comp", "k", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at")))
-    columns = ["h", "id", "n", "comp", "k", "before"]
-    pairs = meet(few.select(columns)).unionByName(meet(many.select(columns))).distinct()
-    lists = stored(live.groupBy("id").agg(F.collect_list("h").alias("s")), "prefix-lists", codec="snappy")
-    both = stored(pairs, "met").join(lists, "id").join(lists.select(F.col("id").alias("id2"), F.col("s").alias("s2")), "id2")
-    counted = both.select("id", "id2", "n", "n2", F.size(F.array_intersect("s", "s2")).alias("c"))
-    most = F.col("c") + F.greatest(rest(F.col("n"), num, den), rest(F.col("n2"), num, den))
-    return counted.filter((num + den) * most >= num * (F.col("n") + F.col("n2"))).select("id", "id2", "c")
+    own = live.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("s"), F.first("comp").alias("comp"))  # its own prefix digests
+    own = own.join(sets.select(F.col("row").alias("id"), "n", "map"), "id")
+    rows = own.select("id", "n", "comp", "map", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at"))).drop("s", "at")
+    rows = stored(rows, "meeting", codec="snappy")
+    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "map", "before")])
+    met = rows.join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den)).filter(maps_fit(num, den)).filter(~F.arrays_overlap("before", "before2"))
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
-    """a, b, na, nb, shared: each fragment's overlap by itself, summed per pair."""
-    left = segs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("segs").alias("sa"))
-    right = segs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("segs").alias("sb"))
-    right = right.join(shared_if_small(stored(pairs.select("b").distinct(), "targets"), 16), "b", "left_semi")
-    partial = F.zip_with("sa", "sb", lambda x, y: F.size(F.array_intersect(x, y)))
-    joined = left.join(shared_if_small(pairs.select("a", "b"), 24), "a").join(right, "b")
-    return joined.select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, x: s + x).alias("shared"))
+    """a, b, na, nb, shared: partial overlaps by (fragment, set), summed per pair."""
+    left = segs.join(shared_if_small(pairs, 40), F.col("id") == F.col("a")).select("f", "a", "b", "na", "nb", F.col("seg").alias("sa"))
+    targets = stored(pairs.select("b").distinct(), "targets")
+    right = segs.join(shared_if_small(targets, 16), F.col("id") == F.col("b"), "left_semi").select("f", F.col("id").alias("b"), F.col("seg").alias("sb"))
+    partial = left.join(right, ["f", "b"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("part"))
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,80 +267,66 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     a component that has others.  Rows with equal doc_id are rows of their own; one with equal text is
     in the same component.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    frequent = spark.sparkContext.broadcast(frequent_digests(texts, k))
+    sets, of_class = class_components(_texts(docs, id_col, text_col), k, num, den)
+    named = of_class.select("cls", "component_id")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return sets.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def class_components(texts: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(sets: a row for each text; classes: cls, component_id of each distinct set)."""
+    spark = texts.sparkSession
+    share = spark.sparkContext.broadcast
+    frequent = share(frequent_digests(texts, k))
     sets = stored(prefixes(texts, k, num, den, frequent), "prefixes", codec="snappy")
-    classes = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.count("*").alias("c"))
-    copies = sets.select("row", "cls").join(classes.filter("c > 1"), "cls").filter("row != id").select("row")
-    classes = sets.filter("n > 0").join(shared_if_small(stored(copies, "copies"), 16), "row", "left_anti")
-    postings = classes.select(F.col("row").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
-
-    # Digests with at least two classes, each row beside its digest's first leader.  Frequent ones are few: their leaders are found
-    # with map-side combining and shared; a third of all rows may have one such digest.
-    is_often = F.broadcast(spark.createDataFrame(pa.table({"h": pa.array(frequent.value.view(np.int64))})))
-    key = lambda turn: F.xxhash64("id", F.lit(turn))
-    at_h = Window.partitionBy("h").orderBy(key(0), "id")
-    lead = {"id2": "id", "n2": "n", "i2": "i"}
-    alone = (F.row_number().over(at_h) == 1) & F.lead("id").over(at_h).isNull()
-    cold = postings.join(is_often, "h", "left_anti").withColumns({"__alone": alone} | {new: F.first(old).over(at_h) for new, old in lead.items()}).filter("not __alone").drop("__alone")
-    hot = postings.join(is_often, "h", "left_semi")
-    heads = hot.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(key(0).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()])).alias("leader")).filter("c > 1")
-    hot = hot.join(F.broadcast(heads), "h")  # at most FREQUENT_MOST rows
-    columns = ["h", "id", "n", "i"]
-    live = stored(cold.select(*columns, *lead).unionByName(hot.select(*columns, "leader.id2", "leader.n2", "leader.i2")), "postings", codec="snappy").withColumns({"comp": F.col("id"), "comp2": F.col("id2")})
-
-    comp = tried = segs = None
-    few = False
-    meeting = 0  # 1: each document with the partner it shares most with; 2: all pairs that still lie in different components
-    for turn in range(LEADER_ROUNDS + 2):
-        if turn:
-            live = live.select(*columns).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = live.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(key(turn).alias("key"), *[F.col(old).alias(new) for new, old in lead.items()], F.col("comp").alias("comp2"))).alias("leader")).filter("lo != hi")
-            live = stored(live.join(mixed.select("h", "leader", "c"), "h").select(*columns, "comp", "c", "leader.id2", "leader.n2", "leader.i2", "leader.comp2"), "live", codec="snappy")
-            size, met_all = live.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)) / 2).first()
-            # All pairs of a digest's documents are met once that is no more than some times the postings, or leaders merge little.
-            meeting = meeting + 1 if meeting or turn == LEADER_ROUNDS or few or met_all <= MEET_ALL * size else 0
-        if live.isEmpty():
-            break
-        # What a document can share in its prefix with one of another component: the digests there that still have one.
-        counts = stored(live.groupBy("id").agg(F.count("*").alias("k")), "counts")
-        reach = shared_if_small(counts, 24)
-        live = live.join(reach, "id")
-        if meeting:
-            pairs = settle_all(live, num, den)
-            if meeting == 1:
-                pairs = stored(pairs, "partners")
-                ways = pairs.unionByName(pairs.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "c"))
-                pairs = ways.groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best")).select("id", "best.id2")
+    classes = stored(sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("c")), "classes")
+    copies = sets.select("row", "cls").join(shared_if_small(classes.filter("c > 1").select("cls", "id"), 40), "cls").filter("row != id").select("row")
+    copies = stored(copies, "copies")
+    firsts = sets.filter("n > 0").join(shared_if_small(copies, 16), "row", "left_anti").withColumn("id", F.col("row"))
+
+    # Digests with at least two classes, counted with map-side combining; their postings, found through a filter of bounded size.
+    heads = postings(firsts, None).groupBy("h").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead != last").select("h", "lead")
+    heads = stored(heads, "heads")
+    repeated = share(digest_filter(heads))
+    live = stored(postings(firsts, repeated).join(heads, "h"), "postings", codec="snappy").withColumns({"comp": F.col("id"), "comp2": F.col("lead")})
+    comp = segs = None
+    done = few = False
+    turn = 0
+    while not done:
+        if turn:  # digests that still have different components, each with another leader: the one of most live digests, or any
+            lots = live.select("h", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            rank = F.struct((F.lit(0) if turn % 2 == 0 else F.col("k")).alias("k"), F.xxhash64("id", F.lit(turn)).alias("key"), F.col("id").alias("lead"), F.col("comp").alias("comp2"))
+            lots = lots.join(lots.groupBy("id").agg(F.count("*").alias("k")), "id") if turn % 2 else lots
+            mixed = lots.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(rank).alias("leader")).filter("lo != hi")
+            before, live = live, stored(lots.join(mixed.select("h", "leader", "c"), "h").select("h", "id", "comp", "c", "leader.lead", "leader.comp2"), "live", codec="snappy")
+            release(before)
+            size, compared = live.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)) / 2).first()
+            if not size:
+                break
+            done = few or turn == LEADER_ROUNDS or compared <= MEET_ALL * size
+        if done:
+            pairs = meet_all(live, sets, num, den)
         else:
-            facing = live.filter("comp != comp2").filter(lengths_fit(num, den)).join(reach.select(F.col("id").alias("id2"), F.col("k").alias("k2")), "id2")
-            chosen = facing.filter(reach_fits(num, den)).groupBy("id", "id2").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "id2")).alias("best"))
-            pairs = chosen.select("id", F.col("best.id2").alias("id2"))
-            pairs = stored(pairs, "leaders")
-            leaders = shared_if_small(stored(pairs.select("id2").distinct(), "leader-ids"), 16)
-            of_leader = live.select("h", *[F.col(old).alias(new) for new, old in lead.items()]).join(leaders, "id2", "left_semi")
-            met = live.select(*columns).join(shared_if_small(pairs, 24), "id").join(of_leader, ["id2", "h"])
-            pairs = possible_pairs(met, num, den)
-        pairs = pairs.select(F.col("id").alias("a"), F.col("id2").alias("b"), F.least("id", "id2").alias("lo"), F.greatest("id", "id2").alias("hi")).dropDuplicates(["lo", "hi"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
+            facing = live.filter("comp != comp2").groupBy("id", "lead").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "lead")).alias("best"))
+            pairs = facing.select(F.col("id").alias("a"), F.col("best.lead").alias("b"))
+        turn += 1
         pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            few = True
+            comp = comp if comp is not None else spark.createDataFrame([], "id long, comp long")
+            continue
+        pairs = stored(bounded(pairs, sets, num, den), "bounded")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         if segs is not None:
-            ids = ids.join(segs.select("id"), "id", "left_anti")
-        wanted = stored(sets.select(F.col("row").alias("id"), "doc_id", "cls", "n").join(ids, "id"), "wanted")
+            ids = ids.join(segs.filter("f = 0").select("id"), "id", "left_anti")
+        wanted = stored(sets.select(F.col("row").alias("id"), "doc_id", "cls").join(shared_if_small(stored(ids, "wanted-ids"), 16), "id", "left_semi"), "wanted")
         if not wanted.isEmpty():
             more = segments(texts, wanted, k, frequent)
             segs = more if segs is None else segs.unionByName(more)
-        if pairs.isEmpty():
-            few, comp = True, comp if comp is not None else spark.createDataFrame([], "id long, comp long")
-            if meeting == 2:
-                break
-            continue
-        counted = stored(count_overlaps(pairs, segs), "overlaps")
-        tried = pairs.select("lo", "hi") if tried is None else tried.unionByName(pairs.select("lo", "hi"))
-        links = counted.filter((num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+        if segs is None:
+            links = spark.createDataFrame([], "a long, b long")
+        else:
+            links = stored(count_overlaps(pairs, segs).filter((num + den) * F.col("shared") >= num * (F.col("na") + F.col("nb"))).select("a", "b"), "links")
         if comp is not None:  # links between components
             to = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"{c}c"))
             links = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")).filter("a != b")
@@ -333,15 +338,16 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
             moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
             known = comp.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
             comp = stored(known.unionByName(merged.join(comp, "id", "left_anti")), "components")
-        if meeting == 2:
-            break
-
-    of_class = sets.filter("n > 0").groupBy("cls").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id"))
-    of_class = of_class.select("cls", "id", "doc_id") if comp is None else of_class.join(comp, "id", "left").select("cls", F.coalesce("comp", "id").alias("id"), "doc_id")
-    smallest = of_class.groupBy("id").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.select("cls", "id").join(smallest, "id").select("cls", "component_id")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return sets.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    frequent.destroy()
+    repeated.destroy()
+    for used in (segs, live, heads, copies):
+        if used is not None:
+            release(used)
+    if comp is None:
+        comp = spark.createDataFrame([], "id long, comp long")
+    joined = classes.join(comp, "id", "left").select("cls", F.coalesce("comp", "id").alias("id"), "doc_id")
+    smallest = joined.groupBy("id").agg(F.min("doc_id").alias("component_id"))
+    return sets, stored(joined.select("cls", "id").join(smallest, "id").select("cls", "component_id"), "class-components")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,4 +26,4 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
 }
-ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT}
+ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD}

@@ -39,3 +39,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(17 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_TOKENS = rf"regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\x20\x09-\x0D]+')"
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g
+      FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY x.r, y.r),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS o FROM n UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.o),
+comp AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN comp USING (r)
+"""
