@@ -43,8 +43,10 @@ FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
 #: Rounds in which members meet a leader before all remaining pairs are bounded.  Fewer if meeting all makes at most so many
 #: comparisons for each posting, or if a round merges less than this share of the documents in question.  All bear on speed only.
 LEADER_ROUNDS, MEET_ALL, FEW = 4, 16, 0.02
-#: 64-bit words of a set's map.  More make the bound sharper for large sets.
-MAP_WORDS = 16
+#: 64-bit words of a set's map, and of its short form (a divisor).  More make the bound sharper for large sets.
+MAP_WORDS, FEW_WORDS = 16, 4
+#: Documents of a digest from which on its rows carry whole maps and earlier digests, if the document has at most so many of these.
+MANY, EARLIER = 32, 256
 #: Bits of the map that tells which documents a second reading needs.
 MAP_BITS = 1 << 23
 
@@ -199,12 +201,18 @@ def lengths_fit(num: int, den: int) -> Column:
     return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
 
 
-def maps_fit(num: int, den: int) -> Column:
+def maps_fit(num: int, den: int, words: int = MAP_WORDS) -> Column:
     """Two sets have at least as many digests apart as their maps have bits apart; the rest of both bounds twice the overlap."""
-    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map2")[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col("map")[0].bitwiseXOR(F.col("map2")[0])))
+    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map2")[i])) for i in range(1, words)), F.bit_count(F.col("map")[0].bitwiseXOR(F.col("map2")[0])))
     return (num + den) * (F.col("n") + F.col("n2") - apart) >= 2 * num * (F.col("n") + F.col("n2"))
 
 
+def folded(words: int) -> Column:
+    """The map of fewer bits: parities of parities."""
+    xor = lambda xs: xs[0] if len(xs) == 1 else xs[0].bitwiseXOR(xor(xs[1:]))
+    return F.array(*[xor([F.col("map")[j] for j in range(i, MAP_WORDS, words)]) for i in range(words)])
+
+
 def prefixes_fit(num: int, den: int) -> Column:
     """Common digests up to the end of the prefix that ends first are in both; the others lie in that set's rest."""
     rest = lambda n: F.ceil(F.lit(num) * F.col(n) / den) - 1
@@ -222,18 +230,24 @@ def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def meet_all(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of the pairs of live(h, id, comp) that share a digest, lie in different components and pass the bounds of lengths and maps.
+    """a, b of the pairs of live(h, id, comp, c) that share a digest, lie in different components and pass the bounds of lengths and maps.
 
-    The bounds are conditions of the join, so no other pair becomes a row.  A row carries the document's
-    earlier digests; a pair is made at its first common one only, once.
+    The bounds are conditions of the join, so no other pair becomes a row.  Where a digest has many documents, a
+    row carries the whole map and the document's earlier digests of that kind, and a pair is made at its first common one.
     """
-    own = live.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("s"), F.first("comp").alias("comp"))  # its own prefix digests
-    own = own.join(sets.select(F.col("row").alias("id"), "n", "map"), "id")
-    rows = own.select("id", "n", "comp", "map", "s", F.posexplode("s").alias("at", "h")).withColumn("before", F.slice("s", F.lit(1), F.col("at"))).drop("s", "at")
-    rows = stored(rows, "meeting", codec="snappy")
-    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "map", "before")])
-    met = rows.join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den)).filter(maps_fit(num, den)).filter(~F.arrays_overlap("before", "before2"))
-    return met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    own = sets.select(F.col("row").alias("id"), "n", "map")
+
+    def meet(rows: DataFrame, words: int) -> DataFrame:
+        other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "map", "before")])
+        met = rows.join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den)).filter(maps_fit(num, den, words))
+        return met.filter(~F.arrays_overlap("before", "before2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+    none = F.array().cast("array<bigint>")
+    few = live.filter(F.col("c") <= MANY).join(own.select("id", "n", folded(FEW_WORDS).alias("map")), "id").select("h", "id", "n", "comp", "map", none.alias("before"))
+    many = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("s"), F.first("comp").alias("comp")).join(own, "id")
+    earlier = F.when(F.size("s") <= EARLIER, F.slice("s", F.lit(1), F.col("at"))).otherwise(none)
+    many = many.select("id", "n", "comp", "map", "s", F.posexplode("s").alias("at", "h")).withColumn("before", earlier).drop("s", "at")
+    return meet(few, FEW_WORDS).unionByName(meet(many, MAP_WORDS)).distinct()
 
 
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
