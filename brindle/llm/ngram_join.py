@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.substring import digest_filter, passes
+from brindle.llm.substring import digest_filter, passes, text_key
 from brindle.llm.tokens import forget
 from brindle.llm.words import NONSPACE, blocks, runs, spans, whole, word_digests
 from brindle.sources.scratch import release, shared_if_small, stored
@@ -71,7 +71,7 @@ def class_digest(grams: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tk", text_key("text"))
 
 
 def frequent_digests(texts: DataFrame, k: int) -> np.ndarray:
@@ -112,7 +112,7 @@ def parity_map(g: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order), map."""
+    """doc_id, tk, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order), map."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -129,12 +129,12 @@ def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFram
                 maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP_WORDS * (hi - lo) + 1, MAP_WORDS, dtype=np.int32)), pa.array(np.concatenate([parity_map(g) for g in sets])))
                 n = [len(g) for g in sets]
                 yield pa.record_batch(
-                    [batch.column(0)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists, maps],
-                    names=["doc_id", "row", "n", "cls", "prefix", "map"],
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists, maps],
+                    names=["doc_id", "tk", "row", "n", "cls", "prefix", "map"],
                 )
                 row += hi - lo
 
-    return texts.mapInArrow(prefix, "doc_id long, row long, n long, cls binary, prefix array<bigint>, map array<bigint>")
+    return texts.mapInArrow(prefix, "doc_id long, tk long, row long, n long, cls binary, prefix array<bigint>, map array<bigint>")
 
 
 def postings(classes: DataFrame, repeated) -> DataFrame:
@@ -287,8 +287,37 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int =
     return sets.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_representatives(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows and columns of docs(doc_id, text, ...), of each component one row only: that of the least doc_id.
+
+    Ties go to the least digest of the text, then to the least JSON of all columns; a null doc_id comes last.
+    Rows without words are in no component and stay, repeated ones too.  An empty table gives no rows.
+    """
+    sets, of_class = class_components(_texts(docs, "doc_id", "text"), k, num, den)
+    keys = sets.filter("n > 0").groupBy("doc_id", "tk").agg(F.first("cls").alias("cls"), F.count("*").alias("c")).join(of_class.select("cls", "root"), "cls")
+    keys = stored(keys.select("doc_id", "tk", "root", "c"), "row-keys")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk")
+    kept = stored(keys.groupBy("root").agg(F.min(rank).alias("r")).select("root", "r.doc_id", "r.tk"), "kept-keys")
+    both = keys.join(kept.select("root", F.col("doc_id").alias("k_doc"), F.col("tk").alias("k_tk")), "root")
+    gone = stored(both.filter(~(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("tk") == F.col("k_tk")))).select("doc_id", "tk"), "gone-keys")
+    again = stored(both.filter(F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("tk") == F.col("k_tk")) & (F.col("c") > 1)).select("doc_id", "tk"), "repeated-keys")
+    own = docs.columns
+    tagged = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__tk": text_key(F.col("text").cast("string")), "__w": F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
+
+    def of(table: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        names = table.select(F.col("doc_id").alias("__i"), F.col("tk").alias("__t"))
+        return rows.join(shared_if_small(names, 40), F.col("__w") & F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__tk") == F.col("__t")), how)
+
+    single = of(again, "left_anti", of(gone, "left_anti", tagged)).select(*own)
+    if again.isEmpty():
+        return single
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
+    first = of(again, "left_semi", tagged).groupBy("__id", "__tk").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return single.unionByName(first.select(*[F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(own)]))
+
+
 def class_components(texts: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(sets: a row for each text; classes: cls, component_id of each distinct set)."""
+    """(sets: a row for each text; classes: cls, root (one value for each component) and component_id of each distinct set)."""
     spark = texts.sparkSession
     share = spark.sparkContext.broadcast
     frequent = share(frequent_digests(texts, k))
@@ -361,7 +390,7 @@ def class_components(texts: DataFrame, k: int, num: int, den: int) -> tuple[Data
         comp = spark.createDataFrame([], "id long, comp long")
     joined = classes.join(comp, "id", "left").select("cls", F.coalesce("comp", "id").alias("id"), "doc_id")
     smallest = joined.groupBy("id").agg(F.min("doc_id").alias("component_id"))
-    return sets, stored(joined.select("cls", "id").join(smallest, "id").select("cls", "component_id"), "class-components")
+    return sets, stored(joined.select("cls", "id").join(smallest, "id").select("cls", F.col("id").alias("root"), "component_id"), "class-components")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Units of a document, over its normalised words (white space apart, A-Z as a-z):
 - the whole text;
 - each line of at least `min_line` words;
+- each paragraph (between blank lines) of at least `min_line` words that has a shorter line and is not the
+  whole text (other repeated paragraphs go with their lines or with the text);
 - passages that do not fill lines: the `run`-word runs that winnowing picks (the least digest of
   each `run` + 1 neighbouring runs), so that any passage of 2 * run words that two documents share
   has a run that both pick, wherever it stands in its line.
@@ -97,18 +99,25 @@ def units(raw: np.ndarray, offs: np.ndarray, run: int, min_line: int, copy: np.n
     words = word_digests(raw, starts, ends)
     # lines: a word opens one if a line feed stands between it and the word before
     breaks = np.cumsum(np.concatenate([[0], raw == 10]))
-    opens = np.concatenate([[True], breaks[starts[1:]] > breaks[ends[:-1]]]) if len(starts) else np.zeros(0, bool)
-    opens[first[:-1][first[:-1] < len(starts)]] = True
-    heads = np.flatnonzero(opens)
+    feeds = np.concatenate([[2], breaks[starts[1:]] - breaks[ends[:-1]]]) if len(starts) else np.zeros(0, np.int64)
+    feeds[first[:-1][first[:-1] < len(starts)]] = 2
+    heads = np.flatnonzero(feeds > 0)
     sizes = np.diff(np.append(heads, len(words)))
     doc_of = np.searchsorted(first, heads, "right") - 1
     full = np.flatnonzero(np.diff(first) > 0)
     copy = np.zeros(len(offs) - 1, bool) if copy is None else copy
     long = (sizes >= min_line) & ~copy[doc_of]
-    parts = [  # whole texts, lines, passages
+    parts = [  # whole texts, lines; then paragraphs and passages
         (full, stretches(words, first[full], first[full + 1]) ^ np.uint64(1), np.zeros(len(full), np.int64), np.diff(first)[full]),
         (doc_of[long], stretches(words, heads[long], heads[long] + sizes[long]) ^ np.uint64(2), heads[long] - first[doc_of[long]], sizes[long]),
     ]
+    if min_line > 1 and len(heads):
+        p_line = np.flatnonzero(feeds[heads] > 1)  # lines that open a paragraph
+        p_head, p_doc = heads[p_line], doc_of[p_line]
+        p_size = np.diff(np.append(p_head, len(words)))
+        own = (np.minimum.reduceat(sizes, p_line) < min_line) & (p_size >= min_line) & (p_size < np.diff(first)[p_doc]) & ~copy[p_doc]
+        p_head, p_size, p_doc = p_head[own], p_size[own], p_doc[own]
+        parts.append((p_doc, stretches(words, p_head, p_head + p_size) ^ np.uint64(4), p_head - first[p_doc], p_size))
     grams = runs(words, run)
     if repeated is not None:
         parts = [tuple(x[kept] for x in part) for part in parts for kept in [passes(repeated, part[1])]]

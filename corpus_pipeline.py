@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs; all but the last return
-the columns of `documents`.  Extra columns with other names pass through; the operators read only
-doc_id, text and lang.
+the columns of `documents`.  Extra columns of any name pass through; the operators read only doc_id,
+text and lang.  A row is known by its doc_id and text: rows that share a doc_id are judged each by its
+own text, rows that agree in both are one document to a stage.  Null ids are ids like others and come
+last where the smallest is chosen.  An empty table passes every stage without rows.
 """
 
 from __future__ import annotations
@@ -13,16 +15,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm.decontam import decontaminate
 from brindle.llm.language import UNDETERMINED, fit, label
-from brindle.llm.ngram_join import jaccard_components
+from brindle.llm.ngram_join import keep_representatives
 from brindle.llm.packing import pack
-from brindle.llm.substring import dedup_substrings
-from brindle.sources.scratch import stored
-
-
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in ids (a null doc_id matches a null one)."""
-    wanted = ids.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__kept"]), "left_semi")
+from brindle.llm.substring import dedup_substrings, text_key
+from brindle.sources.scratch import shared_if_small, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: the one of the smallest doc_id."""
-    return keep(docs, jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of each component of near-duplicates stays, that of the smallest doc_id; of equal rows one stays.  Rows without words stay."""
+    return keep_representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and passages go, all but their first occurrence; documents of which nothing is left go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = dedup_substrings(docs, min_line=1, whole_passages=True, carry=others).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated lines, paragraphs and passages go, all but their first occurrence; documents of which nothing is left go."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = dedup_substrings(docs.withColumnsRenamed(names), min_line=1, whole_passages=True, carry=tuple(names.values()))
+    left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    left = left.select("doc_id", "text", *[F.col(v).alias(c) for c, v in names.items()])
+    return (left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else left).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark phrase go."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    """Rows whose text has a benchmark phrase go; other rows of the same doc_id stay."""
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("hit") > 0).select(F.col("doc_id").alias("__hit"), F.col("key").alias("__key")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")) & (text_key(F.col("text").cast("string")) == F.col("__key"))
+    return docs.join(shared_if_small(stored(hit, "contaminated"), 24), same, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,12 @@ def substring_dedup(rows, run: int, min_line: int, digest):
                 if i - lo >= min_line:
                     own.append((("l", *w[lo:i]), lo, i - lo))
                 lo = i
+        feeds = [raw[words[i - 1][1] : words[i][0]].count(b"\n") for i in range(1, len(w))]
+        for lo in [i for i in range(len(w)) if not i or feeds[i - 1] > 1]:  # paragraphs
+            hi = next((i for i in range(lo + 1, len(w)) if feeds[i - 1] > 1), len(w))
+            cuts = [lo, *(i for i in range(lo + 1, hi) if feeds[i - 1]), hi]
+            if min_line <= hi - lo < len(w) and min(b - a for a, b in zip(cuts, cuts[1:])) < min_line:
+                own.append((("p", *w[lo:hi]), lo, hi - lo))
         n = len(w) - run + 1
         if n > 0:
             d = digest(w, run)

@@ -30,7 +30,7 @@ def rows():
     shared = prose(2, 60)
     out = [
         (1, base), (2, base), (3, near), (4, prose(3, 90) + " " + shared + " " + prose(4, 70)), (5, prose(5, 80) + " " + shared + "\n" + prose(6, 40)), (6, None), (7, ""), (8, " \n\t "), (9, "one two"), (9, "one two"),
-        (None, "no id here at all"), (10, "12 345 6"), (11, prose(7, 30) + "\n" + prose(8, 30) + "\n" + prose(7, 30)), (12, "de " * 300), (13, prose(9, 9000)), (14, "MIT License. SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0"),
+        (None, "no id here at all"), (10, "12 345 6"), (11, prose(7, 30) + "\n" + prose(8, 30) + "\n" + prose(7, 30)), (12, "de " * 300), (13, prose(9, 9000)), (15, prose(60, 9) + "\n\n" + prose(61, 14) + "\n" + prose(62, 15) + "\n \n" + prose(63, 7)), (16, prose(61, 14) + "\n" + prose(62, 15) + "\n\n" + prose(64, 8)), (14, "MIT License. SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0"),
     ]
     return [(i, t, "en" if i and i % 2 else "fr", "s", 1, 5, "x", 0) for i, t in out]
 
@@ -105,6 +105,10 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(7, " ".join(w[:10]))], "item_id long, text string")
     got = {r.doc_id: (r["items"], r.near) for r in decontam.decontaminate(docs, bench, slop=2).collect()}
     assert got == {1: ([], ["7"]), 2: (["7"], []), 3: ([], [])}
+    # an item's words split over two documents are no match, however large the tolerance
+    docs = spark.createDataFrame([(1, " ".join(w[:4])), (2, " ".join(w[4:10])), (3, " ".join(reversed(w[:10])))], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r["items"], r.near) for r in decontam.decontaminate(docs, bench, slop=200).collect()}
+    assert got == {1: ([], []), 2: ([], []), 3: ([], ["7"])}
 
 
 def test_packing(docs, rows, none):
@@ -233,7 +237,7 @@ def test_substring_dedup(docs, rows, none):
         if r.removed:
             source = next(t for i, t, *_ in rows if i == r.doc_id)
             assert sum(len(source[s.start : s.end].split()) for s in r.removed) == r.n_removed
-    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (4, 5)}[5] >= 25
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (4, 5)}[5] >= 25 and {r.doc_id: r.n_removed for r in got}[16] == 29
     assert next(r for r in got if r.doc_id == 6).text is None and substring.dedup_substrings(none).count() == 0
 
 
@@ -304,16 +308,30 @@ def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline as C
 
     item = " ".join(rows[3][1].split()[5:40])
-    data = [r[:5] for r in rows]
-    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    extra = "n_words string, n_removed string, removed long, component_id string, hit string, tk long, carried string, key long, map long"
+    data = [(*r[:5], f"w{i}", None, i, "c", "h", 1, "x", 2, 3) for i, r in enumerate(rows)]
+    data += [(4, "a clean text that shares its id with another", "en", "s", 1, *data[0][5:]), data[0], data[8], (None, prose(55, 40), "en", "s", 1, *data[0][5:]), (None, None, *data[0][2:])]
+    spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    docs, seen, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), [], []
+    columns = docs.columns
     for i, (_, stage) in enumerate(C.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{i}"))
         docs = spark.read.parquet(str(tmp_path / f"s{i}"))
         seen.append({r[0] for r in docs.select("doc_id").collect()})
-        assert i == len(C.STAGES) - 1 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert {1, 2, 3, 4, 5, None} <= seen[0] and not {6, 7, 8, 10} & seen[0]
+        assert i == len(C.STAGES) - 1 or docs.columns == columns
+        if i < len(C.STAGES) - 1:
+            kept.append(docs.collect())
+            assert all(r.n_words == f"w{r.removed}" and r.hit == "h" for r in kept[-1])  # extra columns stay with their row
+    assert {1, 2, 3, 4, 5, None} <= seen[0] and not {6, 7, 8, 10} & seen[0] and len(kept[0]) == len(data) - 5
     assert {1, 4, 5, None} <= seen[1] and not {2, 3} & seen[1]
-    assert {1, 4, 5, None} <= seen[2] and 4 not in seen[3] and {1, 5, None} <= seen[3] and seen[4] == seen[3]
+    count = lambda rows_, i: sum(r.doc_id == i for r in rows_)
+    assert count(kept[0], 1) == 2 and count(kept[1], 1) == 1 and count(kept[0], 9) == 3 and count(kept[1], 9) == 1 and count(kept[1], None) == 2 and count(kept[1], 4) == 2
+    assert {1, 4, 5, None} <= seen[2] and {1, 4, 5, None} <= seen[3] and seen[4] == seen[3]
+    assert [r.text for r in kept[3] if r.doc_id == 4] == ["a clean text that shares its id with another"]  # the contaminated row of that id went
+    pieces = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.countDistinct("start").alias("c")).collect()
+    assert all(r.n > 0 for r in pieces)
+    spark.createDataFrame([], spark.read.parquet(str(tmp_path / "documents.parquet")).schema).write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "e" / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path / "e")).count() == 0
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and C.run(spark, str(tmp_path)).count() >= len(seen[4])
