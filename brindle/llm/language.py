@@ -23,8 +23,8 @@ from brindle.llm.tokens import forget
 from brindle.llm.words import blocks
 
 UNDETERMINED = "und"
-#: Texts that the model is fitted on at most (one of each language at least), and bytes of each that it sees; predictions always read whole texts.
-FIT_TEXTS, FIT_BYTES = 2000, 20_000
+#: Texts that the model is fitted on at most (one of each language at least); whole texts are read, here and in predictions.
+FIT_TEXTS = 2000
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 12
 _LETTER = regex.compile(r"\p{L}")
@@ -90,17 +90,28 @@ class Model:
         return best, share[np.arange(len(best)), best], close
 
 
-def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5, fit_bytes: int = FIT_BYTES) -> Model:
+def frequencies(text: str, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, share) of the hashed n-grams of a whole text: at most max_n * BUCKETS of them, however long it is."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    full = np.zeros(max_n * BUCKETS)
+    for lo in range(0, len(raw), 1 << 20):
+        part = raw[max(0, lo - max_n + 1) : lo + (1 << 20)]
+        for n in range(1, max_n + 1):
+            skip = n - 1 if not lo else max_n - 1
+            full[(n - 1) * BUCKETS : n * BUCKETS] += np.bincount(ngram_buckets(part, n)[skip:], minlength=BUCKETS)
+    at = np.flatnonzero(full)
+    return at.astype(np.int32), (full[at] / max(len(raw), 1)).astype(np.float32)
+
+
+def train(sample: list[tuple[np.ndarray, np.ndarray]], langs: list[str], max_n: int = 3, rounds: int = 200, rate: float = 0.5, decay: float = 1e-5) -> Model:
     """Logistic bits on standardised hashed frequencies, full-batch gradient steps with momentum; no randomness."""
     languages = sorted(set(langs))
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((max_n, BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    x = np.zeros((len(texts), max_n * BUCKETS), np.float32)
-    for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode()[:fit_bytes], np.uint8)
-        for n in range(1, max_n + 1):
-            x[i, (n - 1) * BUCKETS : n * BUCKETS] = np.bincount(ngram_buckets(raw, n)[n - 1 :], minlength=BUCKETS) / max(len(raw), 1)
+    x = np.zeros((len(sample), max_n * BUCKETS), np.float32)
+    for i, (at, share) in enumerate(sample):
+        x[i, at] = share
     y = code[[languages.index(v) for v in langs]]
     scale = np.sqrt((x**2).mean(axis=0)) + 1e-4
     x /= scale
@@ -108,7 +119,7 @@ def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200,
     w, bias, push, push_b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1]), 0.0, 0.0
     for _ in range(rounds):
         pull = -y / (1 + np.exp(np.clip(y * (x @ w + bias), -30, 30)))
-        push = 0.9 * push - rate * (x.T @ pull.astype(np.float32) / len(texts) * 20 + decay * w)
+        push = 0.9 * push - rate * (x.T @ pull.astype(np.float32) / len(sample) * 20 + decay * w)
         push_b = 0.9 * push_b - rate * pull.mean(axis=0)
         w, bias = w + push, bias + push_b
     answers = x @ w + bias
@@ -117,8 +128,8 @@ def train(texts: list[str], langs: list[str], max_n: int = 3, rounds: int = 200,
     return Model(languages, code, w.reshape(max_n, BUCKETS, -1), bias, trust)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS, fit_bytes: int = FIT_BYTES) -> Model:
-    """Fit on labelled, not held-out documents; the sample is chosen without its texts and then read, of each the first `fit_bytes` bytes.
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_texts: int = FIT_TEXTS, max_n: int = 3) -> Model:
+    """Fit on labelled, not held-out documents; the sample is chosen without its texts, then read whole and counted on the executors.
 
     Every language gets an equal part of `fit_texts`, its documents of least hash, one at least; one that has fewer gives all.
     """
@@ -135,9 +146,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     turn = F.row_number().over(Window.partitionBy("__lang").orderBy("__key", "__id"))
     near = ids.join(bounds, "__lang").filter("__key <= __bound").select("__id", "__lang", "__key").distinct()
     chosen = near.withColumn("__turn", turn).filter(F.col("__turn") <= each).select("__id", "__lang", "__turn")
-    drawn = known.join(F.broadcast(chosen), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min(F.substring("__text", 1, fit_bytes)).alias("__text"))
-    sample = drawn.orderBy(F.xxhash64("__text"), "__lang").toArrow()
-    return train(sample.column("__text").to_pylist(), sample.column("__lang").to_pylist(), fit_bytes=fit_bytes)
+    drawn = known.join(F.broadcast(chosen), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [frequencies(t, max_n) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))], names=["lang", "key", "at", "share"])
+
+    counted = drawn.select("__lang", "__text", F.xxhash64("__text")).mapInArrow(count, "lang string, key long, at array<int>, share array<float>")
+    sample = counted.orderBy("key", "lang").toArrow()
+    rows = list(zip(sample.column("at").to_pylist(), sample.column("share").to_pylist()))
+    return train([(np.array(at, np.int64), np.array(share, np.float32)) for at, share in rows], sample.column("lang").to_pylist(), max_n)
 
 
 def held_out(id_string: str):

@@ -38,9 +38,8 @@ def label_of(identifier: str) -> str:
 
 
 def to_postfix(expression: str) -> list[str]:
-    """Shunting yard over the tokens up to the first that cannot follow; the postfix form of their longest well-formed head, empty if there is none."""
+    """Shunting yard over the tokens up to the first that cannot follow; a last operator without its right side is dropped, open brackets are closed.  Empty if nothing is left."""
     out, stack, operand, depth = [], [], False, 0
-    best = 0, []  # tokens put out and operators pending where the head was last well formed
     for t in (m.group() for m in _TOKEN.finditer(expression)):
         low = t.lower()
         if low in _PRIORITY:
@@ -67,13 +66,13 @@ def to_postfix(expression: str) -> list[str]:
                 break
             out.append(t)
             operand = True
-        if operand and not depth:  # then at most one operator of each priority is pending
-            best = len(out), stack[::-1]
-    return out[: best[0]] + best[1]
+    while stack and not operand:
+        operand = stack.pop() != "("
+    return out + [t for t in reversed(stack) if t != "("]
 
 
 def evaluate(expression: str) -> tuple[float, list[str]] | None:
-    """(permissiveness, labels) of a licence expression; the longest well-formed head of the tokens counts, None if there is none."""
+    """(permissiveness, labels) of a licence expression, up to the first token that cannot follow; None if it names no licence."""
     postfix = to_postfix(expression)
     if not postfix:
         return None
@@ -140,7 +139,7 @@ def scan_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_words, notices, expressions, expression_labels, score (how permissive the strictest licence found is; 0: none).
 
     Null counts as empty; rows with equal doc_id each get a row; an empty table gives none; a malformed
-    expression counts up to its longest well-formed head.
+    expression counts up to the first token that cannot follow, its open brackets closed.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

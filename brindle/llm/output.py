@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import encoder
+from brindle.llm.tokens import encoder, without_gc
 from brindle.llm.words import utf8
 from brindle.sources.scratch import new_path
 
@@ -49,21 +49,19 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()
         enc, part, at, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for lo, hi, texts in text_blocks(batch.column(1)):
-                ids = [x + end for x in enc.ids(texts)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.record_batch(
-                    [pa.array(np.full(hi - lo, part, np.int32)), batch.column(0)[lo:hi], pa.array(at + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
-                    names=["part", "doc_id", "at", "n_tokens", "ids"],
-                )
-                at += int(offsets[-1])
+        with without_gc():
+            for batch in batches:
+                for lo, hi, texts in text_blocks(batch.column(1)):
+                    ids = [x + end for x in enc.ids(texts)]
+                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)])
+                    values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    yield pa.record_batch(
+                        [pa.array(np.full(hi - lo, part, np.int32)), batch.column(0)[lo:hi], pa.array(at + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                        names=["part", "doc_id", "at", "n_tokens", "ids"],
+                    )
+                    at += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.output import text_blocks
-from brindle.llm.tokens import encoder
+from brindle.llm.tokens import encoder, without_gc
 from brindle.sources.scratch import stored
 
 PIECE_SCHEMA = "part int, doc_id long, doc_tokens long, start long, length long, kind int, in_part long, ids_crc32 long, ids binary"
@@ -130,29 +130,27 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, en
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()
         enc, part, end = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         seen = [0] * (-(-capacity // grain) + 1)
-        for batch in batches:
-            for lo, _, texts in text_blocks(batch.column(1)):
-                names = batch.column(0)
-                cols: list[list] = [[] for _ in range(8)]
-                for i, ids in enumerate(enc.ids(texts)):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        size = len(piece) // 4
-                        kind = -1 if size == capacity else (size - 1) // grain
-                        for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece)):
-                            col.append(v)
-                        seen[kind] += 1
-                yield pa.record_batch(
-                    [pa.array([part] * len(cols[0]), pa.int32()), names.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[5:7]), pa.array(cols[7], pa.binary())],
-                    names=["part", "doc_id", "doc_tokens", "start", "length", "kind", "in_part", "ids_crc32", "ids"],
-                )
+        with without_gc():
+            for batch in batches:
+                for lo, _, texts in text_blocks(batch.column(1)):
+                    names = batch.column(0)
+                    cols: list[list] = [[] for _ in range(8)]
+                    for i, ids in enumerate(enc.ids(texts)):
+                        ids += end
+                        n = len(ids) // 4
+                        for start in range(0, n, capacity):
+                            piece = ids[4 * start : 4 * (start + capacity)]
+                            size = len(piece) // 4
+                            kind = -1 if size == capacity else (size - 1) // grain
+                            for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece)):
+                                col.append(v)
+                            seen[kind] += 1
+                    yield pa.record_batch(
+                        [pa.array([part] * len(cols[0]), pa.int32()), names.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[5:7]), pa.array(cols[7], pa.binary())],
+                        names=["part", "doc_id", "doc_tokens", "start", "length", "kind", "in_part", "ids_crc32", "ids"],
+                    )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stored(rows.mapInArrow(encode, PIECE_SCHEMA), "packing-pieces")

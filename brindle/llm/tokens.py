@@ -10,50 +10,54 @@ whole by the library, so the ids are always those of `encode(text)`.
 from __future__ import annotations
 
 import array
+import contextlib
+import gc
 import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import regex
 
-#: Distinct chunks a worker remembers; beyond it the memory is emptied (speed only).
-CACHE_CHUNKS = 1_200_000
+#: Bytes of distinct chunks and their ids that a worker remembers, beyond which its memory is emptied, and the longest chunk in it (both bear on speed only).
+CACHE_BYTES, CACHE_CHUNK = 280 << 20, 64
+#: Bytes that an entry takes besides its characters and ids.
+_ENTRY = 170
 #: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\x01")
 _OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Chunks that are split here: European letters whose lower case does not depend on their neighbours. Others are encoded by the library alone.
 _FITS = re.compile(r" ?[\x21-\x7e\xa1-\u03a2\u03a4-\u058f]+").fullmatch
-_LOADED: dict[tuple[str, bool], "Encoder"] = {}
+_LOADED: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
+    """ids(texts) gives each text's ids, those of the library's encode(text), as little-endian unsigned 32-bit bytes."""
 
-    split_special: strings of special tokens inside a text are ordinary text
-    (so a document cannot smuggle control ids into the training data).
-    """
-
-    def __init__(self, path: str, split_special: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = split_special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule, pattern = _rule(spec)
         self.pattern = regex.compile(pattern)
         self.special = tuple(t["content"] for t in spec.get("added_tokens") or [])
+        self.clear()
+
+    def clear(self) -> None:
         self.cache: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> None:
         """Split many chunks at once by the file's pattern and run the library's model once for each distinct piece."""
-        plain = [c for c in chunks if _FITS(c) and not any(s in c for s in self.special)]
+        plain = [c for c in chunks if _FITS(c)]
         piece_of, model = self.pieces, self.tok.model.tokenize
         joined = "\n".join([*plain, ""])
         if self.rule == "space_ends":
@@ -64,7 +68,10 @@ class Encoder:
                 self.cache[next(at)] = b"".join(ids)
                 ids = []
             elif (got := piece_of.get(piece)) is None:
-                got = piece_of[piece] = array.array("I", [t.id for t in model(_bytes_as_chars(piece))]).tobytes()
+                got = array.array("I", [t.id for t in model(_bytes_as_chars(piece))]).tobytes()
+                if len(piece) <= CACHE_CHUNK:
+                    piece_of[piece] = got
+                    self.held += _ENTRY + len(piece) + len(got)
                 ids.append(got)
             else:
                 ids.append(got)
@@ -72,6 +79,8 @@ class Encoder:
         self.cache.update(zip(rest, self._encode(rest)))
 
     def _chunks(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):  # strings of special tokens get their own ids
+            return None
         if self.rule == "space_ends":  # white space only separates
             return text.replace("\n", " ").split(" ")
         if self.rule == "space_leads" and not any(x in text for x in _RUNS) and not any(c in text for c in _OTHER_SPACE):  # a lone space opens the piece that follows it
@@ -79,12 +88,12 @@ class Encoder:
         return None
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache, self.pieces = {"": b""}, {}
+        if self.held > CACHE_BYTES:
+            self.clear()
         get, out, holes, new = self.cache.get, [], [], set()
         for text in texts:
             if (chunks := self._chunks(text)) is None:
-                out.append(self._encode([text]))
+                out.append(self._encode([text])[0])
                 continue
             parts = list(map(get, chunks))
             if None in parts:
@@ -97,9 +106,12 @@ class Encoder:
         for parts, missing in holes:
             for i, c in missing:
                 parts[i] = known[c]
-        if len(self.pieces) > CACHE_CHUNKS // 2:
-            self.pieces = {}
-        return [b"".join(parts) for parts in out]
+        for c in new:
+            if len(c) > CACHE_CHUNK:
+                del known[c]
+            else:
+                self.held += _ENTRY + len(c) + len(known[c])
+        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
 
 
 def _visible_bytes() -> list[str]:
@@ -134,21 +146,32 @@ def _rule(spec: dict) -> tuple[str | None, str]:
     return None, ""
 
 
-def encoder(path: str, split_special: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    if (key := (path, split_special)) not in _LOADED:
-        _LOADED[key] = Encoder(path, split_special)
-    return _LOADED[key]
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
+
+
+@contextlib.contextmanager
+def without_gc() -> Iterator[None]:
+    """No cycle collection while many small objects are made."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def forget() -> None:
     """Free the remembered chunks: other operators' tasks run in the same worker processes."""
     if any(len(e.cache) > 1 for e in _LOADED.values()):
         import ctypes
-        import gc
 
         for e in _LOADED.values():
-            e.cache, e.pieces = {"": b""}, {}
+            e.clear()
         gc.collect()
         try:
             ctypes.CDLL(None).malloc_trim(0)

@@ -3,9 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from test_llm_operators import components
 
-from brindle.llm import chat, language, licences, ngram_join, substring
+from brindle.llm import chat, language, licences, ngram_join, substring, tokens
 
 
 def test_ngram_join_of_unequal_sizes(spark):
@@ -56,9 +58,11 @@ def test_short_lines_that_repeat_go(spark, tmp_path):
 def test_long_licence_expressions_count_whole():
     names = ["MIT", "Apache-2.0", "BSD-3-Clause"] * 200
     assert licences.evaluate(" AND ".join([*names, "GPL-3.0"])) == (0.3, ["mit", "apache", "bsd"] * 200 + ["gpl"])
-    assert licences.evaluate("(" + " OR ".join(["GPL-3.0"] * 400) + ") AND (MIT OR GPL-2.0) AND (MIT") == (0.3, ["gpl"] * 400 + ["mit", "gpl"])
+    assert licences.evaluate("(" + " OR ".join(["GPL-3.0"] * 400) + ") AND (MIT OR GPL-2.0) AND (MIT") == (0.3, ["gpl"] * 400 + ["mit", "gpl", "mit"])
     assert licences.evaluate("(" * 300 + "MIT" + ")" * 300 + " words") == (1.0, ["mit"])
-    assert licences.evaluate("(" + " OR ".join(["MIT"] * 400)) is None
+    assert licences.evaluate("(" + " OR ".join(["MIT"] * 400)) == (1.0, ["mit"] * 400) and licences.evaluate("((") is None
+    assert licences.evaluate("(MIT OR Apache-2.0") == (1.0, ["mit", "apache"]) and licences.evaluate("GPL-2.0 AND ((") == (0.3, ["gpl"])
+    assert licences.evaluate("MIT AND (GPL-2.0 OR") == (0.3, ["mit", "gpl"]) and licences.evaluate("MIT OR Apache-2.0 GPL-2.0") == (1.0, ["mit", "apache"])
     labels, score = licences.Scanner(licences.BASE).scan("SPDX-License-Identifier: " + " AND ".join([*names, "AGPL-3.0"]) + "\nx")[3:]
     assert len(labels) == 601 and labels[-1] == "agpl" and score == 0.2
 
@@ -71,6 +75,37 @@ def test_rare_languages_are_learned(spark):
     assert model.languages == ["aa", "yy", "zz"]
 
 
+def test_language_fit_reads_whole_texts(spark):
+    assert language.frequencies("", 3)[0].tolist() == []
+    long = "abc " * 400_000 + "ąę"  # more than one block
+    at, share = language.frequencies(long, 3)
+    raw = np.frombuffer(long.encode(), np.uint8)
+    want = np.concatenate([np.bincount(language.ngram_buckets(raw, n)[n - 1 :], minlength=language.BUCKETS) / len(raw) for n in (1, 2, 3)])
+    assert at.tolist() == np.flatnonzero(want).tolist() and np.allclose(share, want[at])
+    head = "zz zz " * 5000  # languages that differ only beyond 20,000 bytes
+    data = [(i, head + (f"ab{i} " if i % 2 else f"xy{i} ") * 5000, "aa" if i % 2 else "bb") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, language.fit(df)).collect()}
+    assert got == {i: k for i, _, k in data}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_the_library(name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path(name)
+    library, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path), random.Random(9)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)  # emptied again and again
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "'s", "'LL", "é", "e\u0301", "İ", "ß", "Σς", "ſ", "中文", "ع", "👍🏽", "\u200d", "0", "12", "½", "²", "a", "Word", "the", "...", "\\", "x" * 200, "\x00", "\ufeff"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x1F000)])) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    texts += ["", "ab" * 400_000, "word " * 60_000 + "<|endoftext|>"]
+    for lo in range(0, len(texts), 500):
+        got = enc.ids(texts[lo : lo + 500])
+        for t, ids in zip(texts[lo : lo + 500], got):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)[:200]
+    assert max(map(len, enc.cache)) <= tokens.CACHE_CHUNK
+
+
 def test_fingerprints_choose_the_row_mapping(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(chat, "fingerprint_of", lambda paths, real=chat.fingerprint_of: seen.append(tuple(sorted(paths))) or real(paths))
