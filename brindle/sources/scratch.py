@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that cross to Python at once while a scratch table is written: whole texts are in these batches, on both sides.
+BATCH_ROWS = 2000
 #: Used only where the session names no folder (tests, one machine).
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
@@ -26,6 +30,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows; the session's own setting comes back at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) -> DataFrame:
     """Write df as Parquet in the shared folder and return a scan of it."""
     spark = df.sparkSession
@@ -33,7 +50,8 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) ->
     writer = df.write.option("compression", codec)
     for key, value in options.items():
         writer = writer.option(key.replace("__", "."), str(value))
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
