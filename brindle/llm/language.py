@@ -149,6 +149,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     drawn = known.join(F.broadcast(chosen), ["__id", "__lang"]).groupBy("__id", "__lang").agg(F.min("__text").alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [frequencies(t, max_n) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))], names=["lang", "key", "at", "share"])

@@ -39,7 +39,7 @@ from brindle.sources.scratch import release, shared_if_small, stored
 FRAGMENTS = 4
 #: A digest is frequent if so many documents of one block of text have it; the largest such list that is shared with the tasks.
 #: Both bear on speed only: any global order gives the same pairs.
-FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 16 << 20
+FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 8 << 20
 #: Rounds in which members meet a leader before all remaining pairs are bounded.  Fewer if meeting all makes at most so many
 #: comparisons for each posting, or if a round merges less than this share of the documents in question.  All bear on speed only.
 LEADER_ROUNDS, MEET_ALL, FEW = 4, 16, 0.02
@@ -143,6 +143,7 @@ def postings(classes: DataFrame, repeated) -> DataFrame:
         return classes.select(F.explode("prefix").alias("h"), "id")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lists = batch.column(1)
             h = np.asarray(lists.flatten(), np.int64)
@@ -170,6 +171,7 @@ def segments(texts: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame
     edges = np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(65 - FRAGMENTS.bit_length())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         often, bit = frequent.value, bits.value
         for batch in batches:
             at = np.asarray(batch.column(2), np.int64)

@@ -187,6 +187,7 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, whol
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             raw, offs = utf8(batch.column(1))
             spot_offs = batch.column(2).offsets.to_numpy()

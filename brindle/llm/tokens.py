@@ -166,14 +166,17 @@ def without_gc() -> Iterator[None]:
 
 
 def forget() -> None:
-    """Free the remembered chunks: other operators' tasks run in the same worker processes."""
-    if any(len(e.cache) > 1 for e in _LOADED.values()):
-        import ctypes
+    """Give memory back before a task of another kind: workers are used again, and what they remembered or freed stays theirs otherwise."""
+    import ctypes
 
+    import pyarrow as pa
+
+    if any(e.held for e in _LOADED.values()):
         for e in _LOADED.values():
             e.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
