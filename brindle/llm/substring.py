@@ -44,8 +44,11 @@ def filter_places(h: np.ndarray, bits: int) -> np.ndarray:
 
 def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether all places of each digest are set: true for every digest that the filter was made of."""
-    at = filter_places(h, 64 * len(words))
-    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+    out = np.empty(len(h), bool)
+    for lo in range(0, len(h), 1 << 15):
+        at = filter_places(h[lo : lo + (1 << 15)], 64 * len(words))
+        out[lo : lo + (1 << 15)] = ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+    return out
 
 
 def digest_filter(digests: DataFrame) -> np.ndarray:
