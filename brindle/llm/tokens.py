@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import regex
 
-#: Bytes of distinct chunks and their ids that a worker remembers, beyond which its memory is emptied, and the longest chunk in it (both bear on speed only).
-CACHE_BYTES, CACHE_CHUNK = 280 << 20, 64
+#: Bytes of distinct chunks and their ids that a worker remembers (half of them those since it was last full, half those before), and the
+#: longest chunk among them.  Both bear on speed only.
+CACHE_BYTES, CACHE_CHUNK = 120 << 20, 64
 #: Bytes that an entry takes besides its characters and ids.
 _ENTRY = 170
 #: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
@@ -48,35 +49,40 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.cache: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}  # chunks and pieces: a piece that is a chunk has the same ids
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
+    def _remember(self, chunk: str, ids: bytes) -> None:
+        if chunk not in self.cache:
+            self.held += _ENTRY + len(chunk) + len(ids)
+        self.cache[chunk] = ids
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, chunks: list[str]) -> None:
         """Split many chunks at once by the file's pattern and run the library's model once for each distinct piece."""
         plain = [c for c in chunks if _FITS(c)]
-        piece_of, model = self.pieces, self.tok.model.tokenize
+        known, model = self.cache, self.tok.model.tokenize
         joined = "\n".join([*plain, ""])
         if self.rule == "space_ends":
             joined = unicodedata.normalize("NFC", joined).lower()
         at, ids = iter(plain), []
         for piece in self.pattern.findall(joined):
             if piece == "\n":
-                self.cache[next(at)] = b"".join(ids)
+                self._remember(next(at), b"".join(ids))
                 ids = []
-            elif (got := piece_of.get(piece)) is None:
+            elif (got := known.get(piece)) is None:
                 got = array.array("I", [t.id for t in model(_bytes_as_chars(piece))]).tobytes()
                 if len(piece) <= CACHE_CHUNK:
-                    piece_of[piece] = got
-                    self.held += _ENTRY + len(piece) + len(got)
+                    self._remember(piece, got)
                 ids.append(got)
             else:
                 ids.append(got)
-        rest = [c for c in chunks if c not in self.cache]
-        self.cache.update(zip(rest, self._encode(rest)))
+        rest = [c for c in chunks if c not in known]
+        for c, got in zip(rest, self._encode(rest)):
+            self._remember(c, got)
 
     def _chunks(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):  # strings of special tokens get their own ids
@@ -88,8 +94,10 @@ class Encoder:
         return None
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
+        if self.held > CACHE_BYTES // 2:
+            before = self.cache
             self.clear()
+            self.before = before
         get, out, holes, new = self.cache.get, [], [], set()
         for text in texts:
             if (chunks := self._chunks(text)) is None:
@@ -99,7 +107,11 @@ class Encoder:
             if None in parts:
                 missing = [(i, chunks[i]) for i, p in enumerate(parts) if p is None]
                 holes.append((parts, missing))
-                new.update(c for _, c in missing)
+                for _, c in missing:
+                    if (got := self.before.get(c)) is None:
+                        new.add(c)
+                    else:
+                        self._remember(c, got)
             out.append(parts)
         self._encode_chunks(list(new))
         known = self.cache
@@ -108,9 +120,7 @@ class Encoder:
                 parts[i] = known[c]
         for c in new:
             if len(c) > CACHE_CHUNK:
-                del known[c]
-            else:
-                self.held += _ENTRY + len(c) + len(known[c])
+                self.held -= _ENTRY + len(c) + len(known.pop(c))
         return [x if isinstance(x, bytes) else b"".join(x) for x in out]
 
 
@@ -171,7 +181,7 @@ def forget() -> None:
 
     import pyarrow as pa
 
-    if any(e.held for e in _LOADED.values()):
+    if any(e.held or e.before for e in _LOADED.values()):
         for e in _LOADED.values():
             e.clear()
         gc.collect()
