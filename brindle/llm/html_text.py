@@ -1,20 +1,30 @@
 """Main text of web pages: streaming parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clusters.
 
-The standard library's parser feeds lines (one for each block element) with their text, tags and
-the element that holds them.  A line's ratio is its visible characters over its tags; the ratios are
-smoothed by a Gaussian and lines above a threshold (the standard deviation of the smoothed ratios)
-form clusters.  The region kept is the holder with most clustered text: an `article` or `main` if one
-has any, else the deepest element that holds most of it; all its lines stay, short ones too, but for
-parts that are never main text (navigation, headers, footers, asides, forms, notices, adverts,
-comments, by element name, role, class and id).
+The standard library's parser feeds lines (one for each block element) with their text, their link text,
+their tags and the element that holds them.  A line's ratio is its characters outside links over its tags,
+doubled in `article` and `main` and halved in parts whose name speaks weakly against them; the ratios are
+smoothed by a Gaussian, and lines above a threshold (the standard deviation of the smoothed ratios) form
+clusters.  The clusters choose the region: the `article` or `main` with most clustered text if that is half
+of it or more, else the deepest element that holds nine tenths of it.
+
+- Names outside the region, and of elements around it, decide nothing: a form around the page is no form part.
+- Parts whose name says that they are never main text (navigation, footers, asides, notices, adverts, comments,
+  forms, by element, role, class and id) are left out.
+- Parts with weaker names (headers, related, share, banners, widgets) stay as far as their own lines reach the
+  threshold; of a header inside the article the headings stay.
+- In a region that is no `article` or `main`, lines before the first and after the last cluster go if they are
+  mostly links, or if the region is the whole page.
+All other lines of the region stay, short ones too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,35 +33,62 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never main text.
-NEVER = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object svg math canvas audio video menu dialog title".split())
-_UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+NEVER = frozenset("head script style noscript template nav footer aside button select textarea iframe object svg math canvas audio video menu title".split())
+#: Left out inside the region only.
+INNER = frozenset("form dialog".split())
+_UNWANTED_ROLES = frozenset("navigation contentinfo complementary search alert menu menubar".split())
+_END = r"(?:$|[\s_-])"
 _UNWANTED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|header|masthead|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|gdpr|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|replies|respond|sidebar|side-bar|sponsor\w*|subscribe)" + _END,
     re.IGNORECASE,
 )
+_WEAK_WORDS = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead|related|share|sharing|social|toolbar|widget)" + _END, re.IGNORECASE)
+_HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)" + _END, re.IGNORECASE)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a holder's name says of its text.
+PLAIN, UNWANTED, INSIDE, WEAK, HEADER = range(5)
 #: Tags that close an open paragraph.
 _ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "title"}
 _SPACE = re.compile(r"\s+")
 
 
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of links, white space as written
+    tags: int
+    holder: int
+    heading: bool
+
+
 class Lines(HTMLParser):
-    """Feeds `lines`: [text, tags, path of holders, wanted]."""
+    """Feeds `lines`, and `holders`: (name, number of the parent, what the name says) of each element, by number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, wanted
-        self.made = 0
-        self.holders: dict[int, tuple[str, int]] = {}  # number: (name, number of the parent)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, int]] = []
+        self.open: Counter[str] = Counter()
+        self.holders: list[tuple[str, int, int]] = [("", 0, PLAIN)]
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.muted = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text or self.tags:
-            wanted = all(s[2] for s in self.stack)
-            self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else 0, wanted))
-        self.parts, self.tags = [], 0
+            self.lines.append(Line(text, min(self.linked, len(text)), self.tags, self.stack[-1][1] if self.stack else 0, any(self.open[h] for h in _HEADINGS)))
+        self.parts, self.tags, self.linked = [], 0, 0
+
+    def cut(self, i: int) -> None:
+        """End the elements from place i of the stack on."""
+        for name, h in self.stack[i:]:
+            self.open[name] -= 1
+            self.muted -= self.mutes(h)
+        del self.stack[i:]
+
+    def mutes(self, h: int) -> bool:
+        """Whether the element is part of a line and its text is left out of it."""
+        name, _, says = self.holders[h]
+        return says == UNWANTED and name not in BLOCKS
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -66,19 +103,28 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         values = {k: v or "" for k, v in attrs}
-        wanted = tag not in NEVER and values.get("role", "").lower() not in _UNWANTED_ROLES and "hidden" not in values and values.get("aria-hidden") != "true"
-        if wanted and tag not in ("html", "body", "article", "main"):
-            wanted = not _UNWANTED_WORDS.search(f"{values.get('class', '')} {values.get('id', '')}")
-        self.made += 1
-        self.holders[self.made] = (tag, self.stack[-1][1] if self.stack else 0)
-        self.stack.append((tag, self.made, wanted))
+        role, names, says = values.get("role", "").lower(), f"{values.get('class', '')} {values.get('id', '')}", PLAIN
+        if tag in NEVER or role in _UNWANTED_ROLES or "hidden" in values or values.get("aria-hidden") == "true":
+            says = UNWANTED
+        elif tag in INNER or role in INNER:
+            says = INSIDE
+        elif tag == "header" or role == "banner":
+            says = HEADER
+        elif tag not in ("html", "body", "article", "main"):
+            says = UNWANTED if _UNWANTED_WORDS.search(names) else HEADER if _HEADER_WORDS.search(names) else WEAK if _WEAK_WORDS.search(names) else PLAIN
+        self.holders.append((tag, self.stack[-1][1] if self.stack else 0, says))
+        self.stack.append((tag, len(self.holders) - 1))
+        self.open[tag] += 1
+        self.muted += self.mutes(len(self.holders) - 1)
 
     def end(self, tag: str, fence: set[str]) -> None:
         """End the innermost open `tag`, unless a fence stands before it."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.flush()
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i][0] in fence:
                 return
@@ -89,21 +135,25 @@ class Lines(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag not in BLOCKS and any(s[0] in BLOCKS for s in self.stack[i + 1 :]):
-                    del self.stack[i]  # an inline element that was left open across blocks
-                else:
-                    if any(s[0] in BLOCKS for s in self.stack[i:]):
-                        self.flush()
-                    del self.stack[i:]
+        if not self.open[tag]:
+            return
+        i = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag)
+        if any(name in BLOCKS for name, _ in self.stack[i + (tag not in BLOCKS) :]):
+            if tag not in BLOCKS:  # an inline element that was left open across blocks
+                self.open[tag] -= 1
+                self.muted -= self.mutes(self.stack[i][1])
+                del self.stack[i]
                 return
+            self.flush()
+        self.cut(i)
 
     def handle_data(self, data: str) -> None:
-        if not self.stack or self.stack[-1][0] not in ("script", "style"):
+        if not self.muted:
             self.parts.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, bool]]:
+    def finish(self) -> list[Line]:
         if re.match("<[!/?a-zA-Z]", self.rawdata):  # markup that the page's end cuts off
             self.rawdata = ""
         super().close()
@@ -129,40 +179,60 @@ def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
+def ratios_of(lines: list[Line], boost: list[float]) -> list[float]:
+    """Text-to-tag ratios: characters outside links over tags, times what the names around a line say."""
+    return [(len(x.text) - x.linked) / max(x.tags, 1) * boost[x.holder] for x in lines]
+
+
 def main_text(html: str | None) -> str:
     """The main text: blocks in page order, one line each; empty if there is none."""
     if not html:
         return ""
     page = Lines()
     page.feed(html)
-    lines = page.finish()
-    wanted = [(text, tags, holder) for text, tags, holder, ok in lines if ok and text]
-    if not wanted:
+    found = page.finish()
+    holders = page.holders
+    gone, boost = [False] * len(holders), [1.0] * len(holders)
+    for h in range(1, len(holders)):  # parents have lower numbers
+        name, up, says = holders[h]
+        gone[h] = gone[up] or says == UNWANTED
+        boost[h] = max(boost[up], 2.0) if name in ("article", "main") else boost[up] * (0.5 if says in (WEAK, HEADER) else 1.0)
+    lines = [x for x in found if x.text and not gone[x.holder]]
+    if not lines:
         return ""
-    ratios = smooth([len(text) / max(tags, 1) for text, tags, _ in wanted])
+    own = ratios_of(lines, boost)
+    ratios = smooth(own)
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, holder), ratio in zip(wanted, ratios):
-        if ratio >= threshold:
-            total += len(text)
-            while holder:
-                weight[holder] = weight.get(holder, 0) + len(text)
-                holder = page.holders[holder][1]
-    named = [h for h in weight if page.holders[h][0] in ("article", "main")]
+    clustered = [i for i, r in enumerate(ratios) if r >= threshold]
+    weight = [0.0] * len(holders)
+    for i in clustered:
+        weight[lines[i].holder] += len(lines[i].text) - 0.99 * lines[i].linked
+    for h in range(len(holders) - 1, 0, -1):
+        weight[holders[h][1]] += weight[h]
+    named = [h for h in range(1, len(holders)) if holders[h][0] in ("article", "main") and not gone[h] and weight[h] >= max(0.5 * weight[0], 1e-9)]
     if named:
-        region = max(named, key=lambda h: (weight[h], page.holders[h][0] == "article", -h))
+        region = max(named, key=lambda h: (weight[h], holders[h][0] == "article", -h))
     else:  # the deepest holder of at least nine tenths of the clustered text that is not a mere paragraph
-        holders = [h for h in weight if weight[h] >= 0.9 * total and page.holders[h][0] in ("body", "html", "div", "section", "td", "table", "blockquote")]
-        region = max(holders, default=0)
+        region = max((h for h in range(1, len(holders)) if weight[h] >= max(0.9 * weight[0], 1e-9) and holders[h][0] in ("body", "html", "div", "section", "td", "table", "blockquote", "form", "header")), default=0)
+    inside, part = [h == region for h in range(len(holders))], [PLAIN] * len(holders)
+    for h in range(1, len(holders)):
+        _, up, says = holders[h]
+        if h != region and inside[up]:
+            inside[h] = True
+            part[h] = part[up] if part[up] in (INSIDE, HEADER) or says == PLAIN else says
+    whole = holders[region][0] in ("", "html", "body")
+    edges = [i for i in clustered if inside[lines[i].holder] and 2 * lines[i].linked < len(lines[i].text)] if not named else []
     out = []
-    for text, _, holder in wanted:
-        at = holder
-        while at and at != region:
-            at = page.holders[at][1]
-        if at == region:
-            out.append(text)
+    for i, x in enumerate(lines):
+        if not inside[x.holder] or part[x.holder] == INSIDE:
+            continue
+        linked = 2 * x.linked >= len(x.text)
+        if part[x.holder] in (WEAK, HEADER) and (linked or own[i] < threshold) and not (part[x.holder] == HEADER and x.heading and not whole):
+            continue
+        if edges and not edges[0] <= i <= edges[-1] and (whole or linked):
+            continue
+        out.append(x.text)
     return "\n".join(out)
 
 

@@ -106,12 +106,35 @@ def test_ids_are_those_of_the_library(name, monkeypatch):
     assert max(map(len, enc.cache)) <= tokens.CACHE_CHUNK
 
 
-def test_fingerprints_choose_the_row_mapping(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(chat, "fingerprint_of", lambda paths, real=chat.fingerprint_of: seen.append(tuple(sorted(paths))) or real(paths))
-    one = spark.createDataFrame([(1, 0, "user", "a", "x")], "conv_id long, turn long, role string, text string, more string")
+def test_fingerprints_choose_the_mapping(spark):
+    one = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], "conv_id long, turn long, role string, text string, content string, prompt string")
     two = spark.createDataFrame([("b", 1, "user", 0)], "content string, conversation_id long, role string, position long")
-    assert [tuple(t) for t in chat.turns_of_rows(one).first().turns] == [("user", "a")] and ("conv_id", "role", "text", "turn") in seen
+    assert [tuple(t) for t in chat.turns_of_rows(one).first().turns] == [("user", "a")]
     assert [tuple(t) for t in chat.turns_of_rows(two).first().turns] == [("user", "b")]
     nested = spark.createDataFrame([], "a struct<b: array<struct<c: int>>, d: int>, e string")
-    assert chat.schema_paths(nested.schema) == ["a", "a.b", "a.b.c", "a.d", "e"] and chat.row_mapping(nested) is None
+    assert chat.schema_paths(nested.schema) == ["a", "a.b", "a.b.c", "a.d", "e"]
+    with pytest.raises(ValueError):
+        chat.turns_of_rows(nested)
+    assert chat.turns_of_rows(one.limit(0)).count() == 0
+
+
+def test_layouts_of_one_table(spark):
+    records = [
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "id": 3, "input": 4}', '{"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}',
+        '{"instruction": "a", "input": "", "output": "b", "prompt": 7}', '{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}', '{"other": 1}', "broken",
+    ]
+    rows = [(10 + i, None, None, None, r, "x") for i, r in enumerate(records)]
+    rows += [(1, 1, "assistant", "b", None, "x"), (1, 0, "user", "a", None, "x"), (None, 0, "user", "a", None, None), (None, 1, "assistant", "b", None, None), (2, None, None, None, None, None), (3, 0, "user", "a", None, None), (3, 0, "user", "a", None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string, turns string").repartition(4)
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.conversations(table, "record").collect()}
+    same = [("user", "a"), ("assistant", "b")]
+    assert got == {1: same, 10: same, 11: same, 12: same, 13: same, None: same, 2: [("", "")], 3: [("user", "a")] * 2}
+
+
+def test_the_query_goes_through_fingerprints(spark, tmp_path):
+    table = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    out = chat.op5_chat_formatting(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "Python" not in plan
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in out.collect()} == {1: (2, 0), -7: (2, 21)}
