@@ -12,9 +12,7 @@ All symbols of a batch of lines are coded and decoded in step, so no Python loop
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -258,20 +256,21 @@ def media_clips(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(read, CLIP_SCHEMA)
 
 
+def clip_rows(clips: DataFrame) -> DataFrame:
+    """doc_id, clip (from 0), first_frame, end_frame, start_s, end_s, mean_level: a row for each timed clip of media_clips."""
+    return clips.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.*")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: digests of the stored files and of what is read back from them, and the shots as a feature string."""
     read = media_clips(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, media = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            features = [f"frames={c[-1]['end_frame']};shots={len(c)};cuts={','.join(str(x['first_frame']) for x in c[1:])};levels={','.join(f'{x['mean_level']:.3f}' for x in c)}" for c in batch.column(4).to_pylist()]
-            yield pa.record_batch(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(features),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return read.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    listed = lambda xs: F.array_join(xs, ",")
+    feature = F.concat(
+        F.lit("frames="), F.element_at("clips", -1)["end_frame"], F.lit(";shots="), F.size("clips"),
+        F.lit(";cuts="), listed(F.transform(F.slice("clips", 2, F.size("clips")), lambda c: c["first_frame"].cast("string"))),
+        F.lit(";levels="), listed(F.transform("clips", lambda c: F.format_string("%.3f", c["mean_level"]))),
+    )
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )

@@ -300,6 +300,50 @@ def test_token_output(spark, docs, rows, none, tmp_path, encoding):
     assert output.read_documents(spark, str(tmp_path / "n")).count() == 0
 
 
+def test_query_of_media_columns(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in media.op9_media_columns(spark, str(tmp_path)).collect():
+        got.setdefault(repr(r.doc_id), []).append(r)
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        full = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        file = media.write_media([full])[0]
+        shots = media.shots(media.read_media([file])[0])
+        for r in got[repr(i)]:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+            assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+            assert r.feature.startswith(f"frames={shots[-1][1]};shots={len(shots)};cuts={','.join(str(a) for a, _ in shots[1:])};levels=") and len(r.feature.split("levels=")[1].split(",")) == len(shots)
+    clips = media.clip_rows(media.media_clips(media.text_media(docs))).collect()
+    assert {c.clip for c in clips if c.doc_id == 6} == {0} and all(c.end_s > c.start_s >= 0 and c.end_frame > c.first_frame for c in clips)
+
+
+def test_queries_of_ids_and_licences(spark, docs, rows, tmp_path):
+    """ids_crc32, start, sequence padding, first_word, last_word, base_labels: against plain Python and the library."""
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    at = 0
+    got = sorted(output.op10_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    for r, (i, t) in zip(got, sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1] or ""))):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = sorted((repr(i), 0 if k else len(x), zlib.crc32(x[k : k + 4096].tobytes()), k) for i, t, *_ in rows for x in [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")] for k in range(0, len(x), 4096))
+    packed = packing.op2_packing(spark, str(tmp_path)).collect()
+    assert sorted((repr(r.doc_id), 0 if r.start else r.doc_tokens, r.ids_crc32, r.start) for r in packed) == want
+    places = {}
+    for i, t, *_ in rows:
+        w = word_list(t)
+        found = [(k, label) for p, label in licences.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        places.setdefault(repr(i), []).append((len(w), len(found), min((k for k, _ in found), default=None), max((k for k, _ in found), default=None), ",".join(sorted({x for _, x in found}))))
+    for r in licences.op3_licence_scan(spark, str(tmp_path)).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) in places[repr(r.doc_id)] and 0 <= r.score <= 1
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
 def test_queries_are_named():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
 
