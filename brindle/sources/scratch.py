@@ -43,6 +43,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, own)
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from now on, for a job whose stages hand whole texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd", **options: object) -> DataFrame:
     """Write df as Parquet in the shared folder and return a scan of it."""
     spark = df.sparkSession
