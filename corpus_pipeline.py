@@ -18,11 +18,12 @@ from brindle.llm.language import UNDETERMINED, fit, label
 from brindle.llm.ngram_join import keep_representatives
 from brindle.llm.packing import pack
 from brindle.llm.substring import dedup_substrings, text_key
-from brindle.sources.scratch import shared_if_small, stored
+from brindle.sources.scratch import lean_batches, shared_if_small, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null text or no letter) go; `lang` becomes the predicted language."""
+    lean_batches(spark)
     found = label(docs, fit(docs)).filter(F.col("__lang_pred") != UNDETERMINED)
     return found.withColumn("lang", F.col("__lang_pred")).select(*docs.columns)
 
@@ -34,6 +35,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines, paragraphs and passages go, all but their first occurrence; documents of which nothing is left go."""
+    lean_batches(spark)
     names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
     found = dedup_substrings(docs.withColumnsRenamed(names), min_line=1, whole_passages=True, carry=tuple(names.values()))
     left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
