@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from brindle.functions.keyed import gumbel, md5_32
 from brindle.functions.text import approx_tokens, clean_text, word_count
 from brindle.operators.order import numbered, running, shuffled, take_first
+from brindle.sources.scratch import shared_if_small, stored
 
 
 def harvest(docs: DataFrame, order: list[Column], *, token_budget: int | None, max_chars: int = 6000, text_col: str = "text") -> DataFrame:
@@ -88,24 +89,59 @@ def score_sample_impute(docs: DataFrame, scored: DataFrame, cap: int, seed: int
     return docs.select(id_col).join(sample, id_col, "left").join(F.broadcast(median)).select(id_col, F.coalesce("ppl", "__median").alias("ppl"))  # one row
 
 
+#: Words and word pairs whose feature a worker remembers (speed only).
+_KNOWN_GRAMS = 400_000
+
+
 def hashed_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1 << 18) -> DataFrame:
-    """id, feature, c: counts of hashed word unigrams and bigrams (words of two letters or more, lower case)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    w = F.col("__w")
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    grams = docs.select(id_col, words.alias("__w")).select(id_col, F.explode(F.concat(w, pairs)).alias("g"))
-    return grams.groupBy(id_col, F.pmod(md5_32(F.col("g")), F.lit(features)).alias("feature")).agg(F.count("*").alias("c"))
+    """id, feature, c: counts of hashed word unigrams and bigrams (words of two letters or more, lower case), in Arrow batches."""
+    import hashlib
+    from collections import Counter
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    kind = dict(docs.dtypes)[id_col]
+    word = regex.compile(r"[\p{L}\p{N}_]{2,}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows, found, counts = [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    w = word.findall(text or "")
+                    own: Counter[int] = Counter()
+                    for g, c in (Counter(w) + Counter(f"{x} {y}" for x, y in zip(w, w[1:]))).items():
+                        if (f := known.get(g)) is None:
+                            f = known[g] = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") % features
+                        own[f] += c
+                    rows += [i] * len(own)
+                    found += own.keys()
+                    counts += own.values()
+                if len(known) > _KNOWN_GRAMS:
+                    known.clear()
+                yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(found, np.int64)), pa.array(np.array(counts, np.int64))], names=[id_col, "feature", "c"])
+
+    return docs.select(id_col, F.lower(F.col(text_col).cast("string"))).mapInArrow(count, f"`{id_col}` {kind}, feature long, c long")
 
 
 def dsir_weights(raw: DataFrame, target: DataFrame, *, id_col: str = "doc_id", target_id: str = "item_id", features: int = 1 << 18) -> DataFrame:
-    """id, weight: mean log ratio of the smoothed target and raw feature probabilities over a document's n-grams."""
-    mine = hashed_ngrams(raw, id_col=id_col, features=features)
-    sums = lambda df, name: df.groupBy("feature").agg(F.sum("c").alias(name))
-    both = sums(mine, "r").join(sums(hashed_ngrams(target, id_col=target_id, features=features), "t"), "feature", "left").fillna(0, ["t"])
-    totals = both.agg(F.sum("r").alias("nr")).join(hashed_ngrams(target, id_col=target_id, features=features).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("nt")))
+    """id, weight: mean log ratio of the smoothed target and raw feature probabilities over a document's n-grams.
+
+    Texts are read once: their counts are stored.  The ratios are one row for each feature, at most `features`.
+    """
+    mine = stored(hashed_ngrams(raw, id_col=id_col, features=features), "ngram-counts")
+    theirs = stored(hashed_ngrams(target, id_col=target_id, features=features).groupBy("feature").agg(F.sum("c").alias("t")), "target-counts")
+    both = stored(mine.groupBy("feature").agg(F.sum("c").alias("r")).join(theirs, "feature", "left").fillna(0, ["t"]), "feature-counts")
+    totals = both.agg(F.sum("r").alias("nr")).join(theirs.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("nt")))
     ratio = both.join(F.broadcast(totals)).select("feature", (F.log((F.col("t") + 1.0) / (F.col("nt") + features)) - F.log((F.col("r") + 1.0) / (F.col("nr") + features))).alias("lr"))  # one row
-    scored = mine.join(ratio, "feature").groupBy(id_col).agg(F.sum(F.col("c") * F.col("lr")).alias("s"), F.sum("c").alias("k"))
-    return raw.select(id_col).join(scored, id_col, "left").select(id_col, (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("k", F.lit(0)), F.lit(1))).alias("weight"))
+    scored = mine.join(shared_if_small(ratio, 16), "feature").groupBy(id_col).agg(F.sum(F.col("c") * F.col("lr")).alias("s"), F.sum("c").alias("k"))
+    out = raw.select(id_col).join(scored, id_col, "left").select(id_col, (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("k", F.lit(0)), F.lit(1))).alias("weight"))
+    return stored(out, "dsir-weights")
 
 
 def dsir_resample(weights: DataFrame, *, keep_frac: float = 0.7, keep_n: int | None = None, seed: int = 42, id_col: str = "doc_id", temperature: float = 1.0) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.keyed import md5_32
 from brindle.functions.text import bind, clean_text, normalize_for_hash
-from brindle.sources.scratch import stored
+from brindle.sources.scratch import shared_if_small, stored
 
 #: (bands, rows) that balance false positives and negatives for 128 permutations.
 BANDS = {0.80: (9, 13), 0.85: (8, 16)}
@@ -44,12 +45,56 @@ def multipliers(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def minhash(grams: Column, permutations: int = 128) -> Column:
-    """Signature of a set of strings; an empty set gives PRIME everywhere."""
-    hashed = F.transform(grams, lambda g: F.pmod(md5_32(g), F.lit(2147483647)))
-    ab = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in multipliers(permutations)])
-    least = lambda hs: F.transform(ab, lambda p: F.coalesce(F.array_min(F.transform(hs, lambda h: F.pmod(h * p["a"] + p["b"], F.lit(PRIME)))), F.lit(PRIME).cast("long")))
-    return bind(hashed, least)
+def _shingled(docs: DataFrame, id_col: str, text_col: str, schema: str, make, k: int, short: str) -> DataFrame:
+    """Rows made from each document's shingles in Arrow batches; make(ids, lists of the shingles' bytes) gives a batch.
+
+    Lower case is the JVM's; an empty set is an empty list.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    space = re.compile(r"[ \t\n\x0b\f\r]+")
+
+    def of(text: str | None) -> list[bytes]:
+        w = [x for x in space.split(text or "") if x]
+        if short == "unigrams" and len(w) < k:
+            return [x.encode() for x in w]
+        return [" ".join(w[i : i + k]).encode() for i in range(max(1, len(w) - k + 1))] if w else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield make(part.column(0), [of(t) for t in part.column(1).to_pylist()])
+
+    return docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(run, schema)
+
+
+def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, sig: MinHash of each document's shingles; an empty set gives PRIME everywhere.  Each shingle is hashed once, each permutation is one vector operation."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = (np.array(x, np.int64) for x in zip(*multipliers(permutations)))
+    kind = dict(docs.dtypes)[id_col]
+
+    def make(ids, lists):
+        out = np.full((len(lists), permutations), PRIME, np.int64)
+        for i, grams in enumerate(lists):
+            h = np.frombuffer(b"".join(hashlib.md5(g).digest()[:4] for g in grams), ">u4").astype(np.int64) % 2147483647
+            for lo in range(0, len(h), 2048):
+                np.minimum(out[i], ((h[lo : lo + 2048, None] * a + b) % PRIME).min(axis=0), out=out[i])
+        return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, dtype=np.int32)), pa.array(out.ravel()))], names=["id", "sig"])
+
+    return _shingled(docs, id_col, text_col, f"`{id_col}` {kind}, sig array<bigint>", lambda i, g: make(i, g).rename_columns([id_col, "sig"]), k, short)
+
+
+def core_signatures(docs: DataFrame, permutations: int = 128, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The variant on text without punctuation, unigrams for fewer than five words."""
+    return signatures(docs.select(id_col, normalize_for_hash(text_col).alias("text")), permutations, short="unigrams", id_col=id_col)
 
 
 def bands(signatures: DataFrame, threshold: float, *, id_col: str = "doc_id", sig_col: str = "sig") -> DataFrame:
@@ -60,9 +105,8 @@ def bands(signatures: DataFrame, threshold: float, *, id_col: str = "doc_id", si
 
 
 def lsh_index(docs: DataFrame, threshold: float, *, id_col: str = "doc_id", text_col: str = "text", permutations: int = 128) -> DataFrame:
-    grams = shingles(F.col(text_col))
-    signed = docs.select(id_col, grams.alias("g")).filter(F.size("g") > 0).select(id_col, minhash(F.col("g"), permutations).alias("sig"))
-    return bands(signed, threshold, id_col=id_col)
+    signed = signatures(docs, permutations, id_col=id_col, text_col=text_col)
+    return bands(signed.filter(F.col("sig")[0] < PRIME), threshold, id_col=id_col)  # PRIME: no shingles
 
 
 def leakage_filter(docs: DataFrame, test_index: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id") -> DataFrame:
@@ -87,35 +131,65 @@ def leakage_report(flagged: DataFrame, *by: str) -> DataFrame:
     return flagged.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("leaked").alias("dropped"), F.count_if(~F.col("leaked")).alias("kept"))
 
 
-def exploded(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of the set), g (digest of a shingle)."""
-    sets = docs.select(F.col(id_col).alias("id"), shingles(F.col(text_col), k).alias("s"))
-    return sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "n", F.md5("s").alias("g"))
+def digest_sets(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, s: each document's distinct shingles as sorted 64-bit digests."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
 
+    kind = dict(docs.dtypes)[id_col]
 
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a < b, jaccard of pairs at or above the threshold, exactly: sets are compared only where their prefixes share a shingle.
+    def make(ids, lists):
+        sets = [np.unique(np.frombuffer(b"".join(hashlib.md5(g).digest()[:8] for g in grams), "<i8")) for grams in lists]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+        return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).astype(np.int64)))], names=["id", "s"])
 
-    The order of shingles is that of their document frequency, rarest first, so the prefixes hold the rare ones.
+    return _shingled(docs, id_col, text_col, f"id {kind}, s array<bigint>", make, k, "whole")
+
+
+def shingle_classes(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members: id and rep, the least id with the same shingles; classes: id, n, s of each rep).  Documents without shingles are in neither."""
+    sets = stored(digest_sets(docs, k, id_col=id_col, text_col=text_col).filter(F.size("s") > 0).withColumn("key", F.sha2(F.array_join("s", ","), 256)), "digest-sets")
+    reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep")), "set-classes")
+    members = stored(sets.select("id", "key").join(reps, "key").select("id", "rep"), "members")
+    return members, stored(sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("s").alias("n"), "s"), "class-sets")
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep; pairs: a < b, jaccard of different sets at or above the threshold, between reps).
+
+    Documents with equal sets are one class, so copies make no pairs.  Sets are compared only where their prefixes
+    share a shingle; shingles are ordered by the number of classes that have them, rarest first.
     """
-    grams = exploded(docs, k, id_col=id_col, text_col=text_col)
-    freq = grams.groupBy("g").agg(F.count("*").alias("df"))
-    ranked = grams.join(freq, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    members, classes = shingle_classes(docs, k, id_col=id_col, text_col=text_col)
+    grams = classes.select("id", "n", F.explode("s").alias("g"))
+    freq = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = grams.join(freq, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))  # of shingles that others have; its own come before these
     sets = stored(ranked.select("id", "n", F.transform("s", lambda x: x["g"]).alias("s")), "shingle-sets")
-    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    heads = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("g"))
+    length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
+    heads = sets.filter(length > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("g"))
     other = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), "g")
     pairs = heads.select(F.col("id").alias("a"), "n", "g").join(other, "g").filter("a < b").filter(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("a", "b").distinct()
-    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-12)
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard"))
+    return members, found.filter(F.col("jaccard") >= threshold - 1e-12)
+
+
+def near_dup_greedy(docs: DataFrame, threshold: float = 0.85, *, id_col: str = "doc_id") -> DataFrame:
+    """ids with `kept`, by exact Jaccard pairs in id order.  Of a class of equal sets only the least id can stay; the loop runs over these."""
+    members, pairs = jaccard_pairs(docs, threshold, id_col=id_col)
+    reps = greedy_keep(members.select(F.col("rep").alias("__rep")).distinct(), pairs, id_col="__rep")
+    gone = members.join(reps, F.col("rep") == F.col("__rep")).filter(~F.col("kept") | (F.col("id") != F.col("rep"))).select(F.col("id").alias("__gone")).distinct()
+    return docs.select(id_col).join(gone, docs[id_col] == gone["__gone"], "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
 
 
 def containment(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Pairs of a document and an item of whose shingles it holds at least the share `threshold`."""
-    mine = exploded(docs, k, id_col=id_col, text_col=text_col).select(F.col("id").alias(id_col), "g")
-    theirs = exploded(items, k, id_col=item_col, text_col=text_col).select(F.col("id").alias(item_col), "n", "g")
-    return mine.join(theirs, "g").groupBy(id_col, item_col).agg((F.count("*") / F.first("n")).alias("share")).filter(F.col("share") >= threshold)
+    theirs = stored(digest_sets(items, k, id_col=item_col, text_col=text_col).select(F.col("id").alias(item_col), F.size("s").alias("n"), F.explode("s").alias("g")), "item-shingles")
+    mine = digest_sets(docs, k, id_col=id_col, text_col=text_col).select(F.col("id").alias(id_col), F.explode("s").alias("g"))
+    return mine.join(shared_if_small(theirs, 40), "g").groupBy(id_col, item_col).agg((F.count("*") / F.first("n")).alias("share")).filter(F.col("share") >= threshold)
 
 
 def greedy_keep(ids: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

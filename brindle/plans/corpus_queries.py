@@ -203,8 +203,17 @@ _SIGN = f"[coalesce(list_min([(h * p.a + p.b) % {N.PRIME} for h in hs]), {N.PRIM
 
 @query("minhash_signature", f"SELECT item_id, md5(array_to_string({_SIGN}, ',')) AS sig_md5 FROM (SELECT doc_id AS item_id, {_HASHED} AS hs FROM ({SHINGLES.format('benchmark', 'item_id')}))")
 def minhash_signature(spark, sf_dir):
-    """128 permutations of the benchmark's shingles."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.array_join(N.minhash(N.shingles(F.col("text"))), ",")).alias("sig_md5"))
+    """128 permutations of the benchmark's shingles."""
+    return N.signatures(table(spark, sf_dir, "benchmark"), id_col="item_id").select("item_id", F.md5(F.array_join("sig", ",")).alias("sig_md5"))
+
+
+_CORE = r"SELECT item_id AS doc_id, CASE WHEN len(w) < 5 THEN list_distinct(w) ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM (SELECT item_id, list_filter(string_split(" + NORM.format("text") + r", ' '), lambda x: x != '') AS w FROM benchmark)"
+
+
+@query("minhash_core", f"SELECT item_id, md5(array_to_string({_SIGN}, ',')) AS sig_md5 FROM (SELECT doc_id AS item_id, {_HASHED} AS hs FROM ({_CORE}))")
+def minhash_core(spark, sf_dir):
+    """Signatures of the core shingles."""
+    return N.core_signatures(table(spark, sf_dir, "benchmark"), id_col="item_id").select("item_id", F.md5(F.array_join("sig", ",")).alias("sig_md5"))
 
 
 @query("lsh_bands", f"SELECT item_id, b AS band, md5(array_to_string(sig[b * 13 + 1 : b * 13 + 13], ',')) AS band_hash FROM (SELECT item_id, {_SIGN} AS sig, unnest(range(0, 9)) AS b FROM (SELECT doc_id AS item_id, {_HASHED} AS hs FROM ({SHINGLES.format('benchmark', 'item_id')}) WHERE len(s) > 0))")
@@ -213,28 +222,46 @@ def lsh_bands(spark, sf_dir):
     return N.lsh_index(table(spark, sf_dir, "benchmark"), 0.80, id_col="item_id").select("item_id", F.col("band").cast("long").alias("band"), "band_hash")
 
 
-@query("leakage_filter")
+def _banded(source: str, key: str, threshold: float) -> str:
+    """SQL: id, band, h of the LSH index of a table."""
+    b, r = N.BANDS[threshold]
+    least = ", ".join(f"min((h * {x} + {y}) % {N.PRIME}) AS p{i}" for i, (x, y) in enumerate(N.multipliers(b * r)))
+    band = " UNION ALL ".join(f"SELECT id, {i} AS band, concat_ws(',', {', '.join(f'p{j}' for j in range(i * r, i * r + r))}) AS h FROM sig" for i in range(b))
+    return f"(WITH sig AS (SELECT id, {least} FROM (SELECT doc_id AS id, {U32.format('g')} % 2147483647 AS h FROM (SELECT doc_id, unnest(s) AS g FROM ({SHINGLES.format(source, key)}))) GROUP BY id) {band})"
+
+
+_HIT = f"SELECT DISTINCT d.id FROM {_banded('documents', 'doc_id', 0.80)} d JOIN {_banded('benchmark', 'item_id', 0.80)} b USING (band, h)"
+
+
+@query("leakage_filter", f"SELECT doc_id FROM documents WHERE doc_id NOT IN ({_HIT})")
 def leakage_filter(spark, sf_dir):
     """Documents that share no LSH band with the benchmark."""
     index = N.lsh_index(table(spark, sf_dir, "benchmark"), 0.80, id_col="item_id")
     return N.leakage_filter(docs(spark, sf_dir), index).select("doc_id")
 
 
-@query("shield_report")
+@query("shield_report", f"WITH c AS (SELECT doc_id, lang, source, {CLEAN.format('text')} AS text FROM documents), k AS (SELECT item_id, {CLEAN.format('text')} AS text FROM benchmark), h AS (SELECT DISTINCT d.id FROM {_banded('c', 'doc_id', 0.80)} d JOIN {_banded('k', 'item_id', 0.80)} b USING (band, h)) SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE doc_id IN (FROM h)) AS dropped, count(*) FILTER (WHERE doc_id NOT IN (FROM h)) AS kept FROM c GROUP BY lang, source")
 def shield_report(spark, sf_dir):
-    """Documents shielded against the benchmark, counted by language and source."""
+    """Documents shielded against the benchmark, counted by language and source."""
     flagged = N.shield_flags(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), F.col("text"), F.col("text"), id_col="doc_id")
     return N.leakage_report(flagged, "lang", "source")
 
 
 @query("shingle_jaccard_pairs", f"""
-WITH s AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM ({SHINGLES.format('documents', 'doc_id')})),
+WITH t AS (SELECT min(doc_id) AS doc_id, s FROM (SELECT doc_id, list_sort(s) AS s FROM ({SHINGLES.format('documents', 'doc_id')})) WHERE len(s) > 0 GROUP BY s),
+s AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM t),
 o AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM o WHERE k / (na + nb - k) >= 0.85
 """)
 def shingle_jaccard_pairs(spark, sf_dir):
-    """Exact Jaccard pairs at 0.85."""
-    return N.jaccard_pairs(docs(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Exact Jaccard pairs at 0.85 between classes of equal sets, each by its least id."""
+    return N.jaccard_pairs(docs(spark, sf_dir))[1].select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("shingle_classes", f"WITH t AS (SELECT doc_id, list_sort(s) AS s FROM ({SHINGLES.format('documents', 'doc_id')}) WHERE len(s) > 0) SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM t")
+def shingle_classes(spark, sf_dir):
+    """The members of the classes of shingle_jaccard_pairs."""
+    return N.shingle_classes(docs(spark, sf_dir))[0].select(F.col("id").alias("doc_id"), "rep")
 
 
 @query("near_dup_greedy", f"""
@@ -249,11 +276,17 @@ SELECT doc_id, NOT list_contains((SELECT arg_max(dropped, i) FROM loop), doc_id)
 """)
 def near_dup_greedy(spark, sf_dir):
     """J8's decision rule on exact Jaccard pairs."""
-    d = docs(spark, sf_dir)
-    return N.greedy_keep(d.select("doc_id"), N.jaccard_pairs(d).select("a", "b")).select("doc_id", "kept")
+    return N.near_dup_greedy(docs(spark, sf_dir)).select("doc_id", "kept")
 
 
-@query("minhash_dedup")
+@query("minhash_dedup", f"""
+WITH RECURSIVE x AS {_banded('documents', 'doc_id', 0.85)},
+p AS (SELECT DISTINCT l.id AS a, r.id AS b FROM x l JOIN x r USING (band, h) WHERE l.id < r.id),
+m AS (SELECT b AS id, list(a) AS less FROM p GROUP BY b), q AS (SELECT id, less, row_number() OVER (ORDER BY id) AS i FROM m),
+loop AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS dropped UNION ALL
+  SELECT l.i + 1, CASE WHEN len(list_filter(q.less, lambda x: NOT list_contains(l.dropped, x))) > 0 THEN list_append(l.dropped, q.id) ELSE l.dropped END FROM loop l JOIN q ON q.i = l.i + 1)
+SELECT doc_id, NOT list_contains((SELECT arg_max(dropped, i) FROM loop), doc_id) AS kept FROM documents
+""")
 def minhash_dedup(spark, sf_dir):
     """J8, J18 with LSH candidates."""
     return N.minhash_dedup(docs(spark, sf_dir)).select("doc_id", "kept")
