@@ -186,7 +186,8 @@ def parse_rubric(text: Column | str) -> Column:
     body = F.regexp_replace(F.regexp_extract(t, r"\{[^{}]+\}", 0), "'", '"')
     fields = F.transform_keys(F.from_json(body, "map<string,string>"), lambda k, _: F.lower(k))
     valid = lambda c: F.when(c.between(1, 5), c)
-    layer1 = {a: valid(F.coalesce(*[F.floor(F.try_element_at(fields, F.lit(n)).try_cast("double")).cast("int") for n in names])) for a, names in AXES.items()}
+    whole_number = lambda v: F.coalesce(v.try_cast("double").cast("int"), F.nullif(F.regexp_extract(v, r"\d+", 0), F.lit("")).try_cast("int"))  # noqa: E731  4, 4.0, 4/5
+    layer1 = {a: valid(whole_number(F.coalesce(*[F.try_element_at(fields, F.lit(n)) for n in names]))) for a, names in AXES.items()}
     layer2 = {a: valid(F.nullif(F.regexp_extract(t, rf"(?i){a}[\"']?\s*[:=]\s*[\"']?(\d+)", 1), F.lit("")).cast("int")) for a in AXES}
     digits = F.regexp_extract_all(t, F.lit(r"\b([1-5])\b"), F.lit(1))
     layer3 = {a: F.try_element_at(digits, F.lit(i + 1)).cast("int") for i, a in enumerate(AXES)}
@@ -210,6 +211,11 @@ def parse_verdict(text: Column | str) -> Column:
     return F.when(got.isin("ÉGALITÉ", "EGALITE", "DRAW"), "TIE").otherwise(got)
 
 
+def verdict_reason(text: Column | str) -> Column:
+    """The reason that comes with a verdict, empty if there is none."""
+    return F.trim(F.regexp_extract(F.coalesce(col(text), F.lit("")), r'(?is)"?reason"?\s*[:=]\s*"([^"]*)"', 1))
+
+
 def combine_passes(ab: Column | str, ba: Column | str) -> Column:
     """struct(winner, consistent) of a duel judged in both orders; slot A holds the challenger in the first."""
     first = F.when(col(ab) == "A", "challenger").when(col(ab) == "B", "opponent").when(col(ab) == "TIE", "tie")

@@ -399,7 +399,7 @@ _RANK = f"row_number() OVER (ORDER BY {U32.format(chr(39) + '42|' + chr(39) + '
 
 @query("split_carve", f"WITH n AS (SELECT greatest(50, count(*) // 20) AS t, greatest(50, count(*) // 10) AS v FROM documents), r AS (SELECT doc_id, {_RANK} - 1 AS p FROM documents) SELECT doc_id, CASE WHEN p < t THEN 'test' WHEN p < t + v THEN 'val' ELSE 'train' END AS split FROM r, n")
 def split_carve(spark, sf_dir):
-    """Seeded test, val and train."""
+    """Seeded test, val and train."""
     return C.carve(docs(spark, sf_dir).select("doc_id"), 42)
 
 

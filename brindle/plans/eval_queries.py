@@ -218,7 +218,7 @@ def judge_axis_means(spark, sf_dir):
 
 @query("consensus", f"SELECT model, n_shot, item, axis, round(avg(score), 6) AS score, count(*) AS n_judges FROM ({SCORES_SQL}) GROUP BY ALL")
 def consensus(spark, sf_dir):
-    """A12, J16."""
+    """A12."""
     return r6(J.consensus(scores(spark, sf_dir), ["model", "n_shot", "item", "axis"]), "score")
 
 
@@ -296,7 +296,7 @@ def paired_tests(spark, sf_dir):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    """H13, H20."""
+    """H13."""
     return r6(S.bootstrap(_pairs(spark, sf_dir), ["model", "n_shot"]), "ci_lo", "ci_hi", "p_boot")
 
 
@@ -395,13 +395,13 @@ def seed_intervals(spark, sf_dir):
 
 @query("vanilla_once", f"WITH s AS ({_SEEDS}) SELECT seed, model, round(value, 4) AS value FROM s WHERE model != '1-URGENT' OR seed = (SELECT min(seed) FROM s)")
 def vanilla_once(spark, sf_dir):
-    """A27, H25."""
+    """A27."""
     return J.once_per_seed(_seeds(spark, sf_dir), "1-URGENT").withColumn("value", F.round("value", 4))
 
 
 @query("numeric_items", "SELECT p_partkey, metric, round(value, 4) AS value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part) UNPIVOT (value FOR metric IN (p_size, p_retailprice))")
 def numeric_items(spark, sf_dir):
-    """Numeric leaves as rows."""
+    """Numeric leaves as rows."""
     return J.unpivot_numbers(table(spark, sf_dir, "part"), ["p_partkey"]).withColumn("value", F.round("value", 4))
 
 
@@ -423,13 +423,13 @@ def verdict_parse(spark, sf_dir):
 
 @query("model_groups", "SELECT p_brand, CASE WHEN starts_with(p_brand, 'Brand#1') THEN 'perplexity' WHEN starts_with(p_brand, 'Brand#2') THEN 'noppl' ELSE 'excluded' END AS grp, count(*) AS n FROM part GROUP BY 1, 2")
 def model_groups(spark, sf_dir):
-    """T31, T32, S19."""
+    """T31."""
     return table(spark, sf_dir, "part").groupBy("p_brand", X.model_group("p_brand", {"Brand#1": "perplexity", "Brand#2": "noppl"}).alias("grp")).agg(F.count("*").alias("n"))
 
 
 @query("pred_or_raw", "SELECT doc_id, right(coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), text), 1500) AS t FROM documents")
 def pred_or_raw(spark, sf_dir):
-    """T24, T25, T26."""
+    """T24, T26."""
     d = table(spark, sf_dir, "documents").withColumn("pred", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")))
     return d.select("doc_id", F.right(X.pred_or_raw("pred", "text"), F.lit(1500)).alias("t"))
 
@@ -454,7 +454,7 @@ def _qa(spark, sf_dir):
 
 @query("normalise_mcqa", "SELECT CAST(p_partkey AS VARCHAR) AS id, 'mcqa' AS task, p_name AS question, CASE WHEN p_size % 2 = 0 THEN 'A,B' ELSE 'A' END AS answer, p_type AS specialty, 'part' AS source FROM part")
 def normalise_mcqa(spark, sf_dir):
-    """G1, G6, T11."""
+    """G1."""
     return Q.normalise_mcqa(_qa(spark, sf_dir), "part").select("id", "task", "question", "answer", "specialty", "source")
 
 
