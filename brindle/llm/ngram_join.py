@@ -21,7 +21,9 @@ The order is cut into fragments; a set's part in each fragment is a row of its o
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,16 +205,17 @@ def lengths_fit(num: int, den: int) -> Column:
     return den * F.least("n", "n2") >= num * F.greatest("n", "n2")
 
 
-def maps_fit(num: int, den: int, words: int = MAP_WORDS) -> Column:
+def maps_fit(num: int, den: int, ours: list[Column] | None = None, theirs: list[Column] | None = None) -> Column:
     """Two sets have at least as many digests apart as their maps have bits apart; the rest of both bounds twice the overlap."""
-    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("map2")[i])) for i in range(1, words)), F.bit_count(F.col("map")[0].bitwiseXOR(F.col("map2")[0])))
+    ours = ours or [F.col("map")[i] for i in range(MAP_WORDS)]
+    theirs = theirs or [F.col("map2")[i] for i in range(MAP_WORDS)]
+    apart = functools.reduce(operator.add, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(ours, theirs)))
     return (num + den) * (F.col("n") + F.col("n2") - apart) >= 2 * num * (F.col("n") + F.col("n2"))
 
 
-def folded(words: int) -> Column:
-    """The map of fewer bits: parities of parities."""
-    xor = lambda xs: xs[0] if len(xs) == 1 else xs[0].bitwiseXOR(xor(xs[1:]))
-    return F.array(*[xor([F.col("map")[j] for j in range(i, MAP_WORDS, words)]) for i in range(words)])
+def folded(words: int) -> list[Column]:
+    """The words of a map of fewer bits: parities of parities."""
+    return [functools.reduce(Column.bitwiseXOR, [F.col("map")[j] for j in range(i, MAP_WORDS, words)]) for i in range(words)]
 
 
 def prefixes_fit(num: int, den: int) -> Column:
@@ -239,17 +242,18 @@ def meet_all(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     own = sets.select(F.col("row").alias("id"), "n", "map")
 
-    def meet(rows: DataFrame, words: int) -> DataFrame:
-        other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "map", "before")])
-        met = rows.join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den)).filter(maps_fit(num, den, words))
-        return met.filter(~F.arrays_overlap("before", "before2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    def meet(rows: DataFrame, fits: Column) -> DataFrame:
+        other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "h"])
+        return rows.join(other, "h").filter("id < id2 and comp != comp2").filter(lengths_fit(num, den)).filter(fits)
 
-    none = F.array().cast("array<bigint>")
-    few = live.filter(F.col("c") <= MANY).join(own.select("id", "n", folded(FEW_WORDS).alias("map")), "id").select("h", "id", "n", "comp", "map", none.alias("before"))
+    names = [f"w{i}" for i in range(FEW_WORDS)]
+    few = live.filter(F.col("c") <= MANY).select("h", "id", "comp").join(own.select("id", F.col("n").cast("int").alias("n"), *[x.alias(w) for x, w in zip(folded(FEW_WORDS), names)]), "id").select("h", "id", "n", "comp", *names)
+    few = meet(few, maps_fit(num, den, [F.col(w) for w in names], [F.col(f"{w}2") for w in names]))
     many = live.filter(F.col("c") > MANY).groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("s"), F.first("comp").alias("comp")).join(own, "id")
-    earlier = F.when(F.size("s") <= EARLIER, F.slice("s", F.lit(1), F.col("at"))).otherwise(none)
+    earlier = F.when(F.size("s") <= EARLIER, F.slice("s", F.lit(1), F.col("at"))).otherwise(F.array().cast("array<bigint>"))
     many = many.select("id", "n", "comp", "map", "s", F.posexplode("s").alias("at", "h")).withColumn("before", earlier).drop("s", "at")
-    return meet(few, FEW_WORDS).unionByName(meet(many, MAP_WORDS)).distinct()
+    many = meet(many, maps_fit(num, den) & ~F.arrays_overlap("before", "before2"))
+    return few.select(F.col("id").alias("a"), F.col("id2").alias("b")).unionByName(many.select(F.col("id").alias("a"), F.col("id2").alias("b"))).distinct()
 
 
 def count_overlaps(pairs: DataFrame, segs: DataFrame) -> DataFrame:
