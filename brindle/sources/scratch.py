@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that cross to Python at once while a scratch table is written: whole texts are in these batches, on both sides.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Used only where the session names no folder (tests, one machine).
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
