@@ -25,7 +25,7 @@ from brindle.llm.words import ALNUM, blocks, spans, word_digests
 from brindle.sources.scratch import stored
 
 #: Bytes of text in a shard; one longer document makes a shard of its own.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Places left free after each document, so that no exact match crosses documents.
 GAP = 64
 #: Windows that one broadcast holds (about 100 bytes each); a larger test set is looked up block by block.

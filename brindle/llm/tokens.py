@@ -22,7 +22,7 @@ import regex
 
 #: Bytes of distinct chunks and their ids that a worker remembers (half of them those since it was last full, half those before), and the
 #: longest chunk among them.  Both bear on speed only.
-CACHE_BYTES, CACHE_CHUNK = 120 << 20, 64
+CACHE_BYTES, CACHE_CHUNK = 64 << 20, 64
 #: Bytes that an entry takes besides its characters and ids.
 _ENTRY = 170
 #: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
@@ -36,7 +36,8 @@ _LOADED: dict[str, "Encoder"] = {}
 class Encoder:
     """ids(texts) gives each text's ids, those of the library's encode(text), as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int | None = None):
+        self.cache_bytes = cache_bytes or CACHE_BYTES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,7 +95,7 @@ class Encoder:
         return None
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES // 2:
+        if self.held > self.cache_bytes // 2:
             before = self.cache
             self.clear()
             self.before = before
@@ -156,10 +157,11 @@ def _rule(spec: dict) -> tuple[str | None, str]:
     return None, ""
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int | None = None) -> Encoder:
     """One encoder for each worker process and file."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+    _LOADED[path].cache_bytes = cache_bytes or CACHE_BYTES
     return _LOADED[path]
 
 
@@ -181,9 +183,8 @@ def forget() -> None:
 
     import pyarrow as pa
 
-    if any(e.held or e.before for e in _LOADED.values()):
-        for e in _LOADED.values():
-            e.clear()
+    if _LOADED:
+        _LOADED.clear()
         gc.collect()
     pa.default_memory_pool().release_unused()
     try:
