@@ -47,6 +47,8 @@ FREQUENT_IN_BLOCK, FREQUENT_MOST, BLOCK_BYTES = 4, 1 << 18, 8 << 20
 LEADER_ROUNDS, MEET_ALL, FEW = 4, 16, 0.02
 #: 64-bit words of a set's map, and of its short form (a divisor).  More make the bound sharper for large sets.
 MAP_WORDS, FEW_WORDS = 16, 4
+#: The most words of the wide map that a large set has besides.
+WIDE_MOST = 4096
 #: Documents of a digest from which on its rows carry whole maps and earlier digests, if the document has at most so many of these.
 MANY, EARLIER = 32, 256
 #: Bits of the map that tells which documents a second reading needs.
@@ -107,14 +109,19 @@ def is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def parity_map(g: np.ndarray) -> np.ndarray:
-    """MAP_WORDS words of bits; each is the parity of the digests that fall on it."""
-    odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (64 * MAP_WORDS - 1), minlength=64 * MAP_WORDS) & 1
+def parity_map(g: np.ndarray, words: int) -> np.ndarray:
+    """`words` (a power of two) words of bits; each is the parity of the digests that fall on it."""
+    odd = np.bincount((g >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_words(n: int) -> int:
+    """Words of the wide map of a set too large for MAP_WORDS (about 1.3 bits for each digest or more, up to WIDE_MOST); 0: it needs none."""
+    return min(WIDE_MOST, MAP_WORDS << (n // (50 * MAP_WORDS)).bit_length()) if n > 50 * MAP_WORDS else 0
+
+
 def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """doc_id, tk, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order), map."""
+    """doc_id, tk, row (unique), n, cls (digest of the set; null if empty), prefix (the first digests in the global order), map, wide (of large sets)."""
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -128,15 +135,16 @@ def prefixes(texts: DataFrame, k: int, num: int, den: int, frequent) -> DataFram
                     heads.append(np.concatenate([g[~late], g[late]])[: len(g) - -(-num * len(g) // den) + 1])
                 sizes = np.array([len(h) for h in heads])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64)))
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP_WORDS * (hi - lo) + 1, MAP_WORDS, dtype=np.int32)), pa.array(np.concatenate([parity_map(g) for g in sets])))
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, MAP_WORDS * (hi - lo) + 1, MAP_WORDS, dtype=np.int32)), pa.array(np.concatenate([parity_map(g, MAP_WORDS) for g in sets])))
+                wide = pa.array([parity_map(g, w) if (w := wide_words(len(g))) else None for g in sets], pa.list_(pa.int64()))
                 n = [len(g) for g in sets]
                 yield pa.record_batch(
-                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists, maps],
-                    names=["doc_id", "tk", "row", "n", "cls", "prefix", "map"],
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(np.arange(row, row + hi - lo)), pa.array(n, pa.int64()), pa.array([class_digest(g) if len(g) else None for g in sets], pa.binary()), lists, maps, wide],
+                    names=["doc_id", "tk", "row", "n", "cls", "prefix", "map", "wide"],
                 )
                 row += hi - lo
 
-    return texts.mapInArrow(prefix, "doc_id long, tk long, row long, n long, cls binary, prefix array<bigint>, map array<bigint>")
+    return texts.mapInArrow(prefix, "doc_id long, tk long, row long, n long, cls binary, prefix array<bigint>, map array<bigint>, wide array<bigint>")
 
 
 def postings(classes: DataFrame, repeated) -> DataFrame:
@@ -213,6 +221,20 @@ def maps_fit(num: int, den: int, ours: list[Column] | None = None, theirs: list[
     return (num + den) * (F.col("n") + F.col("n2") - apart) >= 2 * num * (F.col("n") + F.col("n2"))
 
 
+def wide_fit(num: int, den: int) -> Column:
+    """The bound of maps_fit by the wide maps of two large sets, folded to the smaller of the two; true if one has none."""
+    words = F.least(F.size("wide"), F.size("wide2"))
+
+    def fold(c: str) -> Column:
+        parts = lambda i: F.transform(F.sequence(F.lit(0), (F.size(c) / words).cast("int") - 1), lambda j: F.col(c)[i + (j * words).cast("int")])
+        xor = lambda i: F.aggregate(parts(i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == words, F.col(c)).otherwise(F.transform(F.sequence(F.lit(0), words - 1), xor))
+
+    apart = F.aggregate(F.zip_with(fold("wide"), fold("wide2"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    both = F.col("wide").isNotNull() & F.col("wide2").isNotNull()
+    return F.when(both, (num + den) * (F.col("n") + F.col("n2") - apart) >= 2 * num * (F.col("n") + F.col("n2"))).otherwise(F.lit(True))
+
+
 def folded(words: int) -> list[Column]:
     """The words of a map of fewer bits: parities of parities."""
     return [functools.reduce(Column.bitwiseXOR, [F.col("map")[j] for j in range(i, MAP_WORDS, words)]) for i in range(words)]
@@ -225,13 +247,19 @@ def prefixes_fit(num: int, den: int) -> Column:
     return (num + den) * most >= num * (F.col("n") + F.col("n2"))
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, na, nb of the stored pairs(a, b) that no bound rules out."""
-    own = sets.select("row", "n", "map", "prefix")
+def beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The stored pairs(a, b) with columns of both sets, those of b under names that end in 2."""
+    own = sets.select("row", *columns)
     left = own.join(shared_if_small(pairs, 24), F.col("row") == F.col("a")).drop("row")
     targets = stored(pairs.select("b").distinct(), "targets")
-    right = own.join(shared_if_small(targets, 16), F.col("row") == F.col("b"), "left_semi").select(F.col("row").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "map", "prefix")])
-    return left.join(right, "b").filter(lengths_fit(num, den)).filter(maps_fit(num, den)).filter(prefixes_fit(num, den)).select("a", "b", F.col("n").alias("na"), F.col("n2").alias("nb"))
+    right = own.join(shared_if_small(targets, 16), F.col("row") == F.col("b"), "left_semi").select(F.col("row").alias("b"), *[F.col(c).alias(f"{c}2") for c in columns])
+    return left.join(right, "b")
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, na, nb of the stored pairs(a, b) that no bound rules out; prefixes move only for those that lengths and maps leave."""
+    near = stored(beside(pairs, sets, "n", "map", "wide").filter(lengths_fit(num, den)).filter(maps_fit(num, den)).filter(wide_fit(num, den)).select("a", "b"), "mapped")
+    return beside(near, sets, "n", "prefix").filter(prefixes_fit(num, den)).select("a", "b", F.col("n").alias("na"), F.col("n2").alias("nb"))
 
 
 def meet_all(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

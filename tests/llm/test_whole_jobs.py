@@ -24,6 +24,20 @@ def test_ngram_join_of_unequal_sizes(spark):
     assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == components(rows)
 
 
+def test_ngram_join_of_large_sets(spark):
+    rng, rows = random.Random(3), []
+    for g in range(12):  # long texts that share a passage, and copies of them cut to a Jaccard about 0.8
+        w = [f"g{g}w{i}" for i in range(rng.choice([900, 1500, 3100, 6500]))] + [f"shared{i}" for i in range(400)]
+        for share in (1.0, 0.79, 0.805, 0.9):
+            rows.append((len(rows), " ".join(w[: round(len(w) * share)])))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == components(rows)
+    assert [ngram_join.wide_words(n) for n in (800, 801, 1600, 3200, 10**7)] == [0, 32, 64, 128, 4096]
+    g = np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    wide, small = ngram_join.parity_map(g, 256), ngram_join.parity_map(g, 16)
+    assert np.bitwise_xor.reduce(wide.reshape(-1, 16), axis=0).tolist() == small.tolist()
+
+
 def test_substring_dedup_removes_whole_passages(spark):
     rng, rows, want = random.Random(4), [], {}
     own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
