@@ -123,7 +123,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """The pieces, stored: full sequences (kind -1) and at most one remainder for each document (kind: its length class).
 
     `in_part` counts the pieces of a kind within a partition, so that ranks need no sort of a whole class.
@@ -134,7 +134,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, en
         seen = [0] * (-(-capacity // grain) + 1)
         with without_gc():
             for batch in batches:
-                for lo, _, texts in text_blocks(batch.column(1)):
+                for lo, _, texts in text_blocks(batch.column(1), 1 << 19):
                     names = batch.column(0)
                     cols: list[list] = [[] for _ in range(8)]
                     for i, ids in enumerate(enc.ids(texts)):
@@ -144,7 +144,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, en
                             piece = ids[4 * start : 4 * (start + capacity)]
                             size = len(piece) // 4
                             kind = -1 if size == capacity else (size - 1) // grain
-                            for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece)):
+                            for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece if with_ids else None)):
                                 col.append(v)
                             seen[kind] += 1
                     yield pa.record_batch(
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int =
     partition that stored them and their order in it.  ids: little-endian unsigned 32-bit, as binary.
     """
     spark = docs.sparkSession
-    pieces = cut_documents(docs, tokenizer, capacity, grain, end_id, id_col, text_col)
+    pieces = cut_documents(docs, tokenizer, capacity, grain, end_id, id_col, text_col, with_ids)
     classes = -(-capacity // grain)
     # partitions x classes rows: where the ranks of each partition begin in each class
     counts = stored(pieces.groupBy("kind", "part").agg(F.count("*").alias("n")), "packing-counts")

@@ -22,7 +22,7 @@ import regex
 
 #: Bytes of distinct chunks and their ids that a worker remembers (half of them those since it was last full, half those before), and the
 #: longest chunk among them.  Both bear on speed only.
-CACHE_BYTES, CACHE_CHUNK = 64 << 20, 64
+CACHE_BYTES, CACHE_CHUNK = 40 << 20, 64
 #: Bytes that an entry takes besides its characters and ids.
 _ENTRY = 170
 #: White space in which a cut is left to the library: runs, and anything but a lone space or line feed.
