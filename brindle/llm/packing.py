@@ -156,6 +156,14 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, en
     return stored(rows.mapInArrow(encode, PIECE_SCHEMA), "packing-pieces")
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table sent as Arrow data: a list of rows would start Python workers of another kind on the executors."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int32() if c.endswith(" int") else pa.int64() for c in schema.split(", ")]
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), schema)
+
+
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int = 8, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
@@ -181,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int =
 
     whole = ranked.filter("kind = -1").select("*", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).select(out)
     # Patterns: at most `classes` of them, so these tables are bounded by capacity and grain.
-    uses = spark.createDataFrame(plan, "kind int, rank_lo long, copies long, each long, first_seq long")
+    uses = _table(spark, plan, "kind int, rank_lo long, copies long, each long, first_seq long")
     n = F.col("rank") - F.col("rank_lo")
     in_pattern = (
         ranked.filter("kind >= 0").join(F.broadcast(uses), "kind").filter((n >= 0) & (n < F.col("copies") * F.col("each")))
@@ -190,11 +198,11 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int =
         .select(out)
     )
     # What rounding left: less than one copy of each pattern, however large the corpus is.
-    limits = spark.createDataFrame([(c, int(d)) for c, d in enumerate(dealt)], "kind int, dealt long")
+    limits = _table(spark, [(c, int(d)) for c, d in enumerate(dealt)], "kind int, dealt long")
     left = ranked.filter("kind >= 0").join(F.broadcast(limits), "kind").filter("rank >= dealt")
     keys = left.select("kind", "rank", "length").orderBy("kind", "rank").collect()
     bins = best_fit([r["length"] for r in keys], capacity)
-    fitted = spark.createDataFrame([(r["kind"], r["rank"], full + sequences + b, o) for r, (b, o) in zip(keys, bins)], "kind int, rank long, sequence_id long, offset long")
+    fitted = _table(spark, [(r["kind"], r["rank"], full + sequences + b, o) for r, (b, o) in zip(keys, bins)], "kind int, rank long, sequence_id long, offset long")
     rest = left.join(F.broadcast(fitted), ["kind", "rank"]).select(out)
     return whole.unionByName(in_pattern).unionByName(rest)
 
