@@ -27,6 +27,8 @@ UNDETERMINED = "und"
 FIT_TEXTS = 2000
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 12
+#: Bytes of text whose margins are computed at once; one longer text makes a block of its own (memory only).
+TEXT_BLOCK = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[0x41:0x5B] += 32
@@ -185,7 +187,7 @@ def label(docs: DataFrame, model: Model, *, text_col: str = "text", names: tuple
         m = shared.value
         for batch in batches:
             texts = batch.column(at).cast(pa.string())
-            for lo, hi, raw, offs in blocks(texts, 1 << 20):
+            for lo, hi, raw, offs in blocks(texts, TEXT_BLOCK):
                 letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts[lo:hi].to_pylist()], bool) & bool(m.languages)
                 if m.languages:
                     best, score, close = m.decode(m.margins(raw, offs))
