@@ -5,6 +5,7 @@ from __future__ import annotations
 from brindle.llm import sql
 from brindle.llm.chat import op5_chat_formatting
 from brindle.llm.decontam import op1_decontamination
+from brindle.llm.hard_negatives import op12_hard_negatives
 from brindle.llm.html_text import op7_html_extraction
 from brindle.llm.language import op4_language_id
 from brindle.llm.licences import op3_licence_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD, "op13_prefix_trie": sql.PREFIX_TRIE}
+ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD, "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_prefix_trie": sql.PREFIX_TRIE}
