@@ -15,6 +15,7 @@ from brindle.llm.output import op10_token_output
 from brindle.llm.packing import op2_packing
 from brindle.llm.prefix_trie import op13_prefix_trie
 from brindle.llm.substring import op8_substring_dedup
+from brindle.llm.suffix_dedup import op11_suffix_dedup
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -27,7 +28,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD, "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_prefix_trie": sql.PREFIX_TRIE}
+ORACLES = {"op1_decontamination": sql.DECONTAMINATION, "op5_chat_formatting": sql.CHAT, "op6_ngram_jaccard": sql.NGRAM_JACCARD, "op11_suffix_dedup": sql.SUFFIX_DEDUP, "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_prefix_trie": sql.PREFIX_TRIE}
