@@ -83,17 +83,18 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
   FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score) WHERE rank <= 3
 """
 
-# Bytes as pairs of hexadecimal digits; n marks the end of a run of repeated windows that do not touch the next.
+# Bytes as pairs of hexadecimal digits; d numbers the different documents in order.
 SUFFIX_DEDUP = """
-WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-x AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(text)) AS b FROM d),
-w AS (SELECT o, text, p, substr(b, CAST(2 * p + 1 AS BIGINT), 200) AS s FROM (SELECT o, text, b, unnest(generate_series(0, len(b) // 2 - 100)) AS p FROM x WHERE len(b) >= 200)),
-r AS (SELECT o, text, p FROM (SELECT o, text, p, row_number() OVER (PARTITION BY s ORDER BY o, text, p) AS n FROM w) WHERE n > 1),
-g AS (SELECT o, text, p, sum(fresh) OVER (PARTITION BY o, text ORDER BY p) AS run FROM (SELECT o, text, p, CASE WHEN p <= lag(p) OVER (PARTITION BY o, text ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
-z AS (SELECT o, text, min(p) AS a, max(p) + 100 AS e FROM g GROUP BY o, text, run),
-c AS (SELECT o, text, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substr(b, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept, max(e) AS e
-      FROM (SELECT o, text, b, a, e, coalesce(lag(e) OVER (PARTITION BY o, text ORDER BY a), 0) AS before FROM z JOIN x USING (o, text)) GROUP BY o, text)
-SELECT q.doc_id, CAST(len(x.b) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN c.o IS NULL THEN x.b ELSE coalesce(c.kept, '') || substr(x.b, CAST(2 * c.e + 1 AS BIGINT)) END)) AS kept_sha256
-FROM documents q JOIN x ON coalesce(q.doc_id, 9223372036854775807) = x.o AND coalesce(q.text, '') = x.text LEFT JOIN c ON c.o = x.o AND c.text = x.text
+WITH d AS (SELECT row_number() OVER (ORDER BY o, text) AS r, o, text, hex(encode(text)) AS b FROM (SELECT DISTINCT coalesce(doc_id, 9223372036854775807) AS o, coalesce(text, '') AS text FROM documents)),
+k AS (SELECT r, 200 * k AS k, substr(b, CAST(400 * k + 1 AS BIGINT), 598) AS b FROM (SELECT r, b, unnest(generate_series(0, len(b) // 400)) AS k FROM d WHERE len(b) >= 200)),
+w AS (SELECT r, k + q AS p, substr(b, CAST(2 * q + 1 AS BIGINT), 200) AS s FROM (SELECT r, k, b, unnest(generate_series(0, len(b) // 2 - 100)) AS q FROM k WHERE len(b) >= 200)),
+f AS (SELECT md5(s) AS m, min(r * 4294967296 + p) AS first FROM w GROUP BY m HAVING count(*) > 1),
+r AS (SELECT r, p FROM w JOIN f ON md5(s) = m WHERE r * 4294967296 + p > first),
+g AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+z AS (SELECT r, min(p) AS a, max(p) + 100 AS e FROM g GROUP BY r, run),
+c AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substr(b, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept, max(e) AS e
+      FROM (SELECT r, b, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM z JOIN d USING (r)) GROUP BY r)
+SELECT q.doc_id, CAST(len(d.b) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.r IS NULL THEN d.b ELSE coalesce(c.kept, '') || substr(d.b, CAST(2 * c.e + 1 AS BIGINT)) END)) AS kept_sha256
+FROM documents q JOIN d ON coalesce(q.doc_id, 9223372036854775807) = d.o AND coalesce(q.text, '') = d.text LEFT JOIN c ON c.r = d.r
 """
