@@ -57,6 +57,36 @@ def approx_tokens(text: Column | str) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(col(text)) / 4)).cast("long")
 
 
+def fixed(x: Column | str, digits: int, *, plus: bool = False) -> Column:
+    """x with so many decimals, the exact binary value rounded half to even as C's printf does; "+" before what is not negative, if asked for.
+
+    The product with the power of ten is split into its rounded value and its exact error, so a tie is told from what
+    only looks like one.  From 2^52 / 10^digits on the digits are those of the shortest decimal that names the double.
+    """
+    value = col(x).cast("double")
+
+    def of(d: Column) -> Column:
+        size, scale = F.abs(d), float(10**digits)
+
+        def split(p: Column) -> Column:
+            # Dekker's product; 10^digits has few enough bits to need no splitting itself
+            c = size * 134217729.0
+            high = c - (c - size)
+            error = (high * scale - p) + (size - high) * scale
+            whole = F.floor(p)
+            part = p - whole
+            up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+            return whole + up.cast("long")
+
+        n = bind(size * scale, split)
+        text = bind(n, lambda k: F.concat(F.floor(k / 10**digits).cast("string"), F.lit("."), F.lpad((k % 10**digits).cast("string"), digits, "0")) if digits else k.cast("string"))
+        sign = F.when(d.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
+        large = F.format_string(f"%.{digits}f", size)
+        return F.when(F.isnan(d), "+nan" if plus else "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(size >= 2.0**52 / scale, F.concat(sign, large)).otherwise(F.concat(sign, text))
+
+    return bind(value, of)
+
+
 def clean_text(text: Column | str) -> Column:
     """Control characters and runs of blanks become one space, three or more line feeds two; ends are stripped; null is empty."""
     t = F.coalesce(col(text), F.lit(""))

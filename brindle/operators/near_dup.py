@@ -71,7 +71,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, schema: str, make, k:
     return docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text", sig_col: str = "sig") -> DataFrame:
     """id, sig: MinHash of each document's shingles; an empty set gives PRIME everywhere.  Each shingle is hashed once, each permutation is one vector operation."""
     import hashlib
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: s
                 np.minimum(out[i], ((h[lo : lo + 2048, None] * a + b) % PRIME).min(axis=0), out=out[i])
         return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, dtype=np.int32)), pa.array(out.ravel()))], names=["id", "sig"])
 
-    return _shingled(docs, id_col, text_col, f"`{id_col}` {kind}, sig array<bigint>", lambda i, g: make(i, g).rename_columns([id_col, "sig"]), k, short)
+    return _shingled(docs, id_col, text_col, f"`{id_col}` {kind}, `{sig_col}` array<bigint>", lambda i, g: make(i, g).rename_columns([id_col, sig_col]), k, short)
 
 
 def core_signatures(docs: DataFrame, permutations: int = 128, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import dist
-from brindle.functions.text import clean_text, col
+from brindle.functions.text import clean_text, col, fixed
 from brindle.operators import stats as S
 from brindle.operators.near_dup import leakage_filter
 from brindle.operators.order import numbered, shuffled, take_first
@@ -43,7 +43,7 @@ def purge_once(spark: SparkSession, folder: str, pattern: str, marker: str) -> i
 def human_time(seconds: Column | str) -> Column:
     """Seconds, minutes or hours with their unit."""
     s = col(seconds)
-    return F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.2fh", s / 3600))
+    return F.when(s < 60, F.concat(fixed(s, 1), F.lit("s"))).when(s < 3600, F.concat(fixed(s / 60, 1), F.lit("m"))).otherwise(F.concat(fixed(s / 3600, 2), F.lit("h")))
 
 
 def stamp(time: Column | str) -> Column:
@@ -72,7 +72,7 @@ def seed_differences(metrics: DataFrame, a: str, b: str, keys: list[str], seed:
 
 def seed_difference_summary(differences: DataFrame, keys: list[str], seed: str = "seed") -> DataFrame:
     """n_seeds, mean_diff, sd (null for one) and the list of differences as text."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct(seed, "d"))), lambda x: F.format_string("s%s=%+.4f", x[seed].cast("string"), x["d"]))
+    said = F.transform(F.array_sort(F.collect_list(F.struct(seed, "d"))), lambda x: F.concat(F.lit("s"), x[seed].cast("string"), F.lit("="), fixed(x["d"], 4, plus=True)))
     return differences.groupBy("adapter", *keys).agg(F.count("*").alias("n_seeds"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.array_join(said, "; ").alias("per_seed"))
 
 
@@ -105,7 +105,7 @@ def loss_summary(runs: DataFrame, columns: tuple[str, ...] = ("task", "n_train",
 
 def dz_table(stats: DataFrame, shots: list[int], p: str = "p") -> DataFrame:
     """model and one column for each shot: dz with its sign, three digits and stars."""
-    cell = F.format_string("%+.3f%s", F.col("dz"), S.stars(p))
+    cell = F.concat(fixed("dz", 3, plus=True), S.stars(p))
     return stats.withColumn("cell", cell).groupBy("model").pivot("n_shot", shots).agg(F.first("cell"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from brindle.plans import corpus_queries, eval_queries, report_queries
-from brindle.streaming import curation
+from brindle.streaming import curation, shield
 
-QUERIES = {**corpus_queries.QUERIES, **eval_queries.QUERIES, **report_queries.QUERIES, **curation.QUERIES}
-ORACLES = {**corpus_queries.ORACLES, **eval_queries.ORACLES, **report_queries.ORACLES, **curation.ORACLES}
+QUERIES = {**corpus_queries.QUERIES, **eval_queries.QUERIES, **report_queries.QUERIES, **curation.QUERIES, **shield.QUERIES}
+ORACLES = {**corpus_queries.ORACLES, **eval_queries.ORACLES, **report_queries.ORACLES, **curation.ORACLES, **shield.ORACLES}

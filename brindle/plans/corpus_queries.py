@@ -13,6 +13,7 @@ from brindle.operators import qa as Q
 from brindle.operators.order import numbered, shuffled, take_first
 from brindle.plans.tables import table
 from brindle.sources import files
+from brindle.sources import harvest as H
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -463,3 +464,23 @@ def set_operations(spark, sf_dir):
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+_HARVEST = """
+WITH d AS (SELECT 0 AS src_ord, 'items' AS source, item_id AS k, text AS t FROM benchmark UNION ALL SELECT 2, 'french', doc_id, text FROM documents WHERE lang = 'fr' AND doc_id % 3 != 0 UNION ALL SELECT 3, 'pages', page_id, html FROM pages UNION ALL SELECT 4, 'rest', doc_id, text FROM documents WHERE lang != 'fr'),
+k AS (SELECT src_ord, source, k, substr(t, 1, 6000) AS t, greatest(1, length(substr(t, 1, 6000)) // 4) AS tokens FROM d WHERE length(t) > 80),
+r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY src_ord, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT CAST(src_ord AS INT) AS src_ord, source, CAST(k AS VARCHAR) AS id, CAST(tokens AS BIGINT) AS tokens, md5(t) AS text_md5 FROM r WHERE before < 300000
+"""
+
+
+@query("harvest_sources", _HARVEST)
+def harvest_sources(spark, sf_dir):
+    """Five sources in order until the budget is spent; the second cannot be opened, the third is a dict of splits, later ones may stay unopened."""
+    d = docs(spark, sf_dir)
+    splits = {"test": d.filter("lang = 'fr' AND doc_id % 3 = 0"), "train": d.filter("lang = 'fr' AND doc_id % 3 != 0")}
+    out, _ = H.harvest_sources(spark, [
+        H.Source("items", lambda: table(spark, sf_dir, "benchmark"), ("item_id",)), H.Source("gone", lambda: table(spark, sf_dir, "no_such_table"), ("id",)),
+        H.Source("french", lambda: splits, ("doc_id",)), H.Source("pages", lambda: table(spark, sf_dir, "pages"), ("page_id",)), H.Source("rest", lambda: d.filter("lang != 'fr'"), ("doc_id",)),
+    ], token_budget=300_000)
+    return out.select("src_ord", "source", "id", "tokens", F.md5("text").alias("text_md5"))

@@ -1,4 +1,4 @@
-"""Streaming curation: a file stream cleaned, gated and shielded against a static test set, statelessly."""
+"""Streaming curation: a file stream cleaned and gated, statelessly (the shield is in shield.py)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.operators.corpus import clean_and_gate
 from brindle.plans.corpus_queries import CLEAN, WORDS
 from brindle.sources.scratch import new_path
+from brindle.streaming.shield import file_stream, run_once
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,13 +21,8 @@ def clean_stream(stream: DataFrame, *, low: int = 24, high: int = 2048) -> DataF
 
 def run_to_table(spark: SparkSession, source: str, name: str) -> DataFrame:
     """The stream of a folder or file of Parquet, cleaned and gated once through, as a stored table."""
-    schema = spark.read.parquet(source).schema
-    out, state = new_path(spark, name), new_path(spark, f"{name}-state")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(source) if folder else reader.option("pathGlobFilter", path.getName()).parquet(str(path.getParent()))
-    clean_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    out = new_path(spark, name)
+    run_once(clean_stream(file_stream(spark, source)), out, new_path(spark, f"{name}-state"))
     return spark.read.parquet(out)
 
 
