@@ -48,7 +48,7 @@ def token_gate(df: DataFrame, path: str, low: int = 24, high: int = 2048, *, tex
 
 
 def train_pack(rows: DataFrame, path: str, max_tokens: int) -> DataFrame:
-    """QA rows(task, question, context, options, answer) with their rendered chat (text) and n_tokens; null, empty and longer ones go."""
-    text = chat_ml(task_messages("task", "question", "context", "options", "answer"))
-    rendered = rows.withColumn("text", text).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    return rendered.withColumn("n_tokens", token_count("text", path)).filter(F.col("n_tokens") <= max_tokens)
+    """QA rows(task, question, context, options, answer) with their rendered chat (text) and n_tokens; rows with a missing turn and longer ones go."""
+    turns = rows.withColumn("__turns", task_messages("task", "question", "context", "options", "answer"))
+    whole = turns.filter(F.forall("__turns", lambda m: m["content"].isNotNull()))
+    return whole.withColumn("text", chat_ml("__turns")).drop("__turns").withColumn("n_tokens", token_count("text", path)).filter(F.col("n_tokens") <= max_tokens)

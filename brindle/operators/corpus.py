@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,13 +68,17 @@ def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return counts.withColumn("removed", F.coalesce(F.lag("docs").over(Window.orderBy("ord")) - F.col("docs"), F.lit(0)))  # as many rows as stages
 
 
-def unigram_perplexity(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap: float = 20.0) -> DataFrame:
-    """id, ppl: exp of the mean negative log-likelihood under the corpus's own add-one unigrams, at most exp(cap)."""
-    words = docs.select(id_col, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).filter("w != ''")
-    counts = words.groupBy("w").agg(F.count("*").alias("c"))
+def unigram_perplexity(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", cap: float = 20.0) -> DataFrame:
+    """id, ppl: exp of the mean negative log-likelihood under the add-one unigrams of the corpus (docs themselves, if none is given), at most exp(cap).
+
+    Words are counted once and stored; a vocabulary of proven size goes to all tasks, so that a frequent word is no key.
+    """
+    split = lambda df, *own: df.select(*own, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).filter("w != ''")
+    words = split(docs, id_col)
+    counts = stored(split(docs if corpus is None else corpus).groupBy("w").agg(F.count("*").alias("c")), "word-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     nll = counts.join(F.broadcast(total)).select("w", (-F.log((F.col("c") + 1.0) / (F.col("n") + F.col("v")))).alias("nll"))  # one row of totals
-    per_doc = words.groupBy(id_col, "w").agg(F.count("*").alias("k")).join(nll, "w").groupBy(id_col).agg(F.sum(F.col("k") * F.col("nll")).alias("s"), F.sum("k").alias("k"))
+    per_doc = words.groupBy(id_col, "w").agg(F.count("*").alias("k")).join(shared_if_small(nll, 48), "w").groupBy(id_col).agg(F.sum(F.col("k") * F.col("nll")).alias("s"), F.sum("k").alias("k"))
     scored = docs.select(id_col).join(per_doc, id_col, "left")
     return scored.select(id_col, F.exp(F.least(F.lit(cap), F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), F.coalesce("k", F.lit(0))))).alias("ppl"))
 
@@ -82,9 +87,10 @@ def perplexity_filter(scored: DataFrame, low: float = 3.0, high: float = 200.0)
     return scored.filter(F.col("ppl").between(low, high))
 
 
-def score_sample_impute(docs: DataFrame, scored: DataFrame, cap: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """Only `cap` documents keep their score; the others get the median of the sample."""
-    sample = take_first(docs.select(id_col), shuffled(seed, id_col), cap).join(scored, id_col)
+def score_sample_impute(docs: DataFrame, score: Callable[[DataFrame], DataFrame], cap: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """Only a seeded sample of `cap` documents is scored, by score(documents) -> (id, ppl); the others get the median of the sample."""
+    chosen = shared_if_small(stored(take_first(docs.select(id_col), shuffled(seed, id_col), cap), "sample-ids"), 24)
+    sample = stored(score(docs.join(chosen, id_col, "left_semi")), "sample-scores")
     median = sample.agg(F.percentile("ppl", F.lit(0.5)).alias("__median"))
     return docs.select(id_col).join(sample, id_col, "left").join(F.broadcast(median)).select(id_col, F.coalesce("ppl", "__median").alias("ppl"))  # one row
 
@@ -198,6 +204,12 @@ def carve(df: DataFrame, seed: int, test_share: int = 20, val_share: int = 10, l
     return rows.withColumn("split", F.when(F.col("pos") < t, "test").when(F.col("pos") < t + v, "val").otherwise("train")).drop("pos")
 
 
+def carve_holdout(df: DataFrame, seed: int, share: int = 10, least: int = 50, *, id_col: str = "doc_id") -> DataFrame:
+    """Adds split to rows that have a training split only: max(least, n // share) test rows of a seeded shuffle, the rest train."""
+    k = max(least, df.count() // share)
+    return numbered(df, shuffled(seed, id_col)).withColumn("split", F.when(F.col("pos") < k, "test").otherwise("train")).drop("pos")
+
+
 def exemplar_pool(df: DataFrame, size: int = 200, seed: int = 42, *, id_col: str = "doc_id", by: str | None = None) -> DataFrame:
     """Adds pool: true for `size` rows drawn (of each group, if asked for)."""
     draw = shuffled(seed, id_col)
@@ -218,3 +230,9 @@ def demos_stratified(pool: DataFrame, k: int, key: str, seed: int = 42, *, id_co
 def training_steps(rows: Column | int, batch: int, accumulate: int, epochs: int) -> Column:
     n = F.lit(rows) if isinstance(rows, int) else rows
     return F.ceil(n / (batch * accumulate)) * epochs
+
+
+def step_intervals(steps: Column, *, warmup: float = 0.05, save: float = 0.25) -> Column:
+    """struct(warmup_steps, save_steps): shares of the steps, whole and at least 1."""
+    part = lambda share: F.greatest(F.lit(1), F.floor(steps * share)).cast("long")
+    return F.struct(part(warmup).alias("warmup_steps"), part(save).alias("save_steps"))

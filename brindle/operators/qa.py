@@ -121,3 +121,18 @@ def most_common(rows: DataFrame, by: list[str], value: str, k: int, first: str)
     """The k most frequent values of each group, ties by first appearance in the order of `first`."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(first).alias("__first"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "__first", value))).filter(F.col("rank") <= k).drop("__first")
+
+
+def task_summary(rows: DataFrame, by: list[str], words: Column, speciality: str, answer: str, first: str) -> DataFrame:
+    """task_stats with top5_specialties and answer_distribution_top5: arrays of (value, n), most frequent first, of the specialties that are there and of the answers' first 30 characters."""
+    key = list(by)
+
+    def top(values: DataFrame, name: str) -> DataFrame:
+        best = most_common(values, key, "__value", 5, first)
+        entries = F.array_sort(F.collect_list(F.struct("rank", F.col("__value").alias("value"), "n")))  # five at most
+        return best.groupBy(*key).agg(F.transform(entries, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias(name))
+
+    present = rows.withColumn("__value", F.col(speciality)).filter(F.coalesce(F.col("__value"), F.lit("")) != "")
+    answers = rows.withColumn("__value", F.substring(F.coalesce(F.col(answer).cast("string"), F.lit("None")), 1, 30))
+    out = task_stats(rows.withColumn(speciality, F.nullif(F.col(speciality), F.lit(""))), by, words, speciality)
+    return out.join(top(present, "top5_specialties"), key, "left").join(top(answers, "answer_distribution_top5"), key, "left")

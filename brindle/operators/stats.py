@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import dist
+from brindle.operators.order import numbered
+from brindle.operators.resampling import poisson_bootstrap, signed_ranks, with_wilcoxon
 
 # Two-sided 5 % critical values of the studentised range over sqrt(2), for 2 to 15 systems (Nemenyi).
 NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 11: 3.219, 12: 3.268, 13: 3.313, 14: 3.354, 15: 3.391}
@@ -31,8 +31,8 @@ def paired_stats(pairs: DataFrame, by: list[str], least: int = 5) -> DataFrame:
 
 
 def with_p_values(stats: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Adds p_t, p_wilcoxon and p_primary.  Wilcoxon needs a cell's differences in one place: a cell is one model on one test set."""
-    w = pairs.groupBy(*by).agg(F.collect_list("d").alias("__d")).withColumn("p_wilcoxon", dist.wilcoxon_udf("__d")).drop("__d")
+    """Adds p_t, p_wilcoxon (from rank sums made in the plan) and p_primary."""
+    w = with_wilcoxon(signed_ranks(pairs, by)).select(*by, "p_wilcoxon")
     out = stats.join(w, by).withColumn("p_t", dist.t_two_sided_udf("t", (F.col("n") - 1).cast("double")))
     return out.withColumn("p_primary", F.coalesce(F.nanvl("p_wilcoxon", F.lit(None).cast("double")), F.nanvl("p_t", F.lit(None).cast("double")), F.lit(1.0)))
 
@@ -75,24 +75,41 @@ def mcnemar_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("p_raw", dist.mcnemar_udf("b", "c")).withColumn("p", F.least(F.lit(1.0), "p_raw"))
 
 
-def bootstrap(pairs: DataFrame, by: list[str], draws: int = 2000, seed: int = 42) -> DataFrame:
-    """ci_lo, ci_hi (2.5 and 97.5 %), p_boot of the mean difference of each cell with three pairs or more."""
-
-    def resample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(pdf["d"].to_numpy())
-        if len(d) < 3:
-            return pd.DataFrame([[*key, len(d), None, None, None]])
-        rng, means = np.random.default_rng(seed), []
-        for lo in range(0, draws, max(1, 2_000_000 // len(d))):
-            k = min(max(1, 2_000_000 // len(d)), draws - lo)
-            means.append(d[rng.integers(0, len(d), (k, len(d)))].mean(axis=1))
-        m = np.concatenate(means)
-        lo, hi = np.percentile(m, [2.5, 97.5])
-        return pd.DataFrame([[*key, len(d), lo, hi, min(1.0, 2 * min((m <= 0).mean(), (m >= 0).mean()))]])
-
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", n long, ci_lo double, ci_hi double, p_boot double"
-    return pairs.select(*by, "d").groupBy(*by).applyInPandas(resample, schema)
+def bootstrap(pairs: DataFrame, by: list[str], draws: int = 2000, seed: int = 42, item: str = "item") -> DataFrame:
+    """n, ci_lo, ci_hi (2.5 and 97.5 %) and p_boot of the mean difference of each cell with three pairs or more."""
+    return poisson_bootstrap(pairs, by, [item], draws=draws, seed=seed)
+
+
+def zip_arrays(a: Column | str, b: Column | str) -> Column:
+    """Array of struct(pos, left, right) of two arrays by position, as long as the shorter; null counts as empty."""
+    a, b = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.array()) for c in (a, b))
+    n = F.least(F.size(a), F.size(b))
+    return F.transform(F.slice(a, F.lit(1), n), lambda x, i: F.struct(i.alias("pos"), x.alias("left"), F.get(b, i).alias("right")))
+
+
+def positional_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows of two tables side by side by place (pos from 0) in their own orders, within groups if asked for; as many as the shorter side has.
+
+    The columns to join are struct-valued: l and r.  Orders must be total; [] takes the order of the files and their
+    rows.  A place is a running count by range partitions, so a group of any size is numbered by many tasks.
+    """
+    by = by or []
+
+    def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+        whole = F.struct(*[F.col(c) for c in df.columns]).alias(name)
+        if order:
+            rows = df.select(*by, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], whole)
+            order = [f"__o{i}" for i in range(len(order))]
+        else:
+            rows = df.select(*by, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), whole)
+            order = ["__file", "__row"]
+        rows = numbered(rows, [*map(F.col, by), *map(F.col, order)], "__at")
+        if not by:
+            return rows.select(F.col("__at").alias("pos"), name)
+        first = rows.groupBy(*by).agg(F.min("__at").alias("__first"))
+        return rows.join(first, by).select(*by, (F.col("__at") - F.col("__first")).alias("pos"), name)
+
+    return placed(left, left_order, "l").join(placed(right, right_order, "r"), [*by, "pos"])
 
 
 def average_ranks(scores: DataFrame, item: list[str], value: str = "score", name: str = "model", ties: str = "average") -> DataFrame:

@@ -338,7 +338,7 @@ def ppl_filter(spark, sf_dir):
 def ppl_impute(spark, sf_dir):
     """A seeded sample is scored, the others get its median."""
     d = docs(spark, sf_dir)
-    return C.score_sample_impute(d, C.unigram_perplexity(d), 300).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return C.score_sample_impute(d, lambda sample: C.unigram_perplexity(sample, d), 300).select("doc_id", F.round("ppl", 4).alias("ppl"))
 
 
 _GRAMS = r"SELECT {1} AS id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS g FROM (SELECT {1}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {0})"

@@ -9,8 +9,9 @@ from brindle.functions import text as X
 from brindle.operators import evaluation as E
 from brindle.operators import judging as J
 from brindle.operators import qa as Q
+from brindle.operators import resampling as RS
 from brindle.operators import stats as S
-from brindle.plans.corpus_queries import NORM
+from brindle.plans import stats_sql as Z
 from brindle.plans.tables import CELL_SCORES_SQL, DUELS_SQL, ITEMS_SQL, SCORES_SQL, TURN_PAIRS_SQL, cell_scores, duels, items, scores, table, turn_pairs
 
 QUERIES: dict = {}
@@ -34,12 +35,21 @@ def r6(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-ANSWER = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({0}, ''))), '(^|[^\p{{L}}\p{{N}}_])(le|la|les|un|une|des|du|de|l'')\s+', '\1 ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+def _without_articles(x: str) -> str:
+    """One pass misses the second of two articles in a row, whose space the first has taken."""
+    return f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}_])(le|la|les|un|une|des|du|de|l'')\\s+', '\\1 ', 'g')"
+
+
+def _answer(x: str) -> str:
+    once = _without_articles(f"lower(trim(coalesce({x}, '')))")
+    return f"trim(regexp_replace(regexp_replace({_without_articles(once)}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
 _LET = "list_sort(list_distinct(list_filter(string_split({0}, ','), lambda x: x != '')))"
 _IT = f"SELECT *, {_LET.format('pred')} AS p, {_LET.format('gold')} AS g FROM ({ITEMS_SQL})"
 
 
-@query("exact_match", f"SELECT conv_id, turn, CAST({ANSWER.format('pred')} = {ANSWER.format('gold')} AS INT) AS em FROM ({TURN_PAIRS_SQL})")
+@query("exact_match", f"SELECT conv_id, turn, CAST({_answer('pred')} = {_answer('gold')} AS INT) AS em FROM ({TURN_PAIRS_SQL})")
 def exact_match(spark, sf_dir):
     """M4, T7."""
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", M.exact_match("pred", "gold").alias("em"))
@@ -48,32 +58,36 @@ def exact_match(spark, sf_dir):
 _TOK = "list_filter(string_split({0}, ' '), lambda w: w != '')"
 
 
-@query("token_f1", f"""
-WITH a AS (SELECT row_number() OVER () AS r, conv_id, turn, {NORM.format('pred')} AS ps, {NORM.format('gold')} AS gs FROM ({TURN_PAIRS_SQL})),
+_F1 = f"""
+WITH a AS (SELECT row_number() OVER () AS r, conv_id, turn, {_answer('pred')} AS ps, {_answer('gold')} AS gs FROM ({TURN_PAIRS_SQL})),
 p AS (SELECT r, w, count(*) AS k FROM (SELECT r, unnest({_TOK.format('ps')}) AS w FROM a) GROUP BY ALL), g AS (SELECT r, w, count(*) AS k FROM (SELECT r, unnest({_TOK.format('gs')}) AS w FROM a) GROUP BY ALL),
-m AS (SELECT r, sum(least(p.k, g.k)) AS same FROM p JOIN g USING (r, w) GROUP BY r), n AS (SELECT r, conv_id, turn, len({_TOK.format('ps')}) AS np, len({_TOK.format('gs')}) AS ng FROM a)
-SELECT conv_id, turn, round(CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 ELSE 2.0 * coalesce(same, 0) / (np + ng) END, 6) AS f1 FROM n LEFT JOIN m USING (r)
-""")
+m AS (SELECT r, sum(least(p.k, g.k)) AS same FROM p JOIN g USING (r, w) GROUP BY r), n AS (SELECT r, conv_id, turn, CAST(ps = gs AS INT) AS em, len({_TOK.format('ps')}) AS np, len({_TOK.format('gs')}) AS ng FROM a),
+f AS (SELECT conv_id, turn, em, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 OR ng = 0 THEN 0.0 ELSE 2.0 * coalesce(same, 0) / (np + ng) END AS f1 FROM n LEFT JOIN m USING (r))
+"""
+
+
+@query("token_f1", _F1 + "SELECT conv_id, turn, round(f1, 6) AS f1 FROM f")
 def token_f1(spark, sf_dir):
-    """M5 on texts normalised like T8 first, so that both engines split alike."""
-    rows = turn_pairs(spark, sf_dir).select("conv_id", "turn", X.normalize_for_hash("pred").alias("p"), X.normalize_for_hash("gold").alias("g"))
-    tokens = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    return rows.select("conv_id", "turn", F.round(M.multiset_f1(tokens("p"), tokens("g")), 6).alias("f1"))
+    """M5."""
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(M.token_f1("pred", "gold"), 6).alias("f1"))
+
+
+_METRICS = f"WITH RECURSIVE tp AS (SELECT row_number() OVER () AS r, conv_id, turn, pred, gold FROM ({TURN_PAIRS_SQL})), {Z.TEXT_METRICS}"
 
 
-@query("rouge_bleu")
+@query("rouge_bleu", _METRICS + "SELECT conv_id, turn, round(rouge_l, 6) AS rouge_l, round(bleu4, 6) AS bleu4 FROM tp JOIN rl USING (r) JOIN bl USING (r)")
 def rouge_bleu(spark, sf_dir):
     """M6, M7."""
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(M.rouge_l("pred", "gold"), 6).alias("rouge_l"), F.round(M.bleu4("pred", "gold"), 6).alias("bleu4"))
 
 
-@query("extqa_cells")
+@query("extqa_cells", _F1 + "SELECT turn, round(avg(em), 6) AS em, round(avg(f1), 6) AS token_f1, count(*) AS n FROM f GROUP BY turn")
 def extqa_cells(spark, sf_dir):
     """A6 by turn."""
     return r6(E.score_extqa(turn_pairs(spark, sf_dir), ("turn",)), "em", "token_f1")
 
 
-@query("absqa_cells")
+@query("absqa_cells", _METRICS + "SELECT turn, round(avg(rouge_l), 6) AS rouge_l, round(avg(bleu4), 6) AS bleu4, CAST(NULL AS DOUBLE) AS bertscore_f1, count(*) AS n FROM tp JOIN rl USING (r) JOIN bl USING (r) GROUP BY turn")
 def absqa_cells(spark, sf_dir):
     """A7 by turn."""
     return r6(E.score_absqa(turn_pairs(spark, sf_dir), ("turn",)), "rouge_l", "bleu4")
@@ -263,7 +277,7 @@ def duels_pooled(spark, sf_dir):
     return r6(J.pooled(_rollup(spark, sf_dir), ["challenger"]), "win_rate", "net_preference")
 
 
-@query("duel_sign_tests")
+@query("duel_sign_tests", _SETTLED + f", p AS (SELECT judge, challenger, wins, losses, least(1.0, 2 * {Z.half_tail('least(wins, losses)', '(wins + losses)')}) AS p_sign FROM r), i AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_sign, judge, challenger) AS i FROM p) SELECT judge, challenger, wins, losses, round(p_sign, 6) AS p_sign, round(least(1.0, min(p_sign * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM i")
 def duel_sign_tests(spark, sf_dir):
     """H9, H10 over duels."""
     tested = J.with_sign_test(_rollup(spark, sf_dir))
@@ -284,7 +298,40 @@ def paired_stats(spark, sf_dir):
     return r6(S.paired_stats(_pairs(spark, sf_dir), ["model", "n_shot"]), "mean_x", "mean_r", "delta", "sd", "t", "dz", "dz_se", "dz_lo", "dz_hi")
 
 
-@query("paired_tests")
+_RANKS = "WITH RECURSIVE " + Z.RANK_SUM_WAYS + ", " + _STATS.removeprefix("WITH ") + ", " + Z.signed_ranks("p", "model, n_shot")
+
+
+@query("signed_ranks", _RANKS + ", " + Z.wilcoxon("model, n_shot") + "SELECT model, n_shot, n_pairs, CAST(n AS BIGINT) AS n, CAST(w_plus AS DOUBLE) AS w_plus, CAST(ties AS BIGINT) AS ties, round(p_wilcoxon, 6) AS p_wilcoxon FROM sr JOIN pw USING (model, n_shot)")
+def signed_ranks(spark, sf_dir):
+    """H6: rank sums made in the plan, and their p."""
+    return r6(RS.with_wilcoxon(RS.signed_ranks(_pairs(spark, sf_dir), ["model", "n_shot"])), "p_wilcoxon").withColumn("w_plus", F.col("w_plus").cast("double"))
+
+
+_EXACT = "x AS (SELECT l_suppkey, l_linenumber, avg(l_quantity - 25.5 + l_extendedprice / 1e6) AS d FROM lineitem WHERE l_suppkey <= 40 GROUP BY ALL)"
+
+
+@query("signed_ranks_exact", "WITH RECURSIVE " + Z.RANK_SUM_WAYS + ", " + _EXACT + ", " + Z.signed_ranks("x", "l_suppkey") + ", " + Z.wilcoxon("l_suppkey") + "SELECT l_suppkey, n_pairs, CAST(n AS BIGINT) AS n, CAST(w_plus AS DOUBLE) AS w_plus, round(p_wilcoxon, 6) AS p_wilcoxon FROM sr JOIN pw USING (l_suppkey)")
+def signed_ranks_exact(spark, sf_dir):
+    """H6 on cells of few differences, where p is exact."""
+    x = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 40").groupBy("l_suppkey", "l_linenumber").agg(F.avg(F.expr("l_quantity - 25.5 + l_extendedprice / 1e6")).alias("d"))
+    out = r6(RS.with_wilcoxon(RS.signed_ranks(x, ["l_suppkey"])), "p_wilcoxon")
+    return out.select("l_suppkey", "n_pairs", "n", F.col("w_plus").cast("double").alias("w_plus"), "p_wilcoxon")
+
+
+_TT = Z.t_tail("t", "(n - 1)")
+_TESTS = _RANKS + ", " + Z.wilcoxon("model, n_shot") + f"""
+, v AS (SELECT model, n_shot, n, delta, sd, dz, dz_se, 2 * {_TT} AS p_t, p_wilcoxon, (dz + 0.2) / dz_se AS z1, (dz - 0.2) / dz_se AS z2, (delta + 0.2 * sd) / (sd / sqrt(n)) AS t1, (delta - 0.2 * sd) / (sd / sqrt(n)) AS t2 FROM e JOIN pw USING (model, n_shot)),
+u AS (SELECT *, coalesce(p_wilcoxon, p_t, 1.0) AS p_primary, greatest(1 - {Z.normal_cdf('z1')}, {Z.normal_cdf('z2')}) AS p_tost, dz - 1.644854 * dz_se > -0.2 AND dz + 1.644854 * dz_se < 0.2 AS equivalent,
+  greatest(1 - {Z.t_cdf('t1', '(n - 1)')}, {Z.t_cdf('t2', '(n - 1)')}) AS p_tost_t FROM v),
+i AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_primary, model, n_shot) AS i FROM u),
+q AS (SELECT *, least(1.0, min(p_primary * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM i)
+SELECT model, n_shot, n, round(p_t, 6) AS p_t, round(p_wilcoxon, 6) AS p_wilcoxon, round(p_primary, 6) AS p_primary, round(q, 6) AS q, round(least(1.0, p_primary * m), 6) AS p_bonferroni, round(p_tost, 6) AS p_tost, equivalent, round(p_tost_t, 6) AS p_tost_t, p_tost_t < 0.05 AS equivalent_t,
+  CASE WHEN q < 0.001 THEN '***' WHEN q < 0.01 THEN '**' WHEN q < 0.05 THEN '*' ELSE '' END AS stars,
+  CASE WHEN q < 0.05 AND delta > 0 THEN 'PREFERRED' WHEN q < 0.05 AND delta < 0 THEN 'WORSE' WHEN equivalent THEN 'EQUIVALENT' ELSE 'no reliable difference' END AS verdict FROM q
+"""
+
+
+@query("paired_tests", _TESTS)
 def paired_tests(spark, sf_dir):
     """P-values, corrections, equivalence and verdicts."""
     pairs, by = _pairs(spark, sf_dir), ["model", "n_shot"]
@@ -294,10 +341,10 @@ def paired_tests(spark, sf_dir):
     return r6(out, "p_t", "p_wilcoxon", "p_primary", "q", "p_bonferroni", "p_tost", "p_tost_t").select("model", "n_shot", "n", "p_t", "p_wilcoxon", "p_primary", "q", "p_bonferroni", "p_tost", "equivalent", "p_tost_t", "equivalent_t", "stars", "verdict")
 
 
-@query("bootstrap_ci")
+@query("bootstrap_ci", _PAIRS + ", " + Z.poisson_bootstrap("p", "model, n_shot", "item", 400) + "SELECT model, n_shot, n, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(p_boot, 6) AS p_boot FROM pb")
 def bootstrap_ci(spark, sf_dir):
-    """H13."""
-    return r6(S.bootstrap(_pairs(spark, sf_dir), ["model", "n_shot"]), "ci_lo", "ci_hi", "p_boot")
+    """400 Poisson replicates."""
+    return r6(S.bootstrap(_pairs(spark, sf_dir), ["model", "n_shot"], 400), "ci_lo", "ci_hi", "p_boot")
 
 
 @query("bh_fdr", "WITH p AS (SELECT p_partkey AS k, p_size AS fam, (p_partkey * 7919 % 9973 + 0.5) / 9973.0 AS p FROM part), r AS (SELECT *, count(*) OVER (PARTITION BY fam) AS m, row_number() OVER (PARTITION BY fam ORDER BY p, k) AS i FROM p) SELECT k, fam, round(least(1.0, min(p * m / i) OVER (PARTITION BY fam ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q, round(least(1.0, p * m), 9) AS p_bonferroni FROM r")
@@ -315,7 +362,7 @@ def mcnemar_counts(spark, sf_dir):
     return S.mcnemar_counts(pairs, ["model", "n_shot"]).select("model", "n_shot", "b", "c", "n")
 
 
-@query("mcnemar_tests")
+@query("mcnemar_tests", _PAIRS + f", m AS (SELECT model, n_shot, count(*) FILTER (WHERE x - 3 > 0 AND r - 3 <= 0) AS b, count(*) FILTER (WHERE x - 3 <= 0 AND r - 3 > 0) AS c, count(*) AS n FROM p GROUP BY 1, 2), w AS (SELECT *, {Z.mcnemar('b', 'c')} AS p_raw FROM m) SELECT model, n_shot, b, c, n, round(p_raw, 6) AS p_raw, round(least(1.0, p_raw), 6) AS p FROM w")
 def mcnemar_tests(spark, sf_dir):
     """H8 with raw and capped p."""
     pairs = _pairs(spark, sf_dir).withColumns({"x": F.col("x") - 3, "r": F.col("r") - 3})
@@ -387,7 +434,7 @@ def seed_summary(spark, sf_dir):
     return J.seed_summary(_seeds(spark, sf_dir), ["model"]).select("model", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "n")
 
 
-@query("seed_intervals")
+@query("seed_intervals", f"WITH q(df, t) AS (VALUES {', '.join(f'({i + 1}, {t})' for i, t in enumerate(Z.T_975))}), s AS (SELECT model, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM ({_SEEDS}) GROUP BY 1) SELECT model, round(mean, 3) AS mean, round(sd, 3) AS sd, round(t * sd / sqrt(n), 3) AS ci95, n FROM s LEFT JOIN q ON df = n - 1")
 def seed_intervals(spark, sf_dir):
     """A26 with t intervals."""
     return J.seed_summary(_seeds(spark, sf_dir), ["model"]).select("model", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "ci95")], "n")
@@ -490,10 +537,17 @@ SELECT doc_id AS id, 'DISO' AS kind, first, last, array_to_string(tokens[first +
 """)
 def entity_spans(spark, sf_dir):
     """Entities of BIO tags with character offsets."""
+    return spans_result(Q.entity_spans(tagged_sentences(spark, sf_dir)))
+
+
+def tagged_sentences(spark, sf_dir):
     tokens = F.split(F.concat_ws(" ", "lang", "source", F.lit("a bb ccc d ee f")), " ")
     tag = lambda t, i: F.when(i % 5 == 0, "B-DISO").when((i % 5).isin(1, 2) & (F.col("doc_id") % 2 == 0), "I-DISO").otherwise("O")
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), tokens.alias("tokens"), F.transform(tokens, tag).alias("tags"))
-    return Q.entity_spans(s).select("id", "kind", *[F.col(c).cast("long").alias(c) for c in ("first", "last")], "answer", F.col("start").cast("long").alias("start"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sent_id"), tokens.alias("tokens"), F.transform(tokens, tag).alias("tags"))
+
+
+def spans_result(spans):
+    return spans.select("id", "kind", *[F.col(c).cast("long").alias(c) for c in ("first", "last")], "answer", F.col("start").cast("long").alias("start"))
 
 
 @query("entity_questions")

@@ -11,6 +11,7 @@ from brindle.operators import reports as R
 from brindle.operators import stats as S
 from brindle.plans import corpus_queries as C
 from brindle.plans import eval_queries as V
+from brindle.plans import stats_sql as Z
 from brindle.plans.tables import CELL_SCORES_SQL, SCORES_SQL, cell_scores, scores, table
 
 QUERIES: dict = {}
@@ -219,9 +220,10 @@ def rubric_aliases(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("event_id", said).select("event_id", X.parse_rubric("t")["composite"].alias("composite"))
 
 
-@query("paired_table")
+@query("paired_table", V._PAIRS + ", " + Z.poisson_bootstrap("p", "model, n_shot", "item", 400) + """, i AS (SELECT model, n_shot, count(*) AS n, avg(x) AS ma, avg(r) AS mb, avg(d) AS delta, stddev_samp(d) AS sd FROM p GROUP BY 1, 2)
+SELECT model AS a_model, 'view' AS b_model, 'judge' AS axis, CAST(n_shot AS VARCHAR) AS task, 'primary' AS metric, i.n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(delta, 6) AS delta, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(p_boot, 6) AS p_boot, round(delta / (sd + 1e-12), 6) AS cohens_d FROM i JOIN pb USING (model, n_shot)""")
 def paired_table(spark, sf_dir):
     """Bootstrapped paired comparisons in the exchange schema."""
     pairs, by = V._pairs(spark, sf_dir), ["model", "n_shot"]
-    out = R.normal_interval(pairs, by).drop("ci_lo", "ci_hi").join(S.bootstrap(pairs, by).drop("n"), by)
+    out = R.normal_interval(pairs, by).drop("ci_lo", "ci_hi").join(S.bootstrap(pairs, by, 400).drop("n"), by)
     return r6(out.select(F.col("model").alias("a_model"), F.lit(V.REF).alias("b_model"), F.lit("judge").alias("axis"), F.col("n_shot").cast("string").alias("task"), F.lit("primary").alias("metric"), "n", F.col("mean_x").alias("mean_a"), F.col("mean_r").alias("mean_b"), "delta", "ci_lo", "ci_hi", "p_boot", "cohens_d"), "mean_a", "mean_b", "delta", "ci_lo", "ci_hi", "p_boot", "cohens_d")
