@@ -8,12 +8,15 @@ clusters.  The clusters choose the region: the `article` or `main` with most clu
 of it or more, else the deepest element that holds nine tenths of it.
 
 - Names outside the region, and of elements around it, decide nothing: a form around the page is no form part.
-- Parts whose name says that they are never main text (navigation, footers, asides, notices, adverts, comments,
-  forms, by element, role, class and id) are left out.
+- Parts that are never main text by element or role (navigation, footers, asides, forms, hidden ones) are left out.
+- So are parts that a class or id names so (notices, adverts, comments, sidebars and the like), but a name is weaker than
+  the clusters: a part with nine tenths of the clustered text, or with half of it and the page's `main` or only `h1`, is
+  a wrapper and stays.  Names of a state (nav-open, has-sidebar, newsletter-on) name nothing.
 - Parts with weaker names (headers, related, share, banners, widgets) stay as far as their own lines reach the
   threshold; of a header inside the article the headings stay.
 - In a region that is no `article` or `main`, lines before the first and after the last cluster go if they are
-  mostly links, or if the region is the whole page.
+  mostly links; if the region is the whole page, also if neither they stand in a text element (paragraph, heading,
+  quotation) nor any clustered line stands in such an element as theirs.
 All other lines of the region stay, short ones too.
 """
 
@@ -45,8 +48,12 @@ _UNWANTED_WORDS = re.compile(
 _WEAK_WORDS = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead|related|share|sharing|social|toolbar|widget)" + _END, re.IGNORECASE)
 _HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|masthead)" + _END, re.IGNORECASE)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What a holder's name says of its text.
-PLAIN, UNWANTED, INSIDE, WEAK, HEADER = range(5)
+#: Elements made for text.
+_TEXT = _HEADINGS | {"p", "blockquote", "pre", "figcaption"}
+#: Names of a state of a part or of what stands elsewhere.
+_STATE = re.compile(r"(?:has|no|with|without|is|show|hide)[_-].*|.*[_-](?:open|opened|closed|on|off|enabled|disabled|active|inactive|visible|hidden|collapsed|expanded|ready|loaded)", re.IGNORECASE)
+#: What a holder says of its text; NAMED: unwanted by class or id alone.
+PLAIN, UNWANTED, INSIDE, WEAK, HEADER, NAMED = range(6)
 #: Tags that close an open paragraph.
 _ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "title"}
 _SPACE = re.compile(r"\s+")
@@ -71,6 +78,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.muted = 0
+        self.around: set[int] = set()
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -88,11 +96,20 @@ class Lines(HTMLParser):
     def mutes(self, h: int) -> bool:
         """Whether the element is part of a line and its text is left out of it."""
         name, _, says = self.holders[h]
-        return says == UNWANTED and name not in BLOCKS
+        return (says == UNWANTED or says == NAMED and h not in self.around) and name not in BLOCKS
+
+    def surround(self) -> None:
+        """Inline elements with a mere name around a block are wrappers: their text is heard from here on."""
+        for _, h in self.stack:
+            if self.mutes(h) and self.holders[h][2] == NAMED:
+                self.around.add(h)
+                self.muted -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
+            if self.muted:
+                self.surround()
             if tag in _ENDS_P:
                 self.end("p", {"article", "aside", "section", "div", "td", "th", "li", "blockquote", "main", "footer", "header", "nav", "form", "figure"})
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
@@ -103,15 +120,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         values = {k: v or "" for k, v in attrs}
-        role, names, says = values.get("role", "").lower(), f"{values.get('class', '')} {values.get('id', '')}", PLAIN
+        role, words, says = values.get("role", "").lower(), f"{values.get('class', '')} {values.get('id', '')}".split(), PLAIN
         if tag in NEVER or role in _UNWANTED_ROLES or "hidden" in values or values.get("aria-hidden") == "true":
             says = UNWANTED
         elif tag in INNER or role in INNER:
             says = INSIDE
         elif tag == "header" or role == "banner":
             says = HEADER
-        elif tag not in ("html", "body", "article", "main"):
-            says = UNWANTED if _UNWANTED_WORDS.search(names) else HEADER if _HEADER_WORDS.search(names) else WEAK if _WEAK_WORDS.search(names) else PLAIN
+        elif words and tag not in ("html", "body", "article", "main"):
+            names = " ".join(w for w in words if not _STATE.fullmatch(w))
+            says = NAMED if _UNWANTED_WORDS.search(names) else HEADER if _HEADER_WORDS.search(names) else WEAK if _WEAK_WORDS.search(names) else PLAIN
         self.holders.append((tag, self.stack[-1][1] if self.stack else 0, says))
         self.stack.append((tag, len(self.holders) - 1))
         self.open[tag] += 1
@@ -184,6 +202,33 @@ def ratios_of(lines: list[Line], boost: list[float]) -> list[float]:
     return [(len(x.text) - x.linked) / max(x.tags, 1) * boost[x.holder] for x in lines]
 
 
+def clusters(own: list[float]) -> tuple[list[int], float]:
+    """The places of lines whose smoothed ratio reaches the threshold, and the threshold."""
+    ratios = smooth(own)
+    mean = sum(ratios) / len(ratios)
+    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
+    return [i for i, r in enumerate(ratios) if r >= threshold], threshold
+
+
+def weights(lines: list[Line], clustered: list[int], holders: list[tuple[str, int, int]]) -> list[float]:
+    """The clustered characters outside links in each holder."""
+    weight = [0.0] * len(holders)
+    for i in clustered:
+        weight[lines[i].holder] += len(lines[i].text) - 0.99 * lines[i].linked
+    for h in range(len(holders) - 1, 0, -1):
+        weight[holders[h][1]] += weight[h]
+    return weight
+
+
+def heads_of(holders: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether a holder has the page's `main`, or its `h1` if there is but one."""
+    counts = Counter(name for name, _, _ in holders)
+    out = [name == "main" or name == "h1" and counts["h1"] == 1 for name, _, _ in holders]
+    for h in range(len(holders) - 1, 0, -1):
+        out[holders[h][1]] = out[holders[h][1]] or out[h]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The main text: blocks in page order, one line each; empty if there is none."""
     if not html:
@@ -197,19 +242,23 @@ def main_text(html: str | None) -> str:
         name, up, says = holders[h]
         gone[h] = gone[up] or says == UNWANTED
         boost[h] = max(boost[up], 2.0) if name in ("article", "main") else boost[up] * (0.5 if says in (WEAK, HEADER) else 1.0)
+    named_parts = [h for h in range(1, len(holders)) if holders[h][2] == NAMED and not gone[h]]
+    if named_parts:
+        lines = [x for x in found if x.text and not gone[x.holder]]
+        if lines:
+            heavy = weights(lines, clusters(ratios_of(lines, boost))[0], holders)
+            marks = heads_of(holders)
+            for h in named_parts:
+                if not (heavy[h] >= 0.9 * heavy[0] > 0 or heavy[h] >= 0.5 * heavy[0] > 0 and marks[h]):
+                    gone[h] = True
+            for h in range(1, len(holders)):
+                gone[h] = gone[h] or gone[holders[h][1]]
     lines = [x for x in found if x.text and not gone[x.holder]]
     if not lines:
         return ""
     own = ratios_of(lines, boost)
-    ratios = smooth(own)
-    mean = sum(ratios) / len(ratios)
-    threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    clustered = [i for i, r in enumerate(ratios) if r >= threshold]
-    weight = [0.0] * len(holders)
-    for i in clustered:
-        weight[lines[i].holder] += len(lines[i].text) - 0.99 * lines[i].linked
-    for h in range(len(holders) - 1, 0, -1):
-        weight[holders[h][1]] += weight[h]
+    clustered, threshold = clusters(own)
+    weight = weights(lines, clustered, holders)
     named = [h for h in range(1, len(holders)) if holders[h][0] in ("article", "main") and not gone[h] and weight[h] >= max(0.5 * weight[0], 1e-9)]
     if named:
         region = max(named, key=lambda h: (weight[h], holders[h][0] == "article", -h))
@@ -222,7 +271,8 @@ def main_text(html: str | None) -> str:
             inside[h] = True
             part[h] = part[up] if part[up] in (INSIDE, HEADER) or says == PLAIN else says
     whole = holders[region][0] in ("", "html", "body")
-    edges = [i for i in clustered if inside[lines[i].holder] and 2 * lines[i].linked < len(lines[i].text)] if not named else []
+    kinds = {holders[lines[i].holder][0] for i in clustered if 2 * lines[i].linked < len(lines[i].text) and own[i] >= threshold} | _TEXT
+    edges = [i for i in clustered if inside[lines[i].holder] and 2 * lines[i].linked < len(lines[i].text) and (not whole or holders[lines[i].holder][0] in kinds)] if not named else []
     out = []
     for i, x in enumerate(lines):
         if not inside[x.holder] or part[x.holder] == INSIDE:
@@ -230,7 +280,7 @@ def main_text(html: str | None) -> str:
         linked = 2 * x.linked >= len(x.text)
         if part[x.holder] in (WEAK, HEADER) and (linked or own[i] < threshold) and not (part[x.holder] == HEADER and x.heading and not whole):
             continue
-        if edges and not edges[0] <= i <= edges[-1] and (whole or linked):
+        if edges and not edges[0] <= i <= edges[-1] and (linked or whole and holders[x.holder][0] not in kinds):
             continue
         out.append(x.text)
     return "\n".join(out)
