@@ -3,7 +3,9 @@
 Phrases are matched on words (A-Z as a-z, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+) in one pass of the
 automaton.  The expression after an identifier tag, up to the end of its line, is parsed with
 WITH above AND above OR; each licence named gives its label, and the expression is evaluated to a
-permissiveness: OR takes the better side, AND the worse, WITH that of its licence.
+permissiveness: OR takes the better side, AND the worse, WITH that of its licence.  Only identifiers of
+known families and references (LicenseRef-x) are licences, and only exceptions follow WITH: prose after a
+tag names nothing and ends the expression.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ MORE = {
     "mozilla public license": "mpl", "creative commons attribution": "cc-by", "released into the public domain": "public-domain", "all rights reserved": "reserved",
 }
 TAG = "spdx-license-identifier:"
-#: Label of an identifier by its start, longest first; other identifiers are their own label in lower case.
-FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "bsd": "bsd", "cc-by": "cc-by", "cc0": "public-domain", "isc": "isc", "mit": "mit", "mpl": "mpl"}
+#: Label of an identifier by its family; identifiers of OTHERS are their own label in lower case.
+FAMILIES = {"agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "apache": "apache", "bsd": "bsd", "0bsd": "bsd", "cc-by": "cc-by", "cc0": "public-domain", "unlicense": "public-domain", "isc": "isc", "mit": "mit", "mpl": "mpl"}
+OTHERS = "aal afl apsl artistic blueoak bsl busl cddl cecill cpl ecl efl elastic epl etalab eupl fdl ftl gfdl hpnd ijg intel ipl json lppl ms-pl ms-rl mulanpsl ncsa odbl ofl openssl osl pddl php postgresql psf python qpl ruby sil sspl unicode upl vim w3c wtfpl x11 xfree86 zend zlib zpl".split()
+#: A family alone, or with a version or variant behind it; or a reference.
+_LICENCE = re.compile(rf"(?:({'|'.join(map(re.escape, [*FAMILIES, *OTHERS]))})(?:[-.]?v?[0-9][0-9a-z.]*|(?:-[0-9a-z.]+)+)?(?:-only|-or-later)?\+?|(?:documentref-[0-9a-z.-]+:)?licenseref-[0-9a-z.-]+)")
+_EXCEPTION = re.compile(r"[0-9a-z.-]*exception[0-9a-z.-]*|(?:documentref-[0-9a-z.-]+:)?additionref-[0-9a-z.-]+")
 #: How free a user of the text is; unknown labels count as 0.5.
 PERMISSIVE = {"mit": 1.0, "bsd": 1.0, "isc": 1.0, "apache": 0.95, "public-domain": 1.0, "cc-by": 0.8, "mpl": 0.6, "lgpl": 0.5, "gpl": 0.3, "agpl": 0.2, "reserved": 0.0}
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
@@ -34,7 +40,8 @@ _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 9
 
 def label_of(identifier: str) -> str:
     low = identifier.lower()
-    return next((label for start, label in FAMILIES.items() if low.startswith(start)), low)
+    found = _LICENCE.fullmatch(low)
+    return FAMILIES.get(found[1] or "", low) if found else low
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -50,7 +57,7 @@ def to_postfix(expression: str) -> list[str]:
             stack.append(low)
             operand = False
         elif t == "(":
-            if operand:
+            if operand or stack and stack[-1] == "with":
                 break
             stack.append(t)
             depth += 1
@@ -62,7 +69,8 @@ def to_postfix(expression: str) -> list[str]:
             stack.pop()
             depth -= 1
         else:
-            if operand:
+            after_with = bool(stack) and stack[-1] == "with" and not operand
+            if operand or not (_EXCEPTION if after_with else _LICENCE).fullmatch(low):
                 break
             out.append(t)
             operand = True
