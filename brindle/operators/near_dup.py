@@ -156,32 +156,85 @@ def shingle_classes(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text
     return members, stored(sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("s").alias("n"), "s"), "class-sets")
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep; pairs: a < b, jaccard of different sets at or above the threshold, between reps).
-
-    Documents with equal sets are one class, so copies make no pairs.  Sets are compared only where their prefixes
-    share a shingle; shingles are ordered by the number of classes that have them, rarest first.
-    """
-    members, classes = shingle_classes(docs, k, id_col=id_col, text_col=text_col)
+def prefix_heads(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(sets: id, n, s; heads: id, n, g): shingles that others have, rarest class count first, and the prefixes of which two sets at the threshold share one."""
     grams = classes.select("id", "n", F.explode("s").alias("g"))
     freq = grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = grams.join(freq, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))  # of shingles that others have; its own come before these
     sets = stored(ranked.select("id", "n", F.transform("s", lambda x: x["g"]).alias("s")), "shingle-sets")
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
-    heads = sets.filter(length > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("g"))
-    other = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), "g")
-    pairs = heads.select(F.col("id").alias("a"), "n", "g").join(other, "g").filter("a < b").filter(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("a", "b").distinct()
+    return sets, sets.filter(length > 0).select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("g"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of the candidate pairs at or above the threshold."""
     left, right = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.col("na") + F.col("nb") - shared)).alias("jaccard"))
-    return members, found.filter(F.col("jaccard") >= threshold - 1e-12)
+    return found.filter(F.col("jaccard") >= threshold - 1e-12)
+
+
+def candidates(heads: DataFrame, threshold: float) -> DataFrame:
+    """a < b of all sets that share a prefix shingle and whose sizes allow the threshold."""
+    other = heads.select(F.col("id").alias("b"), F.col("n").alias("m"), "g")
+    return heads.select(F.col("id").alias("a"), "n", "g").join(other, "g").filter("a < b").filter(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("a", "b").distinct()
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep; pairs: a < b, jaccard of different sets at or above the threshold, between reps).
+
+    Documents with equal sets are one class, so copies make no pairs.  Sets are compared only where their prefixes
+    share a shingle; shingles are ordered by the number of classes that have them, rarest first.
+    """
+    members, classes = shingle_classes(docs, k, id_col=id_col, text_col=text_col)
+    sets, heads = prefix_heads(classes, threshold)
+    return members, verified(candidates(heads, threshold), sets, threshold)
+
+
+#: Rounds of leaders before what is left meets in pairs, and the share of the undecided that a round must settle to be followed by another.  Both bear on work only.
+LEADER_ROUNDS, WORTH = 12, 0.02
+
+
+def greedy_leaders(heads: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None, int]:
+    """(heads still undecided, ids dropped, pairs compared): sets that no smaller undecided one can reach stay and drop their neighbours.
+
+    A set that has the least id of all its prefix shingles has no smaller candidate left, so the sequential loop keeps
+    it; it alone is compared with the sets that share a prefix shingle with it.  A group of near-copies falls to its
+    least member in one round, with as many comparisons as it has members.
+    """
+    live, dropped, compared = stored(heads, "live-heads"), None, 0
+    left = live.select("id").distinct().count()
+    for _ in range(LEADER_ROUNDS):
+        if not left:
+            break
+        least = live.groupBy("g").agg(F.min("id").alias("least"))
+        marked = live.join(least, "g")
+        leaders = stored(marked.groupBy("id").agg(F.min((F.col("id") == F.col("least")).cast("int")).alias("all"), F.first("n").alias("m")).filter("all = 1").select(F.col("id").alias("a"), "m"), "leaders")
+        near = marked.filter("id != least").join(leaders, F.col("least") == F.col("a")).filter(F.least("n", "m") >= threshold * F.greatest("n", "m")).select("a", F.col("id").alias("b")).distinct()
+        pairs = stored(near, "leader-pairs")
+        compared += pairs.count()
+        gone = stored(verified(pairs, sets, threshold).select(F.col("b").alias("id")).distinct(), "dropped")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        live = stored(live.join(leaders.select(F.col("a").alias("id")).unionByName(gone), "id", "left_anti"), "live-heads")
+        before, left = left, live.select("id").distinct().count()
+        if before - left < WORTH * before:
+            break
+    return live, dropped, compared
 
 
 def near_dup_greedy(docs: DataFrame, threshold: float = 0.85, *, id_col: str = "doc_id") -> DataFrame:
-    """ids with `kept`, by exact Jaccard pairs in id order.  Of a class of equal sets only the least id can stay; the loop runs over these."""
-    members, pairs = jaccard_pairs(docs, threshold, id_col=id_col)
-    reps = greedy_keep(members.select(F.col("rep").alias("__rep")).distinct(), pairs, id_col="__rep")
-    gone = members.join(reps, F.col("rep") == F.col("__rep")).filter(~F.col("kept") | (F.col("id") != F.col("rep"))).select(F.col("id").alias("__gone")).distinct()
+    """ids with `kept`, by exact Jaccard pairs in id order.
+
+    Of a class of equal sets only the least id can stay; the loop runs over these.  Rounds of leaders come first, so near
+    groups make no squares of pairs; what they leave undecided meets in pairs.
+    """
+    members, classes = shingle_classes(docs, id_col=id_col)
+    sets, heads = prefix_heads(classes, threshold)
+    live, dropped, _ = greedy_leaders(heads, sets, threshold)
+    pairs = verified(candidates(live, threshold), sets, threshold)
+    rest = greedy_keep(live.select(F.col("id").alias("__rep")).distinct(), pairs, id_col="__rep").filter(~F.col("kept")).select(F.col("__rep").alias("id"))
+    off = (rest if dropped is None else rest.unionByName(dropped)).select(F.col("id").alias("__off"))
+    gone = members.join(off, F.col("rep") == F.col("__off"), "left").filter(F.col("__off").isNotNull() | (F.col("id") != F.col("rep"))).select(F.col("id").alias("__gone")).distinct()
     return docs.select(id_col).join(gone, docs[id_col] == gone["__gone"], "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
 
 
@@ -243,49 +296,3 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.85, *, id_col: str = "do
 def exact_dup_keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct normalised text: hash, keep_id, copies."""
     return docs.groupBy(F.md5(normalize_for_hash(text_col)).alias("text_hash")).agg(F.min(id_col).alias("keep_id"), F.count("*").alias("copies"))
-
-
-def cosine_neighbours(pool: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
-    """query_id, vec_id, similarity, rank: the k nearest of the pool for a stated query set, exactly.
-
-    The queries go out in blocks of bounded size; each pool partition keeps its own k best per query in
-    Arrow batches, and only those are ranked globally.
-    """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    spark = pool.sparkSession
-    out = None
-    held: list[tuple] = []
-
-    def block(rows: list[tuple]) -> DataFrame:
-        names = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((names, q, np.sqrt((q * q).sum(1))))
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, size = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.asarray(batch.column(0), np.int64)
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                sim = q @ v.T / (size[:, None] * np.sqrt((v * v).sum(1))[None] + 1e-12)
-                for i in range(len(names)):
-                    best = np.lexsort((ids, -sim[i]))[:k]
-                    yield pa.record_batch([pa.array(np.full(len(best), names[i])), pa.array(ids[best]), pa.array(sim[i][best])], names=["query_id", "vec_id", "similarity"])
-
-        return pool.select(F.col(id_col).cast("long"), vec_col).mapInArrow(nearest, "query_id long, vec_id long, similarity double")
-
-    for row in queries.select(F.col(id_col).cast("long"), vec_col).toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == block_rows:
-            out, held = (block(held) if out is None else out.unionByName(block(held))), []
-    if held or out is None:
-        part = block(held) if held else spark.createDataFrame([], "query_id long, vec_id long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    from pyspark.sql import Window
-
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).filter(F.col("rank") <= k)

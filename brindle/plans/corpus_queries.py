@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as X
 from brindle.functions.keyed import md5_32
 from brindle.operators import corpus as C
+from brindle.operators import knn as KN
 from brindle.operators import near_dup as N
 from brindle.operators import qa as Q
 from brindle.operators.order import numbered, shuffled, take_first
@@ -311,7 +312,7 @@ SELECT query_id, vec_id, round(sim, 5) AS similarity, CAST(rank AS BIGINT) AS ra
 def cosine_knn(spark, sf_dir):
     """The five nearest exemplars of a stated query set."""
     e = table(spark, sf_dir, "embeddings")
-    return N.cosine_neighbours(e, e.filter("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return KN.cosine_neighbours(e, e.filter("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 _PPL = r"""
