@@ -155,13 +155,14 @@ def find_units(docs: DataFrame, run: int, min_line: int, repeated=None) -> DataF
 
 def repeats(found: DataFrame) -> DataFrame:
     """h and the kept occurrence of the units that occur more than once."""
-    place = F.struct("doc_id", "tk", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk", "at")
     return found.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f != l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.tk").alias("f_tk"), F.col("f.at").alias("f_at"))
 
 
 def mark_copies(rows: DataFrame) -> DataFrame:
-    """Adds copy: a document of lower doc_id has the same text."""
-    kept = rows.groupBy("tk").agg(F.min(F.struct("doc_id")).alias("f"), F.max(F.struct("doc_id")).alias("l")).filter("f != l").select(F.col("tk").alias("k_tk"), F.col("f.doc_id").alias("k_doc"))
+    """Adds copy: a document of lower doc_id has the same text; a null id is above all others."""
+    id_rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
+    kept = rows.groupBy("tk").agg(F.min(id_rank).alias("f"), F.max(id_rank).alias("l")).filter("f != l").select(F.col("tk").alias("k_tk"), F.col("f.doc_id").alias("k_doc"))
     marked = rows.join(shared_if_small(stored(kept, "copied-texts"), 16), F.col("tk") == F.col("k_tk"), "left")
     return marked.withColumn("copy", F.col("k_tk").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("k_doc"))).drop("k_tk", "k_doc")
 
@@ -170,7 +171,7 @@ def dedup_substrings(docs: DataFrame, *, run: int = 25, min_line: int = 25, whol
     """doc_id, text (what stays), n_words, n_removed, removed (spans of code points of the original text), and the columns to carry.
 
     Null text stays null and has no units; texts without words stay as they are.  Rows that agree in
-    doc_id and text are one document and get the same result; a null doc_id ranks first.  Repeats inside
+    doc_id and text are one document and get the same result; a null doc_id ranks last.  Repeats inside
     one document count like repeats between documents.  An empty table gives no rows.
     """
     spark = docs.sparkSession
