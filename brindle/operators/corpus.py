@@ -16,11 +16,28 @@ from brindle.sources.scratch import shared_if_small, stored
 
 
 def harvest(docs: DataFrame, order: list[Column], *, token_budget: int | None, max_chars: int = 6000, text_col: str = "text") -> DataFrame:
-    """Rows in order while the tokens before them are below the budget (the last may overshoot); text is cut to max_chars; adds tokens."""
+    """Rows in order while the tokens before them are below the budget (the last may overshoot); text is cut to max_chars; adds tokens.
+
+    Only the order's columns and the token counts are ordered; the texts are read again up to the last row that fits, by
+    a condition on the order.  Where rows that agree in the order stand on both sides of the budget, whole rows are
+    ordered instead.
+    """
     rows = docs.filter(F.col(text_col).isNotNull()).withColumn(text_col, F.substring(text_col, 1, max_chars)).withColumn("tokens", approx_tokens(text_col))
     if token_budget is None:
         return rows
-    return running(rows, order, {"__before": F.col("tokens")}).filter(F.col("__before") < token_budget).drop("__before")
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    narrow = rows.select(key.alias("__key"), "tokens")
+    placed = running(narrow, [F.col("__key")], {"__before": F.col("tokens")}, name="harvest-tokens")
+    fits = F.col("__before") < token_budget
+    cut = placed.filter(fits).agg(F.max("__key").alias("k"))
+    ends = placed.join(F.broadcast(cut), F.col("__key") == F.col("k")).agg(F.bool_and(fits).alias("whole"), F.first("k").alias("k")).first()  # one row
+    if ends["k"] is None:
+        return rows.limit(0)
+    if not ends["whole"]:
+        return running(rows, order, {"__before": F.col("tokens")}).filter(F.col("__before") < token_budget).drop("__before")
+    kinds = narrow.schema["__key"].dataType.fields
+    last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(ends["k"], kinds)])
+    return rows.filter(key <= last)
 
 
 def training_splits(splits: list[str]) -> list[str]:

@@ -9,13 +9,13 @@ from brindle.functions.keyed import md5_32
 from brindle.sources.scratch import stored
 
 
-def running(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+def running(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None, name: str = "ranged") -> DataFrame:
     """df with, for each value, the sum over all earlier rows in the global order.
 
     The rows are range-partitioned once and stored; only one row for each partition is summed in one task.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(df.withColumns({f"__v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    ranged = stored(df.withColumns({f"__v_{k}": v for k, v in values.items()}).repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), name)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("__part").agg(*[F.sum(f"__v_{k}").alias(f"__s_{k}") for k in values])
     bases = sums.select("__part", *[F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in values])

@@ -128,3 +128,12 @@ def test_times_and_tables_round_half_even(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_harvest_with_ties_at_the_budget(spark):
+    from brindle.operators import corpus as C
+
+    rows = spark.createDataFrame([(i // 10, "x" * 400, i) for i in range(50)] + [(None, "y" * 400, 99), (1, None, 98)], "k int, text string, id int").repartition(3)
+    for budget, n in ((0, 0), (1, 1), (1000, 10), (1100, 11), (1101, 12), (1500, 15), (10**6, 51), (None, 51)):
+        got = C.harvest(rows, [F.col("k")], token_budget=budget).collect()
+        assert len(got) == n and (budget is None or n in (0, 51) or [r.k for r in sorted(got, key=lambda r: (r.k is not None, r.k or 0))] == sorted([None] + [i // 10 for i in range(n - 1)], key=lambda k: (k is not None, k or 0)))
