@@ -133,7 +133,12 @@ def route_answers(spark, sf_dir):
     return items(spark, sf_dir).select("pos", X.route("pred", "raw")["route"].alias("route"))
 
 
-@query("rescored_cells")
+_AGAIN = "array_to_string(list_sort(list_distinct(regexp_extract_all(upper(raw), '\\b[A-E]\\b'))), ',')"
+_ROUTED = f"SELECT * EXCLUDE (pred), coalesce(nullif(CASE WHEN pred = '' AND raw != '' THEN {_AGAIN} END, ''), pred) AS pred, max(CASE WHEN pred = '' AND raw != '' AND {_AGAIN} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY model, n_shot) AS touched FROM ({ITEMS_SQL})"
+_RESCORED = _MACRO.replace(_IT, f"SELECT *, {_LET.format('pred')} AS p, {_LET.format('gold')} AS g FROM ({_ROUTED}) WHERE touched = 1")
+
+
+@query("rescored_cells", _RESCORED + "SELECT model, n_shot, round(accuracy, 6) AS accuracy, round(hamming, 6) AS hamming, n, round(coalesce(macro_f1, 0), 6) AS macro_f1 FROM b LEFT JOIN f USING (model, n_shot)")
 def rescored_cells(spark, sf_dir):
     """Cells with judged rows scored again."""
     routed = items(spark, sf_dir).withColumn("__r", X.route("pred", "raw")).select("*", "__r.route", "__r.pred_judged").drop("__r")
@@ -550,7 +555,7 @@ def spans_result(spans):
     return spans.select("id", "kind", *[F.col(c).cast("long").alias(c) for c in ("first", "last")], "answer", F.col("start").cast("long").alias("start"))
 
 
-@query("entity_questions")
+@query("entity_questions", "SELECT concat('ner_', doc_id, '_', f) AS id, 'extqa' AS task, q AS question, concat(lang, ' ', source, ' x') AS context, CASE WHEN f = 0 THEN concat(lang, ' ', source) ELSE 'x' END AS answer FROM documents, (VALUES (0, 'Quelle pathologie ou trouble est mentionné ?'), (2, 'Quel composé chimique ou médicament est mentionné ?')) v(f, q)")
 def entity_questions(spark, sf_dir):
     """G4 to QA rows, whole."""
     tags = F.array(F.lit("B-DISO"), F.lit("I-DISO"), F.lit("B-CHEM"))
@@ -570,7 +575,15 @@ def chat_render(spark, sf_dir):
     return rows.select(F.col("id").cast("long").alias("p_partkey"), F.md5(chat).alias("chat_md5"))
 
 
-@query("few_shot_prompts")
+def _turn(role: str, content: str) -> str:
+    return f"'<|im_start|>{role}' || chr(10) || {content} || '<|im_end|>' || chr(10)"
+
+
+_SHOT = lambda q, a: _turn("user", f"{_sql(X.ABSQA)} || chr(10) || chr(10) || 'Question: {q}' || chr(10) || chr(10) || 'Réponse en français:'") + " || " + _turn("assistant", f"'{a}'")
+_EXT = f"{_sql(X.EXTQA)} || chr(10) || chr(10) || 'Texte:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || source || chr(10) || chr(10) || 'Réponse (passage exact, court):'"
+
+
+@query("few_shot_prompts", f"SELECT doc_id, CAST(6 AS INT) AS turns, md5({_turn('system', _sql(X.SYSTEM))} || {_SHOT('Q1', 'A1')} || {_SHOT('Q2', 'A2')} || {_turn('user', _EXT)}) AS chat_md5 FROM documents")
 def few_shot_prompts(spark, sf_dir):
     """Prompts with the same demos for every item."""
     d = table(spark, sf_dir, "documents")
