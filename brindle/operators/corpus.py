@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from brindle.functions.keyed import gumbel, md5_32
 from brindle.functions.text import approx_tokens, clean_text, word_count
 from brindle.operators.order import numbered, running, shuffled, take_first
-from brindle.sources.scratch import shared_if_small, stored
+from brindle.sources.scratch import balanced, shared_if_small, stored
 
 
 def harvest(docs: DataFrame, order: list[Column], *, token_budget: int | None, max_chars: int = 6000, text_col: str = "text") -> DataFrame:
@@ -72,7 +72,7 @@ def length_gate(df: DataFrame, tokens: Column, low: int = 24, high: int = 2048)
 
 def clean_and_gate(df: DataFrame, *, low: int = 24, high: int = 2048, text_col: str = "text") -> DataFrame:
     """Cleaned, non-empty texts within the gate, counted in white-space tokens."""
-    rows = df.withColumn(text_col, clean_text(text_col)).filter(F.col(text_col) != "")
+    rows = balanced(df).withColumn(text_col, clean_text(text_col)).filter(F.col(text_col) != "")
     return length_gate(rows.withColumn("words", word_count(text_col)), F.col("words"), low, high)
 
 
@@ -91,8 +91,9 @@ def unigram_perplexity(docs: DataFrame, corpus: DataFrame | None = None, *, id_c
     Words are counted once and stored; a vocabulary of proven size goes to all tasks, so that a frequent word is no key.
     """
     split = lambda df, *own: df.select(*own, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).filter("w != ''")
-    words = split(docs, id_col)
-    counts = stored(split(docs if corpus is None else corpus).groupBy("w").agg(F.count("*").alias("c")), "word-counts")
+    own = balanced(docs.select(id_col, text_col))
+    words = split(own, id_col)
+    counts = stored(split(own if corpus is None else balanced(corpus.select(text_col))).groupBy("w").agg(F.count("*").alias("c")), "word-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     nll = counts.join(F.broadcast(total)).select("w", (-F.log((F.col("c") + 1.0) / (F.col("n") + F.col("v")))).alias("nll"))  # one row of totals
     per_doc = words.groupBy(id_col, "w").agg(F.count("*").alias("k")).join(shared_if_small(nll, 48), "w").groupBy(id_col).agg(F.sum(F.col("k") * F.col("nll")).alias("s"), F.sum("k").alias("k"))
@@ -149,7 +150,7 @@ def hashed_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                     known.clear()
                 yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(found, np.int64)), pa.array(np.array(counts, np.int64))], names=[id_col, "feature", "c"])
 
-    return docs.select(id_col, F.lower(F.col(text_col).cast("string"))).mapInArrow(count, f"`{id_col}` {kind}, feature long, c long")
+    return balanced(docs.select(id_col, F.col(text_col).cast("string").alias(text_col))).select(id_col, F.lower(text_col)).mapInArrow(count, f"`{id_col}` {kind}, feature long, c long")
 
 
 def dsir_weights(raw: DataFrame, target: DataFrame, *, id_col: str = "doc_id", target_id: str = "item_id", features: int = 1 << 18) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import bind, clean_text, normalize_for_hash
-from brindle.sources.scratch import shared_if_small, stored
+from brindle.sources.scratch import balanced, shared_if_small, stored
 
 #: (bands, rows) that balance false positives and negatives for 128 permutations.
 BANDS = {0.80: (9, 13), 0.85: (8, 16)}
@@ -68,7 +68,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, schema: str, make, k:
                 part = batch.slice(lo, 256)
                 yield make(part.column(0), [of(t) for t in part.column(1).to_pylist()])
 
-    return docs.select(F.col(id_col), F.lower(F.col(text_col).cast("string"))).mapInArrow(run, schema)
+    return balanced(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))).select(id_col, F.lower(text_col)).mapInArrow(run, schema)
 
 
 def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text", sig_col: str = "sig") -> DataFrame:
@@ -295,4 +295,4 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.85, *, id_col: str = "do
 
 def exact_dup_keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct normalised text: hash, keep_id, copies."""
-    return docs.groupBy(F.md5(normalize_for_hash(text_col)).alias("text_hash")).agg(F.min(id_col).alias("keep_id"), F.count("*").alias("copies"))
+    return balanced(docs.select(id_col, text_col)).groupBy(F.md5(normalize_for_hash(text_col)).alias("text_hash")).agg(F.min(id_col).alias("keep_id"), F.count("*").alias("copies"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.scratch import balanced
+
 
 class Model(Protocol):
     """What a scorer loads once in a Python worker."""
@@ -59,7 +61,7 @@ def perplexities(docs: DataFrame, scorer: Scorer, *, max_len: int = 512, batch_s
                     nll[of] = model.mean_nll(ids, lengths[of])
                 yield pa.record_batch([part.column(0), pa.array(np.exp(np.minimum(nll, cap)))], names=[id_col, "ppl"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(score, f"`{id_col}` {kind}, ppl double")
+    return balanced(docs.select(id_col, F.col(text_col).cast("string").alias(text_col))).mapInArrow(score, f"`{id_col}` {kind}, ppl double")
 
 
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -130,7 +132,7 @@ def fit_bigrams(corpus: DataFrame, *, features: int = 1 << 18, weight: float = 0
                     f, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(f), kind, np.int32)), pa.array(f), pa.array(c.astype(np.int64))], names=["kind", "feature", "c"])
 
-    counts = corpus.select(F.col(text_col).cast("string")).mapInArrow(count, "kind int, feature long, c long").groupBy("kind", "feature").agg(F.sum("c").alias("c")).toArrow()
+    counts = balanced(corpus.select(F.col(text_col).cast("string"))).mapInArrow(count, "kind int, feature long, c long").groupBy("kind", "feature").agg(F.sum("c").alias("c")).toArrow()
     kind, feature, c = (counts.column(x).to_numpy() for x in ("kind", "feature", "c"))
     tables = []
     for k in (1, 2):

@@ -67,6 +67,18 @@ def shared_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> Dat
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def balanced(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """df dealt over all cores, if it is too small to fill them by itself: a small file is one row group, so one task.
+
+    A table of more than `task_bytes` for each core is left as its files lie, and so is a stream.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * task_bytes:
+        return df
+    return df.repartition(cores)
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch tables that df reads, once nothing needs them."""
     spark = df.sparkSession
