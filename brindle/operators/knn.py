@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from brindle.sources.scratch import shared_if_small, stored
 
 CELLS, BLOCK_ROWS, BLOCK_QUERIES = 64, 1024, 256
+#: So many pairs of blocks meet at once, without a first round: bounds save nothing on so little.
+FEW_PAIRS = 64
 BLOCKS = "block long, cell int, n int, radius double, ids array<long>, v array<double>"
 
 
@@ -113,7 +115,7 @@ def meet(pairs: DataFrame, queries: DataFrame, pool: DataFrame, k: int, dims: in
     return pairs.join(q, "q_block").join(r, "r_block").select("q_ids", "q_v", "r_ids", "r_v").mapInArrow(best, "query_id long, vec_id long, similarity double")
 
 
-def cosine_neighbours(pool: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def cosine_neighbours(pool: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", cells: int = CELLS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest of the pool for each query, exactly; ties go to the smaller id.
 
     similarity is the inner product over the product of the lengths (plus 1e-12).  Queries have distinct ids and stay on
@@ -121,7 +123,7 @@ def cosine_neighbours(pool: DataFrame, queries: DataFrame, k: int, *, id_col: st
     have one length.  An empty side gives no rows.
     """
     spark = pool.sparkSession
-    rows = stored(usable(pool, id_col, vec_col), "knn-rows")
+    rows = usable(pool, id_col, vec_col)
     sample = matrix_of(rows.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").toArrow())
     empty = spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
     if sample is None:
@@ -129,13 +131,16 @@ def cosine_neighbours(pool: DataFrame, queries: DataFrame, k: int, *, id_col: st
     size = np.sqrt((sample * sample).sum(axis=1))[:, None]
     centroids = np.divide(sample, size, out=np.zeros_like(sample), where=size > 0)
     table = blocks(rows, centroids, block_rows, "knn-blocks")
-    asked = blocks(stored(usable(queries, id_col, vec_col), "knn-queries"), centroids, block_queries, "knn-query-blocks")
+    asked = blocks(usable(queries, id_col, vec_col), centroids, block_queries, "knn-query-blocks")
+    dims = centroids.shape[1]
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    if table.count() * asked.count() <= few_pairs:
+        every = asked.select(F.col("block").alias("q_block")).join(F.broadcast(table.select(F.col("block").alias("r_block"))))  # at most few_pairs rows
+        return meet(every, asked, table, k, dims).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     pairs = stored(block_pairs(spark, asked, table, centroids), "knn-pairs")
     first = Window.partitionBy("q_block").orderBy(F.desc("best"), F.xxhash64("q_block", "r_block"))
     near = stored(pairs.withColumn("__i", F.row_number().over(first)).filter("__i = 1").select("q_block", "r_block"), "knn-first")
-    dims = centroids.shape[1]
     seen = stored(meet(near, asked, table, k, dims), "knn-seen")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     least = seen.withColumn("__i", F.row_number().over(ranked)).filter(F.col("__i") == k).select("query_id", F.col("similarity").alias("least"))
     need = asked.select(F.col("block").alias("q_block"), F.explode("ids").alias("query_id")).join(least, "query_id", "left").groupBy("q_block").agg(F.min(F.coalesce("least", F.lit(-2.0))).alias("need"))
     rest = stored(pairs.join(shared_if_small(need, 24), "q_block").filter("best >= need").select("q_block", "r_block").join(near, ["q_block", "r_block"], "left_anti"), "knn-rest")

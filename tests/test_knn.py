@@ -28,18 +28,18 @@ def clustered(seed, n, spread, dims=8):
     return [(i, (centres[i % 12] + spread * rng.normal(size=dims)).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("spread,k", [(0.05, 5), (1.0, 5), (0.3, 1), (0.3, 50)])
-def test_equal_to_brute_force(spark, spread, k):
+@pytest.mark.parametrize("spread,k,few", [(0.05, 5, 0), (1.0, 5, 0), (0.3, 1, 0), (0.3, 50, 0), (0.3, 5, 10**6)])
+def test_equal_to_brute_force(spark, spread, k, few):
     rows = clustered(1, 240, spread)
     queries = [*rows[::20], (-5, [1.0] * 8)]
-    assert found(spark, rows, queries, k, cells=10, block_rows=16, block_queries=8) == brute(rows, queries, k)
+    assert found(spark, rows, queries, k, cells=10, block_rows=16, block_queries=8, few_pairs=few) == brute(rows, queries, k)
 
 
 def test_copies_zeros_and_odd_rows(spark):
     rows = [*clustered(2, 60, 0.4), *[(100 + i, clustered(2, 1, 0.4)[0][1]) for i in range(50)], (200, [0.0] * 8), (201, [0.0] * 8)]
     odd = [(None, [1.0] * 8), (300, None), (301, [float("nan")] + [0.0] * 7), (302, [None] + [0.0] * 7), (303, [float("inf")] * 8)]
     queries = [rows[0], rows[7], (200, [0.0] * 8)]
-    assert found(spark, rows + odd, queries + odd[1:], 8, cells=6, block_rows=8, block_queries=2) == brute(rows, queries, 8)
+    assert found(spark, rows + odd, queries + odd[1:], 8, cells=6, block_rows=8, block_queries=2, few_pairs=0) == brute(rows, queries, 8)
     assert found(spark, [], queries, 3) == [] and found(spark, rows, [], 3) == []
 
 
