@@ -345,7 +345,7 @@ def test_queries_of_ids_and_licences(spark, docs, rows, tmp_path):
 
 
 def test_queries_are_named():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path, rows):
