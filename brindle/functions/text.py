@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values (T7, T18): the articles that answers lose, the reasoning tags (the first one's blocks go whole) and the roles beside chat control tokens.
+ARTICLES = ("le", "la", "les", "un", "une", "des", "du", "de", "l'")
+REASONING = ("think", "reasoning", "reflection", "analysis")
+CHAT_ROLES = ("assistant", "user", "system")
+
 # The system prompt and the instructions of the three tasks.
 SYSTEM = (
     "Tu es un assistant médical expert francophone. RÈGLES STRICTES:\n"
@@ -102,7 +107,7 @@ def word_count(text: Column | str) -> Column:
 def normalize_answer(s: Column | str) -> Column:
     """Lower case; French articles before white space, punctuation and repeated blanks go."""
     t = strip(F.lower(F.coalesce(col(s), F.lit(""))))
-    t = F.regexp_replace(t, r"(?U)\b(le|la|les|un|une|des|du|de|l')\s+", " ")
+    t = F.regexp_replace(t, rf"(?U)\b({'|'.join(ARTICLES)})\s+", " ")
     t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " ")
     return strip(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -166,10 +171,10 @@ def chat_ml(messages: Column | str) -> Column:
 def clean_generation(text: Column | str) -> Column:
     """Reasoning blocks (closed, then dangling), left-over reasoning tags and chat control tokens go."""
     t = F.coalesce(col(text), F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"(?is)<think>.*", "")
-    t = F.regexp_replace(t, r"(?i)</?(?:think|reasoning|reflection|analysis)\b[^>]*>", "")
-    return strip(F.regexp_replace(t, r"<\|im_(?:start|end)\|>(?:assistant|user|system)?", ""))
+    for tag in REASONING[:1]:
+        t = F.regexp_replace(F.regexp_replace(t, f"(?is)<{tag}>.*?</{tag}>", ""), f"(?is)<{tag}>.*", "")
+    t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(REASONING)})\b[^>]*>", "")
+    return strip(F.regexp_replace(t, rf"<\|im_(?:start|end)\|>(?:{'|'.join(CHAT_ROLES)})?", ""))
 
 
 def trim_to_span(text: Column | str, max_words: int = 20) -> Column:
