@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions import libm
 from brindle.functions.keyed import gumbel, md5_32
 from brindle.functions.text import approx_tokens, clean_text, word_count
 from brindle.operators.order import numbered, running, shuffled, take_first
@@ -85,20 +87,40 @@ def funnel(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return counts.withColumn("removed", F.coalesce(F.lag("docs").over(Window.orderBy("ord")) - F.col("docs"), F.lit(0)))  # as many rows as stages
 
 
+#: Bytes of a vocabulary that goes to all tasks, and of one of its words.
+VOCABULARY_BYTES, _WORD_BYTES = 32 << 20, 48
+
+
 def unigram_perplexity(docs: DataFrame, corpus: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", cap: float = 20.0) -> DataFrame:
     """id, ppl: exp of the mean negative log-likelihood under the add-one unigrams of the corpus (docs themselves, if none is given), at most exp(cap).
 
-    Words are counted once and stored; a vocabulary of proven size goes to all tasks, so that a frequent word is no key.
+    Words are counted once and stored.  The most frequent words that VOCABULARY_BYTES hold go to all tasks, and a
+    document's words are added where they lie, in their order, so equal texts have equal values.  A word of docs that
+    the counts from 2 on do not have occurs once; only if repeated words are left over are rarer words shuffled.
     """
     split = lambda df, *own: df.select(*own, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).filter("w != ''")
     own = balanced(docs.select(id_col, text_col))
-    words = split(own, id_col)
     counts = stored(split(own if corpus is None else balanced(corpus.select(text_col))).groupBy("w").agg(F.count("*").alias("c")), "word-counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    nll = counts.join(F.broadcast(total)).select("w", (-F.log((F.col("c") + 1.0) / (F.col("n") + F.col("v")))).alias("nll"))  # one row of totals
-    per_doc = words.groupBy(id_col, "w").agg(F.count("*").alias("k")).join(shared_if_small(nll, 48), "w").groupBy(id_col).agg(F.sum(F.col("k") * F.col("nll")).alias("s"), F.sum("k").alias("k"))
+    floors = [1 << i for i in range(1, 41)]
+    sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.count_if(F.col("c") >= f).alias(f"from_{f}") for f in floors]).first()  # one row
+    total = float(max(1, sizes["n"] + sizes["v"]))
+    floor = next((f for f in floors if sizes[f"from_{f}"] * _WORD_BYTES <= VOCABULARY_BYTES), floors[-1])
+    valued = counts.select("w", "c", (-libm.log((F.col("c") + 1.0) / total)).alias("nll"))
+    once = F.lit(-math.log(2.0 / total))
+    found = split(own, id_col).join(F.broadcast(valued.filter(F.col("c") >= floor).select("w", "nll")), "w", "left")  # of a counted size
+    sums = lambda df, nll: df.groupBy(id_col).agg(F.sum(nll).alias("s"), F.count("*").alias("k"))
+    if corpus is None and floor == 2:
+        per_doc = sums(found, F.coalesce("nll", once))
+    else:
+        rare = found.filter("nll IS NULL").select(id_col, "w")
+        if corpus is None:
+            rare = rare.join(valued.filter((F.col("c") > 1) & (F.col("c") < floor)), "w", "left")
+        else:  # what the corpus lacks has no value
+            rare = rare.join(valued.filter(F.col("c") < floor), "w")
+        both = sums(found.filter("nll IS NOT NULL"), F.col("nll")).unionByName(sums(rare, F.coalesce("nll", once)))
+        per_doc = both.groupBy(id_col).agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
     scored = docs.select(id_col).join(per_doc, id_col, "left")
-    return scored.select(id_col, F.exp(F.least(F.lit(cap), F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), F.coalesce("k", F.lit(0))))).alias("ppl"))
+    return scored.select(id_col, libm.exp(F.least(F.lit(cap), F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1), F.coalesce("k", F.lit(0))))).alias("ppl"))
 
 
 def perplexity_filter(scored: DataFrame, low: float = 3.0, high: float = 200.0) -> DataFrame:

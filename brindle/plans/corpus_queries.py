@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as X
 from brindle.functions.keyed import md5_32
+from brindle.functions.libm import scaled_round
 from brindle.operators import corpus as C
 from brindle.operators import knn as KN
 from brindle.operators import near_dup as N
@@ -326,20 +327,20 @@ ppl AS (SELECT d.doc_id, exp(least(20.0, coalesce(s, 0) / greatest(1, coalesce(k
 @query("unigram_ppl", _PPL + "SELECT doc_id, round(ppl, 4) AS ppl FROM ppl")
 def unigram_ppl(spark, sf_dir):
     """M9 with the corpus's own unigram scorer."""
-    return C.unigram_perplexity(docs(spark, sf_dir)).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return C.unigram_perplexity(docs(spark, sf_dir)).select("doc_id", scaled_round("ppl", 4).alias("ppl"))
 
 
 @query("ppl_filter", _PPL + "SELECT doc_id, round(ppl, 4) AS ppl FROM ppl WHERE ppl BETWEEN 300 AND 20000")
 def ppl_filter(spark, sf_dir):
     """T5 with a window for the unigram scorer."""
-    return C.perplexity_filter(C.unigram_perplexity(docs(spark, sf_dir)), 300, 20000).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return C.perplexity_filter(C.unigram_perplexity(docs(spark, sf_dir)), 300, 20000).select("doc_id", scaled_round("ppl", 4).alias("ppl"))
 
 
 @query("ppl_impute", _PPL + f", o AS (SELECT doc_id, row_number() OVER (ORDER BY {U32.format(chr(39) + '42|' + chr(39) + ' || doc_id')}, doc_id) AS r FROM documents), k AS (SELECT doc_id, ppl FROM ppl JOIN o USING (doc_id) WHERE r <= 300), m AS (SELECT quantile_cont(ppl, 0.5) AS med FROM k) SELECT d.doc_id, round(coalesce(k.ppl, med), 4) AS ppl FROM documents d LEFT JOIN k USING (doc_id), m")
 def ppl_impute(spark, sf_dir):
     """A seeded sample is scored, the others get its median."""
     d = docs(spark, sf_dir)
-    return C.score_sample_impute(d, lambda sample: C.unigram_perplexity(sample, d), 300).select("doc_id", F.round("ppl", 4).alias("ppl"))
+    return C.score_sample_impute(d, lambda sample: C.unigram_perplexity(sample, d), 300).select("doc_id", scaled_round("ppl", 4).alias("ppl"))
 
 
 _GRAMS = r"SELECT {1} AS id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS g FROM (SELECT {1}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM {0})"
@@ -368,7 +369,7 @@ def dsir_topk(spark, sf_dir):
 @query("curriculum_buckets", _PPL + f", b AS (SELECT doc_id, ntile(6) OVER (ORDER BY round(ppl, 6), doc_id) - 1 AS bucket FROM ppl) SELECT doc_id, bucket, row_number() OVER (ORDER BY bucket, {U32.format(chr(39) + '42|' + chr(39) + ' || doc_id')}, doc_id) - 1 AS pos FROM b")
 def curriculum_buckets(spark, sf_dir):
     """Six buckets of perplexity, shuffled inside."""
-    scored = C.unigram_perplexity(docs(spark, sf_dir)).select("doc_id", F.round("ppl", 6).alias("ppl"))
+    scored = C.unigram_perplexity(docs(spark, sf_dir)).select("doc_id", scaled_round("ppl", 6).alias("ppl"))
     return C.curriculum(scored, buckets=6).select("doc_id", F.col("bucket").cast("long").alias("bucket"), "pos")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from brindle.functions import generators as G
 from brindle.functions import text as X
 from brindle.functions import vocab
+from brindle.functions.libm import scaled_round
 from brindle.operators import corpus as C
 from brindle.operators import qa as Q
 from brindle.operators import scoring
@@ -177,5 +178,5 @@ def val_split_head(spark, sf_dir):
 @query("curriculum_ascending", CQ._PPL + "SELECT doc_id, row_number() OVER (ORDER BY round(ppl, 6), doc_id) - 1 AS pos FROM ppl")
 def curriculum_ascending(spark, sf_dir):
     """Ascending perplexity."""
-    scored = C.unigram_perplexity(table(spark, sf_dir, "documents")).select("doc_id", F.round("ppl", 6).alias("ppl"))
+    scored = C.unigram_perplexity(table(spark, sf_dir, "documents")).select("doc_id", scaled_round("ppl", 6).alias("ppl"))
     return C.curriculum(scored, scheme="ascending").select("doc_id", "pos")
