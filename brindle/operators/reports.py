@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import dist
+from brindle.functions import dist, libm
 from brindle.functions.text import clean_text, col, fixed
 from brindle.operators import stats as S
 from brindle.operators.near_dup import leakage_filter
@@ -121,7 +121,7 @@ def forgetting_delta(before: DataFrame, after: DataFrame, by: list[str], most: f
 
 
 def perplexity_of_loss(loss: Column | str) -> Column:
-    return F.when(col(loss) < 20, F.exp(col(loss))).otherwise(F.lit(float("inf")))
+    return F.when(col(loss) < 20, libm.exp(F.least(col(loss), F.lit(20.0)))).otherwise(F.lit(float("inf")))
 
 
 def shot_shift(task_means: DataFrame, low: int = 0, high: int = 5, value: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as X
+from brindle.functions.libm import scaled_round
 from brindle.operators import judging as J
 from brindle.operators import near_dup as N
 from brindle.operators import reports as R
@@ -171,7 +172,7 @@ def forgetting(spark, sf_dir):
 @query("loss_perplexity", "SELECT event_id, CASE WHEN value / 10 < 20 THEN round(exp(value / 10), 4) ELSE CAST('inf' AS DOUBLE) END AS ppl FROM events")
 def loss_perplexity(spark, sf_dir):
     """M12."""
-    return table(spark, sf_dir, "events").selectExpr("event_id", "value / 10 AS loss").select("event_id", F.round(R.perplexity_of_loss("loss"), 4).alias("ppl"))
+    return table(spark, sf_dir, "events").selectExpr("event_id", "value / 10 AS loss").select("event_id", scaled_round(R.perplexity_of_loss("loss"), 4).alias("ppl"))
 
 
 @query("shot_shift", f"WITH t AS (SELECT model, axis AS task, n_shot, avg(score) AS s FROM ({SCORES_SQL}) GROUP BY 1, 2, 3), d AS (SELECT a.model, a.task, a.s AS x, b.s AS y FROM t a JOIN t b ON a.model = b.model AND a.task = b.task AND a.n_shot = 0 AND b.n_shot = 5) SELECT model, count(*) AS n_tasks, round(avg(x), 6) AS mean_low, round(avg(y), 6) AS mean_high, round(avg(y) - avg(x), 6) AS delta FROM d GROUP BY 1 HAVING count(*) >= 2")
