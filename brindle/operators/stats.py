@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import dist
 from brindle.operators.order import numbered
 from brindle.operators.resampling import poisson_bootstrap, signed_ranks, with_wilcoxon
+from brindle.sources.scratch import shared_if_small, stored
 
 # Two-sided 5 % critical values of the studentised range over sqrt(2), for 2 to 15 systems (Nemenyi).
 NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164, 11: 3.219, 12: 3.268, 13: 3.313, 14: 3.354, 15: 3.391}
@@ -48,20 +49,41 @@ def equivalence(stats: DataFrame, margin: float = 0.2) -> DataFrame:
 
 
 def benjamini_hochberg(table: DataFrame, p: str, family: list[str], key: list[str], name: str = "q") -> DataFrame:
-    """Adds step-up adjusted p-values within each family; null and NaN p are left out and stay null."""
-    ok = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.col(p))
-    order = [F.col("__p").asc_nulls_last(), *map(F.col, key)]
-    part = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    rows = table.withColumn("__p", ok)
-    rows = rows.withColumns({"__m": F.count("__p").over(part), "__i": F.row_number().over(part.orderBy(*order))})
-    raw = F.col("__p") * F.col("__m") / F.col("__i")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(part.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    return rows.withColumn(name, F.when(F.col("__p").isNotNull(), adjusted)).drop("__p", "__m", "__i")
+    """Adds step-up adjusted p-values within each family; null and NaN p are left out and stay null.
+
+    Places and least values to the right go by range partitions, so a family of any size is spread over many tasks and
+    costs as its rows do; a window that ends with the family would look at all later rows for each.
+    """
+    families = [F.col(c).alias(f"__f{i}") for i, c in enumerate(family)] or [F.lit(0).alias("__f0")]
+    fam = [f"__f{i}" for i in range(len(families))]
+    rows = table.select(F.struct(*table.columns).alias("__own"), *families, F.when(F.col(p).isNotNull() & ~F.isnan(p), F.col(p)).alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    order = [*map(F.col, fam), F.col("__p").asc_nulls_last(), *[F.col(f"__k{i}") for i in range(len(key))]]
+    placed = numbered(rows, order, "__at")
+    sizes = stored(placed.groupBy(*fam).agg(F.min("__at").alias("__first"), F.count("__p").alias("__m")).select(F.struct(*fam).alias("__family"), "__first", "__m"), "families")
+    met = placed.join(shared_if_small(sizes, 64), F.struct(*fam).eqNullSafe(F.col("__family")))
+    raw = met.withColumn("__raw", F.col("__p") * F.col("__m") / (F.col("__at") - F.col("__first") + 1))
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(raw.repartitionByRange(n, "__at").withColumn("__part", F.spark_partition_id()), "adjusted")
+    later = Window.partitionBy("__family").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy("__part", "__family").agg(F.min("__raw").alias("__r"))  # one row for each partition and family in it
+    ends = ends.select(F.col("__part").alias("__q"), F.col("__family").alias("__g"), F.min("__r").over(later).alias("__later")).filter(F.col("__later").isNotNull())
+    inside = Window.partitionBy("__part", "__family").orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = ranged.withColumn("__least", F.min("__raw").over(inside))
+    # Only families that go on in a later partition are in `ends`: fewer than two for each partition.
+    out = least.join(F.broadcast(ends), (F.col("__part") == F.col("__q")) & F.col("__family").eqNullSafe(F.col("__g")), "left")
+    adjusted = F.least(F.lit(1.0), F.least("__least", "__later"))  # nulls are passed over
+    return out.select("__own.*", F.when(F.col("__p").isNotNull(), adjusted).alias(name))
 
 
 def bonferroni(table: DataFrame, p: str, family: list[str], name: str = "p_bonferroni") -> DataFrame:
-    part = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    return table.withColumn(name, F.least(F.lit(1.0), F.col(p) * F.count(p).over(part)))
+    """Adds p times the family's count of p, at most 1; families are counted, not gathered."""
+    sizes = table.groupBy(*family).agg(F.count(p).alias("__m"))
+    if not family:
+        met = table.join(F.broadcast(sizes))  # one row
+    else:
+        sizes = stored(sizes.select(F.struct(*family).alias("__family"), "__m"), "families")
+        met = table.join(shared_if_small(sizes, 64), F.struct(*family).eqNullSafe(F.col("__family")))
+    return met.select(*table.columns, F.least(F.lit(1.0), F.col(p) * F.col("__m")).alias(name))
 
 
 def stars(p: Column | str) -> Column:
