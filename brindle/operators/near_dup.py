@@ -148,12 +148,38 @@ def digest_sets(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col
     return _shingled(docs, id_col, text_col, f"id {kind}, s array<bigint>", make, k, "whole")
 
 
+def _members(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(members: id and rep; sets: id, n, s of all members), both stored.  Only ids and keys are shuffled."""
+    sets = stored(digest_sets(docs, k, id_col=id_col, text_col=text_col).filter(F.size("s") > 0).select("id", F.size("s").alias("n"), "s", F.sha2(F.array_join("s", ","), 256).alias("key")), "digest-sets")
+    reps = sets.select("id", "key").groupBy("key").agg(F.min("id").alias("rep"))
+    return stored(sets.select("id", "key").join(reps, "key").select("id", "rep"), "members"), sets.select("id", "n", "s")
+
+
 def shingle_classes(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members: id and rep, the least id with the same shingles; classes: id, n, s of each rep).  Documents without shingles are in neither."""
-    sets = stored(digest_sets(docs, k, id_col=id_col, text_col=text_col).filter(F.size("s") > 0).withColumn("key", F.sha2(F.array_join("s", ","), 256)), "digest-sets")
-    reps = stored(sets.groupBy("key").agg(F.min("id").alias("rep")), "set-classes")
-    members = stored(sets.select("id", "key").join(reps, "key").select("id", "rep"), "members")
-    return members, stored(sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", F.size("s").alias("n"), "s"), "class-sets")
+    members, sets = _members(docs, k, id_col, text_col)
+    return members, sets.join(members.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def meeting_classes(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The sets (id, n, s) of those reps that can have a partner at the threshold.
+
+    The digests of a set are sorted, so its prefix in the order of all digests is a slice.  A set of n lacks at most
+    r = n - ceil(threshold * n) in a partner, so prefixes of r + l share at least l, for the l of the smaller of the two;
+    a set of whose prefix others have fewer meets nobody.  Here l = floor(n * (1 - threshold)), 1 at least.  Only prefixes
+    are shuffled; whole sets are read again for those that may meet.
+    """
+    lacks = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
+    more = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(1 - threshold)))
+    once = members.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
+    single = (lambda df: df) if once else (lambda df: df.dropDuplicates(["id"]))
+    slim = sets.select("id", F.slice("s", F.lit(1), (lacks + more(F.col("n"))).cast("int")).alias("h"), more(F.ceil(F.col("n") * F.lit(threshold) - 1e-9)).alias("least"))
+    reps = members.filter("id = rep").select("id")
+    heads = single(slim.join(shared_if_small(reps, 16), "id", "left_semi")).select("id", "least", F.explode("h").alias("g"))
+    shared = heads.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1").select("g")
+    enough = heads.join(shared, "g", "left_semi").groupBy("id").agg(F.count("*").alias("c"), F.first("least").alias("least")).filter("c >= least")
+    meet = stored(enough.select("id"), "meeting")
+    return stored(single(sets.join(shared_if_small(meet, 16), "id", "left_semi")), "class-sets")
 
 
 def prefix_heads(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -184,10 +210,11 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, k: int = 5, *, id_co
     """(members: id, rep; pairs: a < b, jaccard of different sets at or above the threshold, between reps).
 
     Documents with equal sets are one class, so copies make no pairs.  Sets are compared only where their prefixes
-    share a shingle; shingles are ordered by the number of classes that have them, rarest first.
+    share a shingle: first in the order of the digests, which leaves out the classes that meet nobody, then in the order of
+    how many of the others have a shingle, rarest first.
     """
-    members, classes = shingle_classes(docs, k, id_col=id_col, text_col=text_col)
-    sets, heads = prefix_heads(classes, threshold)
+    members, every = _members(docs, k, id_col, text_col)
+    sets, heads = prefix_heads(meeting_classes(members, every, threshold), threshold)
     return members, verified(candidates(heads, threshold), sets, threshold)
 
 
@@ -228,8 +255,8 @@ def near_dup_greedy(docs: DataFrame, threshold: float = 0.85, *, id_col: str = "
     Of a class of equal sets only the least id can stay; the loop runs over these.  Rounds of leaders come first, so near
     groups make no squares of pairs; what they leave undecided meets in pairs.
     """
-    members, classes = shingle_classes(docs, id_col=id_col)
-    sets, heads = prefix_heads(classes, threshold)
+    members, every = _members(docs, 5, id_col, "text")
+    sets, heads = prefix_heads(meeting_classes(members, every, threshold), threshold)
     live, dropped, _ = greedy_leaders(heads, sets, threshold)
     pairs = verified(candidates(live, threshold), sets, threshold)
     rest = greedy_keep(live.select(F.col("id").alias("__rep")).distinct(), pairs, id_col="__rep").filter(~F.col("kept")).select(F.col("__rep").alias("id"))

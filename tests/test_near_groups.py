@@ -55,3 +55,13 @@ def test_near_group_makes_no_squares(spark):
         assert live.isEmpty() and dropped.distinct().count() == n - 1
         compared[n] = pairs
     assert compared == {50: 49, 100: 99, 200: 199}
+
+
+def test_only_classes_that_can_meet_go_on(spark):
+    common = " ".join(f"c{i}" for i in range(12))  # a passage that all hold makes no partners
+    texts = [" ".join([*(f"a{g}b{i}" for i in range(100)), common]) for g in range(30)]
+    texts += [t + " end" for t in texts[:4]] + texts[:2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    members, sets = N._members(df, 5, "doc_id", "text")
+    assert {r.id for r in N.meeting_classes(members, sets, 0.85).collect()} == {0, 1, 2, 3, 30, 31, 32, 33}
+    assert {(r.a, r.b) for r in N.jaccard_pairs(df)[1].collect()} == {(i, 30 + i) for i in range(4)}
