@@ -139,10 +139,21 @@ def score_sample_impute(docs: DataFrame, score: Callable[[DataFrame], DataFrame]
 _KNOWN_GRAMS = 400_000
 
 
+class _Features(dict):
+    """The feature of a word or word pair, hashed at its first use."""
+
+    def __init__(self, features: int) -> None:
+        self.features = features
+
+    def __missing__(self, gram: str) -> int:
+        import hashlib
+
+        f = self[gram] = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") % self.features
+        return f
+
+
 def hashed_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", features: int = 1 << 18) -> DataFrame:
-    """id, feature, c: counts of hashed word unigrams and bigrams (words of two letters or more, lower case), in Arrow batches."""
-    import hashlib
-    from collections import Counter
+    """id, f: the features of all hashed word unigrams and bigrams of a text (words of two letters or more, lower case), as often as they occur, in Arrow batches."""
     from collections.abc import Iterator
 
     import numpy as np
@@ -152,40 +163,69 @@ def hashed_ngrams(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     kind = dict(docs.dtypes)[id_col]
     word = regex.compile(r"[\p{L}\p{N}_]{2,}")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Features(features)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows, found, counts = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                found, ends = [], [0]
+                for text in part.column(1).to_pylist():
                     w = word.findall(text or "")
-                    own: Counter[int] = Counter()
-                    for g, c in (Counter(w) + Counter(f"{x} {y}" for x, y in zip(w, w[1:]))).items():
-                        if (f := known.get(g)) is None:
-                            f = known[g] = int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "big") % features
-                        own[f] += c
-                    rows += [i] * len(own)
-                    found += own.keys()
-                    counts += own.values()
-                if len(known) > _KNOWN_GRAMS:
-                    known.clear()
-                yield pa.record_batch([part.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(found, np.int64)), pa.array(np.array(counts, np.int64))], names=[id_col, "feature", "c"])
+                    found += map(known.__getitem__, w)
+                    found += map(known.__getitem__, map(" ".join, zip(w, w[1:])))
+                    ends.append(len(found))
+                    if len(known) > _KNOWN_GRAMS:
+                        known.clear()
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(found, np.int32)))], names=[id_col, "f"])
+
+    return balanced(docs.select(id_col, F.col(text_col).cast("string").alias(text_col))).select(id_col, F.lower(text_col)).mapInArrow(hashed, f"`{id_col}` {kind}, f array<int>")
+
+
+def feature_counts(grams: DataFrame, features: int, name: str) -> DataFrame:
+    """feature, `name`: how often each feature occurs in the lists f; a task gives at most `features` rows."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(features, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=features)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["feature", "c"])
 
-    return balanced(docs.select(id_col, F.col(text_col).cast("string").alias(text_col))).select(id_col, F.lower(text_col)).mapInArrow(count, f"`{id_col}` {kind}, feature long, c long")
+    return grams.select("f").mapInArrow(count, "feature long, c long").groupBy("feature").agg(F.sum("c").alias(name))
 
 
 def dsir_weights(raw: DataFrame, target: DataFrame, *, id_col: str = "doc_id", target_id: str = "item_id", features: int = 1 << 18) -> DataFrame:
     """id, weight: mean log ratio of the smoothed target and raw feature probabilities over a document's n-grams.
 
-    Texts are read once: their counts are stored.  The ratios are one row for each feature, at most `features`.
+    Texts are read once: their features are stored, one list for each document.  The ratios are one number for each
+    feature, at most `features`, and go to all tasks, where a document's are added in place.
     """
-    mine = stored(hashed_ngrams(raw, id_col=id_col, features=features), "ngram-counts")
-    theirs = stored(hashed_ngrams(target, id_col=target_id, features=features).groupBy("feature").agg(F.sum("c").alias("t")), "target-counts")
-    both = stored(mine.groupBy("feature").agg(F.sum("c").alias("r")).join(theirs, "feature", "left").fillna(0, ["t"]), "feature-counts")
-    totals = both.agg(F.sum("r").alias("nr")).join(theirs.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("nt")))
-    ratio = both.join(F.broadcast(totals)).select("feature", (F.log((F.col("t") + 1.0) / (F.col("nt") + features)) - F.log((F.col("r") + 1.0) / (F.col("nr") + features))).alias("lr"))  # one row
-    scored = mine.join(shared_if_small(ratio, 16), "feature").groupBy(id_col).agg(F.sum(F.col("c") * F.col("lr")).alias("s"), F.sum("c").alias("k"))
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    mine = stored(hashed_ngrams(raw, id_col=id_col, features=features), "ngram-features")
+    theirs = feature_counts(hashed_ngrams(target, id_col=target_id, features=features), features, "t")
+    both = feature_counts(mine, features, "r").join(theirs, "feature", "full").fillna(0, ["r", "t"]).toArrow()  # at most `features` rows
+    r, t = np.zeros(features), np.zeros(features)
+    at = both.column("feature").to_numpy()
+    r[at], t[at] = both.column("r").to_numpy(), both.column("t").to_numpy()
+    ratios = raw.sparkSession.sparkContext.broadcast(np.log((t + 1.0) / (t.sum() + features)) - np.log((r + 1.0) / (r.sum() + features)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values = ratios.value[lists.flatten().to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            sums = [float(values[a:b].sum()) for a, b in zip(ends, ends[1:])]
+            yield pa.record_batch([batch.column(0), pa.array(sums, pa.float64()), pa.array(np.diff(ends))], names=[id_col, "s", "k"])
+
+    scored = mine.mapInArrow(score, f"`{id_col}` {dict(raw.dtypes)[id_col]}, s double, k long").groupBy(id_col).agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
     out = raw.select(id_col).join(scored, id_col, "left").select(id_col, (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("k", F.lit(0)), F.lit(1))).alias("weight"))
     return stored(out, "dsir-weights")
 
