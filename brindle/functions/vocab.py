@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.encoder import encoder
 from brindle.functions.text import chat_ml, col, task_messages
 
 _LOADED: dict[str, Any] = {}
@@ -33,10 +34,13 @@ def token_count(text: Column | str, path: str, *, add_special_tokens: bool = Fal
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        found = tokenizer(path)
         out: list[int] = []
         for lo in range(0, len(texts), _AT_ONCE):
-            out += [len(x.ids) for x in found.encode_batch([t or "" for t in texts.slice(lo, _AT_ONCE).to_pylist()], add_special_tokens=add_special_tokens)]
+            part = [t or "" for t in texts.slice(lo, _AT_ONCE).to_pylist()]
+            if add_special_tokens:
+                out += [len(x.ids) for x in tokenizer(path).encode_batch(part, add_special_tokens=True)]
+            else:  # each distinct chunk is encoded once; an id takes four bytes
+                out += [len(ids) // 4 for ids in encoder(path).ids(part)]
         return pa.array(out, pa.int64())
 
     return count(col(text).cast("string"))

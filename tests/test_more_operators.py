@@ -265,3 +265,13 @@ def test_joint_verdicts(spark):
     rows = [(0.5, True, True, 0.7, False), (-0.5, True, True, 0.3, False), (0.5, True, True, 0.3, False), (0.1, False, None, None, True), (0.1, False, False, 0.5, False), (0.5, True, None, None, False)]
     got = [r.v for r in spark.createDataFrame(rows, "dz double, p boolean, w boolean, r double, e boolean").select(S.joint_verdict("dz", "p", "w", "r", "e").alias("v")).collect()]
     assert got == ["PREFERRED", "WORSE", "MIXED", "EQUIVALENT", "no reliable difference", "MIXED"]
+
+
+def test_repeated_chunks_are_encoded_once(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from brindle.functions import encoder as E
+
+    path = P.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, "le chat dort " * 50)], "i int, text string").repartition(1)
+
+    assert rows.select(vocab.token_count("text", path).alias("n")).first().n == len(E.encoder(path).ids(["le chat dort " * 50])[0]) // 4
