@@ -115,7 +115,10 @@ def train(sample: list[tuple[np.ndarray, np.ndarray]], langs: list[str], max_n:
     for i, (at, share) in enumerate(sample):
         x[i, at] = share
     y = code[[languages.index(v) for v in langs]]
-    scale = np.sqrt((x**2).mean(axis=0)) + 1e-4
+    squares = np.zeros(x.shape[1], np.float32)
+    for row in x:  # not the squares of all at once: the driver holds one such matrix only
+        squares += row * row
+    scale = np.sqrt(squares / len(x)) + 1e-4
     x /= scale
     x /= np.sqrt(x.shape[1])
     w, bias, push, push_b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1]), 0.0, 0.0
@@ -158,8 +161,14 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     counted = drawn.select("__lang", "__text", F.xxhash64("__text")).mapInArrow(count, "lang string, key long, at array<int>, share array<float>")
     sample = counted.orderBy("key", "lang").toArrow()
-    rows = list(zip(sample.column("at").to_pylist(), sample.column("share").to_pylist()))
-    return train([(np.array(at, np.int64), np.array(share, np.float32)) for at, share in rows], sample.column("lang").to_pylist(), max_n)
+    return train(_views(sample), sample.column("lang").to_pylist(), max_n)
+
+
+def _views(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(at, share) of each row as slices of the table's own memory."""
+    at, share = (sample.column(c).combine_chunks() for c in ("at", "share"))
+    places, shares = (x.values.to_numpy() for x in (at, share))
+    return [(places[a:b], shares[c:d]) for a, b, c, d in zip(at.offsets[:-1].to_pylist(), at.offsets[1:].to_pylist(), share.offsets[:-1].to_pylist(), share.offsets[1:].to_pylist())]
 
 
 def held_out(id_string: str):
