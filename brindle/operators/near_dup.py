@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.text import bind, clean_text, normalize_for_hash
 from brindle.sources.scratch import balanced, shared_if_small, stored
 
+try:  # the same digests, with less work for each short string
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 #: (bands, rows) that balance false positives and negatives for 128 permutations.
 BANDS = {0.80: (9, 13), 0.85: (8, 16)}
 PRIME = 4294967311
@@ -54,13 +58,11 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, schema: str, make, k:
 
     import pyarrow as pa
 
-    space = re.compile(r"[ \t\n\x0b\f\r]+")
-
     def of(text: str | None) -> list[bytes]:
-        w = [x for x in space.split(text or "") if x]
+        w = (text or "").encode().split()  # bytes split at the six ASCII white-space characters only
         if short == "unigrams" and len(w) < k:
-            return [x.encode() for x in w]
-        return [" ".join(w[i : i + k]).encode() for i in range(max(1, len(w) - k + 1))] if w else []
+            return w
+        return list(map(b" ".join, zip(*[w[i:] for i in range(k)]))) if len(w) >= k else [b" ".join(w)] if w else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,20 +73,45 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, schema: str, make, k:
     return balanced(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))).select(id_col, F.lower(text_col)).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text", sig_col: str = "sig") -> DataFrame:
-    """id, sig: MinHash of each document's shingles; an empty set gives PRIME everywhere.  Each shingle is hashed once, each permutation is one vector operation."""
-    import hashlib
+def band_heads(index: DataFrame, threshold: float, limit: int = 32 << 20) -> tuple[int, Broadcast] | None:
+    """(rows of a band, the distinct first values of each band of an index, sorted, in a broadcast), for signatures(near=); None for an index of more than `limit` bytes or without `head`."""
+    import numpy as np
+
+    if "head" not in index.columns:
+        return None
+    b, r = BANDS[threshold]
+    heads = index.select("band", "head").distinct()
+    if heads.count() * 16 > limit:
+        return None
+    band, head = (heads.toArrow().column(c).to_numpy() for c in ("band", "head"))
+    return r, index.sparkSession.sparkContext.broadcast([np.sort(head[band == i]) for i in range(b)])
 
+
+def signatures(docs: DataFrame, permutations: int = 128, *, k: int = 5, short: str = "whole", id_col: str = "doc_id", text_col: str = "text", sig_col: str = "sig", near: tuple[int, Broadcast] | None = None) -> DataFrame:
+    """id, sig: MinHash of each document's shingles; an empty set gives PRIME everywhere.  Each shingle is hashed once, each permutation is one vector operation.
+
+    With `near`, a document whose bands begin with none of these values counts as one without shingles: two equal bands begin
+    with the same value, so it shares none, and only the permutations that bands begin with are made for it.
+    """
     import numpy as np
     import pyarrow as pa
 
     a, b = (np.array(x, np.int64) for x in zip(*multipliers(permutations)))
     kind = dict(docs.dtypes)[id_col]
 
+    def meets(h) -> bool:
+        step, heads = near[0], near[1].value
+        first = np.full(len(heads), PRIME, np.int64)
+        for lo in range(0, len(h), 4096):
+            np.minimum(first, ((h[None, lo : lo + 4096] * a[::step][: len(heads), None] + b[::step][: len(heads), None]) % PRIME).min(axis=1), out=first)
+        return any(at < len(s) and s[at] == v for s, v in zip(heads, first) for at in [np.searchsorted(s, v)])
+
     def make(ids, lists):
         out = np.full((len(lists), permutations), PRIME, np.int64)
         for i, grams in enumerate(lists):
-            h = np.frombuffer(b"".join(hashlib.md5(g).digest()[:4] for g in grams), ">u4").astype(np.int64) % 2147483647
+            h = np.frombuffer(b"".join([md5(g).digest()[:4] for g in grams]), ">u4").astype(np.int64) % 2147483647
+            if near is not None and len(h) and not meets(h):
+                continue
             for lo in range(0, len(h), 2048):
                 np.minimum(out[i], ((h[lo : lo + 2048, None] * a + b) % PRIME).min(axis=0), out=out[i])
         return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, dtype=np.int32)), pa.array(out.ravel()))], names=["id", "sig"])
@@ -98,21 +125,23 @@ def core_signatures(docs: DataFrame, permutations: int = 128, *, id_col: str = "
 
 
 def bands(signatures: DataFrame, threshold: float, *, id_col: str = "doc_id", sig_col: str = "sig") -> DataFrame:
-    """id, band, band_hash rows of the LSH index."""
+    """id, band, band_hash, head (the band's first value) rows of the LSH index."""
     b, r = BANDS[threshold]
-    hashes = F.array(*[F.md5(F.array_join(F.slice(sig_col, 1 + i * r, r), ",")) for i in range(b)])
-    return signatures.select(id_col, F.posexplode(hashes).alias("band", "band_hash"))
+    each = F.array(*[F.struct(F.md5(F.array_join(F.slice(sig_col, 1 + i * r, r), ",")).alias("hash"), F.col(sig_col)[i * r].alias("head")) for i in range(b)])
+    return signatures.select(id_col, F.posexplode(each).alias("band", "__b")).select(id_col, "band", F.col("__b.hash").alias("band_hash"), F.col("__b.head").alias("head"))
 
 
-def lsh_index(docs: DataFrame, threshold: float, *, id_col: str = "doc_id", text_col: str = "text", permutations: int = 128) -> DataFrame:
-    signed = signatures(docs, permutations, id_col=id_col, text_col=text_col)
+def lsh_index(docs: DataFrame, threshold: float, *, id_col: str = "doc_id", text_col: str = "text", permutations: int = 128, near: tuple[int, Broadcast] | None = None) -> DataFrame:
+    signed = signatures(docs, permutations, id_col=id_col, text_col=text_col, near=near)
     return bands(signed.filter(F.col("sig")[0] < PRIME), threshold, id_col=id_col)  # PRIME: no shingles
 
 
 def leakage_filter(docs: DataFrame, test_index: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id") -> DataFrame:
     """Documents that share no band with the test index (candidates are not verified)."""
-    hit = lsh_index(docs, threshold, id_col=id_col).join(test_index.select("band", "band_hash").distinct(), ["band", "band_hash"], "left_semi").select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti")
+    index = stored(test_index.select("band", "band_hash", *[c for c in test_index.columns if c == "head"]).distinct(), "test-index")
+    mine = lsh_index(docs, threshold, id_col=id_col, near=band_heads(index, threshold))
+    hit = stored(mine.join(shared_if_small(index, 64), ["band", "band_hash"], "left_semi").select(id_col).distinct(), "shield-hits")
+    return docs.join(shared_if_small(hit, 24), id_col, "left_anti")
 
 
 def shield_flags(rows: DataFrame, tests: DataFrame, fingerprint: Column, test_fingerprint: Column, *, id_col: str, by: str | None = None, threshold: float = 0.8) -> DataFrame:
@@ -133,15 +162,13 @@ def leakage_report(flagged: DataFrame, *by: str) -> DataFrame:
 
 def digest_sets(docs: DataFrame, k: int = 5, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, s: each document's distinct shingles as sorted 64-bit digests."""
-    import hashlib
-
     import numpy as np
     import pyarrow as pa
 
     kind = dict(docs.dtypes)[id_col]
 
     def make(ids, lists):
-        sets = [np.unique(np.frombuffer(b"".join(hashlib.md5(g).digest()[:8] for g in grams), "<i8")) for grams in lists]
+        sets = [np.unique(np.frombuffer(b"".join(md5(g).digest()[:8] for g in grams), "<i8")) for grams in lists]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
         return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).astype(np.int64)))], names=["id", "s"])
 

@@ -10,6 +10,7 @@ from brindle.functions.text import clean_text, col, fixed
 from brindle.operators import stats as S
 from brindle.operators.near_dup import leakage_filter
 from brindle.operators.order import numbered, shuffled, take_first
+from brindle.sources.scratch import stored
 
 # The task suffixes of model names, and the assumed item standard deviations of cells without items.
 SUFFIXES = ("DAPT", "MCQA", "ExtQA", "AbsQA", "Unified")
@@ -88,7 +89,7 @@ def merge_judge_scores(metrics: DataFrame, judged: DataFrame, keys: tuple[str, .
 
 def recheck_shield(train: DataFrame, test_index: DataFrame, *, sample: int = 500, seed: int = 42, id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """sampled, leaks of a seeded sample of rows that passed the shield: leaks must be 0."""
-    some = take_first(train, shuffled(seed, id_col), sample)
+    some = stored(take_first(train, shuffled(seed, id_col), sample), "shield-sample")  # read twice below: without this the whole shield would run again
     return some.agg(F.count("*").alias("sampled")).join(F.broadcast(leakage_filter(some, test_index, threshold, id_col=id_col).agg(F.count("*").alias("clean")))).select("sampled", (F.col("sampled") - F.col("clean")).alias("leaks"))  # one row each
 
 
