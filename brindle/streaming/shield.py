@@ -32,8 +32,8 @@ def shield_stream(stream: DataFrame, test_index: DataFrame, threshold: float = 0
     defined.  id_col must be a column of the stream; other columns pass through.
     """
     b, r = N.BANDS[threshold]
-    index = stored(test_index.select("band", "band_hash").distinct(), "test-index")
-    signed = _signed(stream, text_col)
+    index = stored(test_index.select("band", "band_hash", *[c for c in test_index.columns if c == "head"]).distinct(), "test-index")
+    signed = _signed(stream, text_col, N.band_heads(index, threshold))
     banded = signed.withColumn("__bands", F.when(F.col("__sig")[0] < N.PRIME, F.array(*[F.md5(F.array_join(F.slice("__sig", 1 + i * r, r), ",")) for i in range(b)])))
     for i in range(b):
         own = shared_if_small(index.filter(F.col("band") == i).select(F.col("band_hash").alias("__hit")), 48)
@@ -41,10 +41,10 @@ def shield_stream(stream: DataFrame, test_index: DataFrame, threshold: float = 0
     return banded.select(*stream.columns)
 
 
-def _signed(df: DataFrame, text_col: str) -> DataFrame:
-    """df with __sig; its own columns travel in one struct beside the text."""
+def _signed(df: DataFrame, text_col: str, near: tuple | None) -> DataFrame:
+    """df with __sig; its own columns travel in one struct beside the text.  A row that cannot meet the heads `near` counts as one without shingles."""
     whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__own"), F.col(text_col).alias("__text"))
-    return N.signatures(whole, id_col="__own", text_col="__text", sig_col="__sig").select("__own.*", "__sig")
+    return N.signatures(whole, id_col="__own", text_col="__text", sig_col="__sig", near=near).select("__own.*", "__sig")
 
 
 def file_stream(spark: SparkSession, source: str, files_at_once: int | None = None) -> DataFrame:
