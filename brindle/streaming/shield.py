@@ -12,7 +12,7 @@ if the micro-batch runs again, so a restart from the checkpoint neither loses no
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +72,13 @@ def settle_batch(state: str, out: str, threshold: float = 0.85, *, id_col: str =
     """A foreachBatch function: rows with `kept` go to out/batch=n, the bands of the kept ones to state/batch=n.
 
     The ids of one stream are distinct and comparable; within a micro-batch the smaller id comes first.
+    Rows without an id are kept.
     """
 
     def settle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = stored(batch, "micro-batch")
-        index = stored(N.lsh_index(rows, threshold, id_col=id_col).select(F.col(id_col).alias("id"), F.concat_ws("-", "band", "band_hash").alias("bucket")), "micro-batch-bands")
+        index = stored(N.lsh_index(rows.filter(F.col(id_col).isNotNull()), threshold, id_col=id_col).select(F.col(id_col).alias("id"), F.concat_ws("-", "band", "band_hash").alias("bucket")), "micro-batch-bands")
         live = index
         if _exists(spark, state):
             before = spark.read.schema(f"{index.schema.fields[0].simpleString().replace(':', ' ')}, bucket string, batch long").parquet(state).filter(F.col("batch") < number)
@@ -85,7 +86,7 @@ def settle_batch(state: str, out: str, threshold: float = 0.85, *, id_col: str =
             live = stored(index.join(shared_if_small(stored(hit, "met-before"), 16), "id", "left_anti"), "micro-batch-live")
         kept = stored(N.greedy_buckets(live), "micro-batch-kept")
         live.join(kept, "id", "left_semi").select("id", "bucket").write.mode("overwrite").parquet(f"{state}/batch={number}")
-        gone = index.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias("__gone"))
+        gone = shared_if_small(stored(index.select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias("__gone")), "micro-batch-gone"), 16)
         flagged = rows.join(gone, rows[id_col] == gone["__gone"], "left").withColumn("kept", F.col("__gone").isNull()).drop("__gone")
         flagged.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
@@ -105,21 +106,25 @@ def stream_shield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("doc_id")
 
 
-def arrivals(spark: SparkSession, df: DataFrame, order: str, parts: int) -> str:
-    """A folder with the rows of df in files that arrive in the order of a column, for streams that are to see them so."""
-    path = new_path(spark, "arrivals")
+def arrivals(df: DataFrame, path: str, order: str, parts: int) -> Iterator[None]:
+    """Append the rows of df to a folder in parts that follow each other in the order of a column; a stream reads between two of them.
+
+    All cores write each part, so it may be many files.  Rows without a value are in the first part.
+    """
     bounds = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = df if low is None else df.filter(F.col(order) > low)
-        (part if high is None else part.filter(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return path
+        if high is not None:
+            part = part.filter((F.col(order) <= high) | F.col(order).isNull() if low is None else F.col(order) <= high)
+        part.write.mode("append").parquet(path)
+        yield
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8 on a stream: documents arrive in four files in the order of their ids, one micro-batch each."""
-    source = arrivals(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", 4)
-    out = new_path(spark, "stream-dedup")
-    dedup_stream(file_stream(spark, source, 1), out, new_path(spark, "stream-dedup-bands"), new_path(spark, "stream-dedup-state"))
+    """J8 on a stream: documents arrive four times in the order of their ids, one micro-batch each."""
+    source, out, state, checkpoint = (new_path(spark, x) for x in ("arrivals", "stream-dedup", "stream-dedup-bands", "stream-dedup-state"))
+    for _ in arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet"), source, "doc_id", 4):
+        dedup_stream(file_stream(spark, source), out, state, checkpoint)
     return spark.read.parquet(out).select("doc_id", "kept")
 
 
