@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.sources.scratch import balanced
+from brindle.sources.scratch import balanced, small_batches
 
 
 class Model(Protocol):
@@ -132,7 +132,9 @@ def fit_bigrams(corpus: DataFrame, *, features: int = 1 << 18, weight: float = 0
                     f, c = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.record_batch([pa.array(np.full(len(f), kind, np.int32)), pa.array(f), pa.array(c.astype(np.int64))], names=["kind", "feature", "c"])
 
-    counts = balanced(corpus.select(F.col(text_col).cast("string"))).mapInArrow(count, "kind int, feature long, c long").groupBy("kind", "feature").agg(F.sum("c").alias("c")).toArrow()
+    counts = balanced(corpus.select(F.col(text_col).cast("string"))).mapInArrow(count, "kind int, feature long, c long").groupBy("kind", "feature").agg(F.sum("c").alias("c"))
+    with small_batches(spark):  # else a worker holds 10,000 whole texts at once
+        counts = counts.toArrow()
     kind, feature, c = (counts.column(x).to_numpy() for x in ("kind", "feature", "c"))
     tables = []
     for k in (1, 2):
