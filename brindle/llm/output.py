@@ -26,18 +26,24 @@ FILE_SCHEMA = "part int, doc_id long, at long, n_tokens long, ids array<int>"
 #: Bytes of chunks that a worker remembers (speed only).
 CACHE_BYTES = 240 << 20
 #: Texts tokenized at once, in bytes.
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 22
 
 
-def text_blocks(column: pa.Array, limit: int = TEXT_BLOCK) -> Iterator[tuple[int, int, list[str]]]:
+def text_blocks(column: pa.Array, limit: int = TEXT_BLOCK) -> Iterator[tuple[int, int, pa.Array]]:
+    """Row ranges of about `limit` bytes and their texts."""
     _, offs = utf8(column)
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
-        yield lo, hi, ["" if t is None else t for t in column[lo:hi].to_pylist()]
+        yield lo, hi, column[lo:hi]
         lo = hi
 
 
+def with_end(values: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of texts as Encoder.encode gives them, with end_id after each text."""
+    return np.insert(values, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
+
+
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, *, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_mb: int = 32, page_kb: int = 256, partitions: int | None = None) -> None:
     """Encode every whole text, append end_id, and write ids in ascending doc_id order.
 
@@ -51,16 +57,13 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at, end = encoder(tokenizer, CACHE_BYTES), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        enc, part, at = encoder(tokenizer, CACHE_BYTES), TaskContext.get().partitionId(), 0
         with without_gc():
             for batch in batches:
                 for lo, hi, texts in text_blocks(batch.column(1)):
-                    ids = [x + end for x in enc.ids(texts)]
-                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)])
-                    values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    values, offsets = with_end(*enc.encode(texts), end_id)
                     yield pa.record_batch(
-                        [pa.array(np.full(hi - lo, part, np.int32)), batch.column(0)[lo:hi], pa.array(at + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                        [pa.array(np.full(hi - lo, part, np.int32)), batch.column(0)[lo:hi], pa.array(at + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int32)))],
                         names=["part", "doc_id", "at", "n_tokens", "ids"],
                     )
                     at += int(offsets[-1])

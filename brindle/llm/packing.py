@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.output import text_blocks
-from brindle.llm.tokens import encoder, without_gc
+from brindle.llm import output
+from brindle.llm.tokens import CACHE_BYTES, encoder, without_gc
 from brindle.sources.scratch import stored
 
+#: Bytes of text that are tokenized at once (memory and speed only).
+TEXT_BLOCK = 1 << 19
 PIECE_SCHEMA = "part int, doc_id long, doc_tokens long, start long, length long, kind int, in_part long, ids_crc32 long, ids binary"
 
 
@@ -123,28 +125,29 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, grain: int, end_id: int, id_col: str, text_col: str, with_ids: bool, cache_bytes: int = CACHE_BYTES, text_block: int = TEXT_BLOCK) -> DataFrame:
     """The pieces, stored: full sequences (kind -1) and at most one remainder for each document (kind: its length class).
 
     `in_part` counts the pieces of a kind within a partition, so that ranks need no sort of a whole class.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, end = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        enc, part = encoder(tokenizer, cache_bytes), TaskContext.get().partitionId()
         seen = [0] * (-(-capacity // grain) + 1)
         with without_gc():
             for batch in batches:
-                for lo, _, texts in text_blocks(batch.column(1), 1 << 19):
+                for lo, _, texts in output.text_blocks(batch.column(1), text_block):
                     names = batch.column(0)
                     cols: list[list] = [[] for _ in range(8)]
-                    for i, ids in enumerate(enc.ids(texts)):
-                        ids += end
-                        n = len(ids) // 4
+                    ids, offsets = output.with_end(*enc.encode(texts), end_id)
+                    ends = offsets.tolist()
+                    for i, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
+                        n = last - first
                         for start in range(0, n, capacity):
-                            piece = ids[4 * start : 4 * (start + capacity)]
-                            size = len(piece) // 4
+                            piece = ids[first + start : min(first + start + capacity, last)]
+                            size = len(piece)
                             kind = -1 if size == capacity else (size - 1) // grain
-                            for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece if with_ids else None)):
+                            for col, v in zip(cols, (lo + i, n, start, size, kind, seen[kind], zlib.crc32(piece), piece.tobytes() if with_ids else None)):
                                 col.append(v)
                             seen[kind] += 1
                     yield pa.record_batch(
@@ -164,16 +167,17 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names), schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int = 8, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grain: int = 8, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_bytes: int = CACHE_BYTES, text_block: int = TEXT_BLOCK) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     Every id (the end id too) lies in exactly one piece; the pieces of a sequence are gapless from 0.
     Null text counts as empty (a document of the end id alone); a null doc_id is kept; rows with equal
     doc_id are separate documents; an empty table gives no rows.  A class's documents are ranked by the
     partition that stored them and their order in it.  ids: little-endian unsigned 32-bit, as binary.
+    cache_bytes, text_block: what a worker remembers and tokenizes at once; both bear on memory and speed only.
     """
     spark = docs.sparkSession
-    pieces = cut_documents(docs, tokenizer, capacity, grain, end_id, id_col, text_col, with_ids)
+    pieces = cut_documents(docs, tokenizer, capacity, grain, end_id, id_col, text_col, with_ids, cache_bytes, text_block)
     classes = -(-capacity // grain)
     # partitions x classes rows: where the ranks of each partition begin in each class
     counts = stored(pieces.groupBy("kind", "part").agg(F.count("*").alias("n")), "packing-counts")
