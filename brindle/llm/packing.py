@@ -221,4 +221,4 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: all documents packed into sequences of at most 4096 tokens; one row for each piece."""
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), cache_bytes=output.CACHE_BYTES, text_block=output.TEXT_BLOCK)
