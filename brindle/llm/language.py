@@ -161,7 +161,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     counted = drawn.select("__lang", "__text", F.xxhash64("__text")).mapInArrow(count, "lang string, key long, at array<int>, share array<float>")
     sample = counted.orderBy("key", "lang").toArrow()
-    return train(_views(sample), sample.column("lang").to_pylist(), max_n)
+    model = train(_views(sample), sample.column("lang").to_pylist(), max_n)
+    del sample
+    forget()  # the driver goes on with other stages
+    return model
 
 
 def _views(sample: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
