@@ -14,19 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.tokens import encoder, without_gc
+from brindle.llm.tokens import encoder, give_back, without_gc
 from brindle.llm.words import utf8
 from brindle.sources.scratch import new_path
 
 FILE_SCHEMA = "part int, doc_id long, at long, n_tokens long, ids array<int>"
-#: Bytes of chunks that a worker remembers (speed only).
+#: op2_packing: bytes of chunks that a worker remembers (speed only), and of texts tokenized at once.
 CACHE_BYTES = 240 << 20
-#: Texts tokenized at once, in bytes.
 TEXT_BLOCK = 1 << 22
+#: write_token_ids: the same.  Each block hashes the table again, so a larger table costs more than it saves.
+TABLE_BYTES = 16 << 20
+LARGE_BLOCK = 1 << 23
+#: Rows and ids of an Arrow batch that goes back to Spark.
+OUT_ROWS, OUT_IDS = 1000, 1 << 20
 
 
 def text_blocks(column: pa.Array, limit: int = TEXT_BLOCK) -> Iterator[tuple[int, int, pa.Array]]:
@@ -39,6 +44,28 @@ def text_blocks(column: pa.Array, limit: int = TEXT_BLOCK) -> Iterator[tuple[int
         lo = hi
 
 
+def large_blocks(batches: Iterator[pa.RecordBatch], limit: int = LARGE_BLOCK) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of the same rows in their order, in blocks of up to `limit` bytes or one text, whatever the batches hold."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def block() -> tuple[pa.Array, pa.Array]:
+        table = pa.Table.from_batches(held)
+        return pa.concat_arrays(table.column(0).chunks), pa.concat_arrays(table.column(1).chunks)
+
+    for batch in batches:
+        for lo, hi, _ in text_blocks(batch.column(1), limit):
+            rows = batch.slice(lo, hi - lo)
+            more = int(pc.sum(pc.binary_length(rows.column(1))).as_py() or 0)
+            if held and size + more > limit:
+                yield block()
+                held, size = [], 0
+            held.append(rows)
+            size += more
+    if held:
+        yield block()
+
+
 def with_end(values: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and offsets of texts as Encoder.encode gives them, with end_id after each text."""
     return np.insert(values, offsets[1:], np.uint32(end_id)), offsets + np.arange(len(offsets))
@@ -57,16 +84,22 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoder(tokenizer, CACHE_BYTES), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(tokenizer, TABLE_BYTES), TaskContext.get().partitionId(), 0
         with without_gc():
-            for batch in batches:
-                for lo, hi, texts in text_blocks(batch.column(1)):
-                    values, offsets = with_end(*enc.encode(texts), end_id)
+            for names, texts in large_blocks(batches):
+                values, offsets = with_end(*enc.encode(texts, large=True), end_id)
+                lo, n = 0, len(names)
+                while lo < n:
+                    hi = min(n, lo + OUT_ROWS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + OUT_IDS, "right")) - 1))
+                    own = offsets[lo : hi + 1]
+                    ids = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(values[own[0] : own[-1]].view(np.int32)))
                     yield pa.record_batch(
-                        [pa.array(np.full(hi - lo, part, np.int32)), batch.column(0)[lo:hi], pa.array(at + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int32)))],
+                        [pa.array(np.full(hi - lo, part, np.int32)), names[lo:hi], pa.array(at + own[:-1]), pa.array(np.diff(own)), ids],
                         names=["part", "doc_id", "at", "n_tokens", "ids"],
                     )
-                    at += int(offsets[-1])
+                    lo = hi
+                at += int(offsets[-1])
+                give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
