@@ -20,11 +20,12 @@ def test_ids_from_the_table_are_the_library_s(monkeypatch):
     """op10: chunks end at signs, a table keeps their ids and turns over; odd texts, slices, nulls and empty blocks."""
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
-        monkeypatch.setattr(E, "CUT_BYTES", 1 << 19 if name.startswith("word") else 37)
         lib = Tokenizer.from_file(path)
-        for size in (100, 8_000, 1 << 20):
+        for size, cut, chunks in ((100, 37, 5), (8_000, 1 << 19, 1 << 21), (1 << 20, 64, 50)):
+            monkeypatch.setattr(E, "CUT_BYTES", cut)
+            monkeypatch.setattr(E, "LARGE_CHUNKS", chunks)
             enc = E.Encoder(path, size)
-            for seed in (1, 2, 1, 3):
+            for seed in (1, 2, 1):
                 column = pa.array([None, *texts(seed), None])
                 for part in (column.slice(0, 1), column, column.slice(7, 100), column.slice(3, 0)):
                     values, offs = enc.encode(part, large=True)
